@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import sharding, mixing, topk
+from loomwork.llm import bpe, mixing, sharding, topk
 
-_MODULES = (mixing, topk, sharding)
+_MODULES = (mixing, bpe, topk, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
