@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, mixing, sharding, topk
+from loomwork.llm import bpe, language, mixing, sharding, topk, toxicity
 
-_MODULES = (mixing, bpe, topk, sharding)
+_MODULES = (language, mixing, bpe, topk, toxicity, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
