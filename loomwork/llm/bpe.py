@@ -32,14 +32,25 @@ def byte_letters() -> dict[str, int]:
 
 
 def code_point_classes() -> np.ndarray:
-    """Letter, number, white space or other for each code point, by the Unicode tables of the regex library."""
+    """Letter, number, white space or other for each code point.
+
+    Libraries differ in their Unicode version: where two of them disagree, the tokenizers library is asked how it splits.
+    """
+    import unicodedata
+
     import regex
+    from tokenizers.pre_tokenizers import ByteLevel
 
     points = np.array([c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF], dtype=np.uint32)
     every, out = points.tobytes().decode("utf-32-le"), np.zeros(0x110000, dtype=np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
         for m in regex.finditer(pattern, every):
             out[points[m.start() : m.end()]] = kind
+    pieces = lambda c, before: len(ask.pre_tokenize_str(before + chr(c)))
+    ask = ByteLevel(add_prefix_space=False)
+    for c in np.flatnonzero(out).tolist():
+        if unicodedata.category(chr(c)) == "Cn":
+            out[c] = LETTER if pieces(c, "a") == 1 else NUMBER if pieces(c, "1") == 1 else OTHER
     return out
 
 
