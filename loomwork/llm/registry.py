@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, fingerprints, language, mixing, sharding, topk, toxicity
+from loomwork.llm import bpe, fingerprints, language, mixing, sharding, substrings, topk, toxicity
 
-_MODULES = (language, mixing, bpe, topk, toxicity, sharding, fingerprints)
+_MODULES = (language, mixing, bpe, topk, toxicity, substrings, sharding, fingerprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
