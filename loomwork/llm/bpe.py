@@ -270,10 +270,10 @@ def codec(spec: bytes) -> Codec:
 _KINDS = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "ids_sha256": ("string", pa.string()), "decoded": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Encode each whole text with the byte-level BPE file at ``tokenizer`` and decode its ids again.
 
-    ``outputs`` picks among n_tokens, ids, decoded and the SHA-256 of the last two (ids in decimal, joined by commas;
+    Returns the columns in ``keep``, then ``outputs``, which picks among n_tokens, ids, decoded and the SHA-256 of the last two (ids in decimal, joined by commas;
     decoded text in UTF-8). Nothing is added to a text; special tokens written in it get their ids. Null and empty
     texts have no token. Rows aren't moved or joined: repeated rows and null ids give rows like any other, an
     empty table an empty table. The file is read by the driver only and sent to the workers (about 1 MB).
@@ -284,7 +284,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)
         for batch in batches:
-            ids, (buf, off) = batch.column(0), T.utf8(batch.column(1))
+            buf, off = T.utf8(batch.column(len(keep)))
             for at, to, part, part_off in T.pieces(buf, off):
                 places, rows = c.encode(part, part_off)
                 raw, got = part.tobytes(), {k: [] for k in ask}
@@ -311,10 +311,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("
                             got["decoded"].append(shown)
                         if "decoded_sha256" in got:
                             got["decoded_sha256"].append(hashlib.sha256(shown.encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), *[pa.array(got[k], _KINDS[k][1]) for k in ask]], ["doc_id", *ask])
+                own = [c.slice(at, to - at) for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(got[k], _KINDS[k][1]) for k in ask]], [*keep, *ask])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{k} {_KINDS[k][0]}" for k in ask]]))
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return docs.select(*keep, F.col(text_col).alias("__lw_text")).mapInArrow(run, ", ".join([*fields, *[f"{k} {_KINDS[k][0]}" for k in ask]]))
 
 
 def default_tokenizer() -> str:

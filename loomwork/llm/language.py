@@ -203,8 +203,8 @@ def sample_texts(docs: DataFrame, usable: F.Column, *, id_col: str, text_col: st
     return [t for _, t in got], [lang for lang, _ in got]
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """lang_pred and score (the mean posterior of that language over the words) of each whole text.
+def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns in ``keep``, then lang_pred and score (the mean posterior of that language over the words) of each whole text.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned.
     Rows are neither moved nor joined, so repeated rows, null ids and empty tables need no care.
@@ -215,8 +215,8 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         m = shared.value
         names = pa.array([*m.langs, UNKNOWN])
         for batch in batches:
-            buf, off = T.utf8(batch.column(1))
-            letters = np.asarray(batch.column(2).fill_null(False), dtype=bool) if len(m.langs) else np.zeros(len(batch), bool)
+            buf, off = T.utf8(batch.column(len(keep)))
+            letters = np.asarray(batch.column(len(keep) + 1).fill_null(False), dtype=bool) if len(m.langs) else np.zeros(len(batch), bool)
             sums = np.zeros((len(batch), max(1, len(m.langs))))
             held, first, size = [], 0, 0
             for at, to, part, part_off in T.pieces(buf, off):
@@ -233,19 +233,19 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             total = sums.sum(axis=1)
             best = np.where(letters & (total > 0), sums.argmax(axis=1), len(m.langs))
             score = np.where(best < len(m.langs), sums.max(axis=1) / np.maximum(total, 1e-9), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), names.take(pa.array(best)), pa.array(np.clip(score, 0, 1))], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], names.take(pa.array(best)), pa.array(np.clip(score, 0, 1))], [*keep, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    seen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
-    return seen.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    seen = docs.select(*keep, F.col(text_col).alias("__lw_text"), F.col(text_col).rlike(r"\p{L}").alias("__lw_letters"))
+    return seen.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, *, usable: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learn from the rows that ``usable`` marks (all, if None), then label every row."""
+def identify(docs: DataFrame, *, usable: F.Column | None = None, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Learn from the rows that ``usable`` marks (all, if None), then label every row; see predict()."""
     texts, labels = sample_texts(docs, F.lit(True) if usable is None else usable, id_col=id_col, text_col=text_col, lang_col=lang_col)
     none = np.zeros((0, 0), np.float32)
     model = train(texts, labels) if texts else Model([], none, none, np.zeros(0, np.uint64), np.zeros(0, np.int64), none)
-    return predict(docs, model, id_col=id_col, text_col=text_col)
+    return predict(docs, model, keep=keep, text_col=text_col)
 
 
 def held_out(mod: int, rest: int, id_col: str = "doc_id") -> F.Column:
