@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, fingerprints, jaccard, language, mixing, sharding, substrings, topk, toxicity
+from loomwork.llm import bpe, fingerprints, jaccard, language, mixing, sharding, substrings, suffixes, topk, toxicity
 
-_MODULES = (language, mixing, jaccard, bpe, topk, toxicity, substrings, sharding, fingerprints)
+_MODULES = (language, mixing, jaccard, bpe, topk, toxicity, substrings, suffixes, sharding, fingerprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
