@@ -1,0 +1,3 @@
+"""Queries of the inventory; importing a module registers its queries."""
+
+from loomwork.plans import memory_plans, relational_plans  # noqa: F401
