@@ -35,9 +35,12 @@ def bucket_count(docs: DataFrame, text_col: str) -> int:
 def release(df: DataFrame) -> None:
     """Let Spark drop the shuffle files of finished steps now, and not when the driver next happens to collect garbage."""
     import gc
+    import time
 
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python let go must reach the JVM first
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def split_name(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

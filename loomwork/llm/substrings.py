@@ -27,13 +27,22 @@ _BACK = pa.schema([("piece", pa.int64()), ("kind", pa.int32()), ("at", pa.binary
 _SENT_SQL, _BACK_SQL = "bucket int, piece long, kind int, at binary, name binary, doc binary", "piece long, kind int, at binary, name binary, doc binary"
 
 
-def _send(piece: int, at: np.ndarray, names: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int, last: bool) -> list[tuple]:
+def _runs(names: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal names (and equal extra bits) start, and their lengths."""
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (extra[1:] != extra[:-1])
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(names)))
+
+
+def _send(piece: int, at: np.ndarray, names: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int, last: bool, extra: np.ndarray | None = None) -> list[tuple]:
     """Rows for the buckets. Of a name that the piece has often only the first place is sent; the others are known to repeat.
 
-    At the last level first means lowest (doc, pos), and places with the same doc and pos (rows of one id) are one occurrence.
+    At the last level names get 64 more bits (extra), first means lowest (doc, pos), and places with the same doc and pos (rows of one id) are one occurrence.
     """
-    order = np.lexsort((pos, doc, names)) if last else np.argsort(names, kind="stable")
-    first, size = X.runs(names[order])
+    extra = names if extra is None else extra
+    order = np.lexsort((pos, doc, extra, names)) if last else np.argsort(names, kind="stable")
+    first, size = _runs(names[order], extra[order]) if last else X.runs(names[order])
     lead, again = np.zeros(len(names), bool), np.zeros(len(names), bool)
     if last:
         head = np.repeat(order[first], size)
@@ -47,7 +56,7 @@ def _send(piece: int, at: np.ndarray, names: np.ndarray, doc: np.ndarray, pos: n
     for b, mine in X.parts(bucket[sent]):
         mine = sent[mine]
         # a bit a name tells whether it repeats within the piece
-        rows.append((b, piece, 0, X.pack(at[mine]), X.pack48(low[mine]) + np.packbits(again[mine]).tobytes(), doc[mine].tobytes() + pos[mine].tobytes() if last else None))
+        rows.append((b, piece, 0, X.pack(at[mine]), X.pack48(low[mine]) + (extra[mine].tobytes() if last else np.packbits(again[mine]).tobytes()), doc[mine].tobytes() + pos[mine].tobytes() if last else None))
     rest = np.flatnonzero(~lead)
     for b, mine in X.parts(bucket[rest]) if not last else [(int(piece % buckets), np.arange(len(rest)))]:
         mine = rest[mine]
@@ -70,19 +79,19 @@ def _compare(buckets: int, last: bool) -> X.Reduce:
         places = [X.unpack(at[i]) for i in rows]
         sizes = np.array([len(p) for p in places])
         names = np.concatenate([X.unpack48(name[i][: 6 * n]) for i, n in zip(rows, sizes, strict=True)])
-        again = np.concatenate([np.unpackbits(np.frombuffer(name[i], np.uint8, offset=6 * int(n)), count=int(n)) for i, n in zip(rows, sizes, strict=True)]).astype(bool)
         if last:
+            extra = np.concatenate([np.frombuffer(name[i], np.uint64, offset=6 * int(n)) for i, n in zip(rows, sizes, strict=True)])
             docs = np.concatenate([np.frombuffer(doc[i], np.int64, int(n)) for i, n in zip(rows, sizes, strict=True)])
             pos = np.concatenate([np.frombuffer(doc[i], np.int64, offset=8 * int(n)) for i, n in zip(rows, sizes, strict=True)])
-            order = np.lexsort((pos, docs, names))
-            first, size = X.runs(names[order])
+            order = np.lexsort((pos, docs, extra, names))
+            first, size = _runs(names[order], extra[order])
             head = np.repeat(order[first], size)
             keep = np.empty(len(names), bool)
             keep[order] = (docs[order] != docs[head]) | (pos[order] != pos[head])
         else:
             order = np.argsort(names, kind="stable")
             first, size = X.runs(names[order])
-            keep = again
+            keep = np.concatenate([np.unpackbits(np.frombuffer(name[i], np.uint8, offset=6 * int(n)), count=int(n)) for i, n in zip(rows, sizes, strict=True)]).astype(bool)
             keep[order] |= np.repeat(size > 1, size)
         begin = np.cumsum(sizes) - sizes
         for i, p, a in zip(rows, places, begin, strict=True):
@@ -124,7 +133,7 @@ def _extend(length: int, buckets: int, last: bool) -> X.Reduce:
         ok[ok] = (at[after[ok]] == at[ok] + length) & (row[after[ok]] == row[ok])
         here = np.flatnonzero(ok)
         doubled = T.mix(names[here] * _C1 + names[after[here]] * _C2)
-        rows = _send(piece, at[here], doubled, ids[row[here]], at[here] - offsets[row[here]], buckets, last)
+        rows = _send(piece, at[here], doubled, ids[row[here]], at[here] - offsets[row[here]], buckets, last, T.mix(names[here] * _C2 ^ names[after[here]] * _C1))
         return X.table_of([*rows, (int(piece % buckets), piece, 2, None, offsets.tobytes(), ids.tobytes())], _SENT)
 
     return run
@@ -223,7 +232,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, outputs: tuple[str, ..
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(rows)), pa.array(n_removed, pa.int64()), *[made[k]() for k in outputs]], [*names, "lw_n_words", "lw_n_removed", *[kinds[k][0].split()[0] for k in outputs]])
 
     held = docs.withColumn("__lw_id", F.coalesce(F.col(id_col).cast("long"), F.lit(X.NO_ID))).withColumn("__lw_text", F.col(text_col))
-    both = held.join(spans.select(F.col("id").alias("__lw_id"), F.col("start").alias("__lw_start"), F.col("end").alias("__lw_end")), "__lw_id", "left").drop("__lw_id")
+    # a merge join at any size: both sides grow with the input
+    both = held.join(spans.hint("merge").select(F.col("id").alias("__lw_id"), F.col("start").alias("__lw_start"), F.col("end").alias("__lw_end")), "__lw_id", "left").drop("__lw_id")
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "lw_n_words long, lw_n_removed long", *[kinds[k][0] for k in outputs]])
     return both.mapInArrow(run, fields)
 
