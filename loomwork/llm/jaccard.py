@@ -94,6 +94,7 @@ def frequent_classes(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndar
 
     found = docs.mapInArrow(send, "bucket int, cls binary, n binary").groupBy("bucket").applyInArrow(add, "cls long, n long")
     top = found.orderBy(F.desc("n"), "cls").limit(MOST_CLASSES).collect()  # at most MOST_CLASSES rows
+    X.release(docs)
     cls, n = np.array([r["cls"] for r in top], np.uint64), np.array([r["n"] for r in top], np.int64)
     order = np.argsort(cls)
     return cls[order], n[order]
@@ -336,7 +337,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("sb"))
-    return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long")
+    return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").mapInArrow(run, "a long, b long")
 
 
 def _token_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -348,7 +349,7 @@ def _token_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             h, offsets = token_sets(buf, off)
             yield from X.batches_of([(int(i), h[a:b].tobytes()) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)], schema)
 
-    return docs.join(nodes, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens binary")
+    return docs.join(nodes.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens binary")
 
 
 def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,6 +375,7 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     # first each document is compared with the one that it shares most signatures with
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     links = scratch.table(_verify(scratch.table(best, "best"), sets), "links")
+    X.release(links)
     label = scratch.table(C.components(links), "labels")
     X.release(label)
 
