@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.similarity_components(docs)
     lead = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(lead, "doc_id", "left_semi")
+    named = docs.where(F.col("doc_id").isNotNull()).join(lead.hint("merge"), "doc_id", "left_semi")
     named = named.withColumn("__lw_r", F.row_number().over(one)).where("__lw_r = 1")
     return named.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 

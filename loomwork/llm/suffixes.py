@@ -352,7 +352,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         ask = _to_parts(buckets, i[open_], th[open_], pos[open_], None, T.mix(name[open_] ^ np.uint64(bucket << 48)))
         return X.table_of([*out, *ask], _DOCS)
 
-    decided = places.join(rows, ["id", "th"]).select("id", "th", "text", "pos").mapInArrow(surround, "bucket int, name binary, ctx binary, tags binary, id binary, th binary, pos binary")
+    decided = places.hint("merge").join(rows, ["id", "th"]).select("id", "th", "text", "pos").mapInArrow(surround, "bucket int, name binary, ctx binary, tags binary, id binary, th binary, pos binary")
     decided = scratch.table(decided.groupBy("bucket").applyInArrow(decide, _DOCS_SQL), "decided")
     X.release(decided)
     ask = decided.where("name is not null").groupBy("part").applyInArrow(_per_document, "id long, th long, pos binary, name binary")
@@ -403,7 +403,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         of = np.repeat(np.arange(len(many)), many)[hit]
         return X.table_of(_to_parts(buckets, i[of], th[of], pos[hit], mask[of], None), _DOCS)
 
-    text_of = ask.join(rows, ["id", "th"]).select("id", "th", "text", "pos", "name").mapInArrow(fetch, fetched_sql)
+    text_of = ask.hint("merge").join(rows, ["id", "th"]).select("id", "th", "text", "pos", "name").mapInArrow(fetch, fetched_sql)
     sorted_ = scratch.table(text_of.groupBy("bucket").applyInArrow(sort, _DOCS_SQL), "sorted")
     X.release(sorted_)
     every = decided.where("name is null").unionByName(sorted_)
@@ -443,7 +443,7 @@ def remove_shared(docs: DataFrame, outputs: tuple[str, ...] = ("kept",), *, id_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     sql = {"kept": "kept binary", "kept_sha256": "kept_sha256 string"}
-    both = rows.join(ranges, ["id", "th"], "left").select("own", "text", "lo", "hi")
+    both = rows.join(ranges.hint("merge"), ["id", "th"], "left").select("own", "text", "lo", "hi")
     return both.mapInArrow(cut, ", ".join([f"doc_id {kind}, n_bytes long, n_removed long, n_spans long", *[sql[k] for k in outputs]]))
 
 
