@@ -320,14 +320,22 @@ def _candidates(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches(parts, schema=_CAND)
 
 
+def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that 16 bits of each token don't rule out: tokens that are equal have equal bits, so no link is lost."""
+    return _compared(pairs, sets, "bits", np.uint16)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose sets have the wanted similarity, by their whole token sets."""
+    return _compared(pairs, sets, "tokens", np.uint64)
+
 
+def _compared(pairs: DataFrame, sets: DataFrame, col: str, kind: type) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 if len(x) > len(y):
                     x, y = y, x
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
@@ -335,21 +343,21 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("sb"))
-    return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").mapInArrow(run, "a long, b long")
+    a = sets.select(F.col("id").alias("a"), F.col(col).alias("sa"))
+    b = sets.select(F.col("id").alias("b"), F.col(col).alias("sb"))
+    return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _token_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The token sets of the documents that have candidates."""
-    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, buf, off in X.each_piece(batches):
             h, offsets = token_sets(buf, off)
-            yield from X.batches_of([(int(i), h[a:b].tobytes()) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)], schema)
+            yield from X.batches_of([(int(i), h[a:b].tobytes(), (h[a:b] >> np.uint64(48)).astype(np.uint16).tobytes()) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)], schema)
 
-    return docs.join(nodes.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens binary")
+    return docs.join(nodes.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens binary, bits binary")
 
 
 def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,7 +389,7 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     # then all candidates that aren't connected yet
     def labelled(df: DataFrame, key: str, out: str) -> DataFrame:
-        own = label.select(F.col("node").alias(key), F.col("label").alias(out))
+        own = label.select(F.col("node").alias(key), F.col("label").alias(out))  # the labels known when this is called
         return df.join(own, key, "left").withColumn(out, F.coalesce(out, key))
 
     apart = labelled(labelled(pairs.select("a", "b"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
@@ -395,7 +403,16 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     fits = F.expr(f"label_x <> label_y and n_x <= n_y and (role_x & 1) > 0 and (role_y & 2) > 0 and {DEN} * n_x >= {NUM} * n_y") & ((NUM + DEN) * most >= F.expr(f"{NUM} * (n_x + n_y)"))
     more = x.join(y, "g").where(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     rest = scratch.table(apart.unionByName(more).distinct(), "apart")
-    late = scratch.table(_verify(rest, sets), "links")
+    likely = scratch.table(_may_link(rest, sets), "likely")
+    X.release(likely)
+
+    # one of the likely partners of each first, then those that this leaves apart
+    one = scratch.table(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "best")
+    links = links.unionByName(scratch.table(_verify(one, sets), "links"))
+    X.release(likely)
+    label = scratch.table(C.components(links), "labels")
+    apart = labelled(labelled(likely.join(one, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
+    late = scratch.table(_verify(scratch.table(apart, "apart"), sets), "links")
     X.release(late)
     if late.limit(1).count():
         label = scratch.table(C.components(links.unionByName(late)), "labels")
