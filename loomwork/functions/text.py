@@ -106,9 +106,11 @@ def numbered_list(text: Column) -> Column:
 
 
 def fix_latex(text: Column) -> Column:
-    """The repairs of LATEX on each line, then no space inside single dollars."""
-    fixed = F.transform(F.split(text, "\n"), lambda x: reduce(lambda c, pr: F.regexp_replace(c, *pr), LATEX, x))
-    return F.array_join(F.transform(fixed, lambda x: F.regexp_replace(x, r"\$\s*(.*?)\s*\$", r"\$$1\$")), "\n")
+    """The repairs of LATEX on each line, then no space inside single dollars. A line keeps its line end, which some repairs look at."""
+    parts = F.split(text, "\n")
+    kept = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit("\n"))).otherwise(x))
+    fixed = F.transform(kept, lambda x: reduce(lambda c, pr: F.regexp_replace(c, *pr), LATEX, x))
+    return F.array_join(F.transform(fixed, lambda x: F.regexp_replace(x, r"\$\s*(.*?)\s*\$", r"\$$1\$")), "")
 
 
 def json_array_text(text: Column) -> Column:

@@ -53,7 +53,8 @@ def test_dissect(spark):
 
 def test_latex_lines(spark):
     fix = lambda s: one(spark, X.fix_latex(F.lit(s)).alias("f"))[0]
-    assert fix(r"\( a + b \)") == "$a + b$"
+    assert fix("\\( a + b \\)\n") == "$a + b$\n"
+    assert fix("\\( a + b \\)") == "$a + b$ "  # no line end: the closing dollar gets a space, as in the reference
     assert fix("no math") == "no math"
 
 
