@@ -457,10 +457,10 @@ def stm_debounce(spark: SparkSession, sf: str) -> DataFrame:
     return charts.bursts(_ev(spark, sf), "6 hours")
 
 
-@query("stm_slide_monitor", "SELECT user_id % 5 AS g, time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours' * k AS start, round(avg(value), 4) AS m FROM (SELECT *, unnest([0, 1]) AS k FROM events) GROUP BY ALL")
+@query("stm_slide_monitor", "SELECT user_id % 5 AS g, time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours' * k AS start, round(avg(value), 8) AS m FROM (SELECT *, unnest([0, 1]) AS k FROM events) GROUP BY ALL")
 def stm_slide_monitor(spark: SparkSession, sf: str) -> DataFrame:
     w = F.window("ts", "24 hours", "12 hours")
-    return _ev(spark, sf).groupBy((F.col("user_id") % 5).alias("g"), w.alias("w")).agg(r(F.avg("value")).alias("m")).select("g", F.col("w.start").cast(_ev(spark, sf).schema["ts"].dataType).alias("start"), "m")
+    return _ev(spark, sf).groupBy((F.col("user_id") % 5).alias("g"), w.alias("w")).agg(r(F.avg("value"), 8).alias("m")).select("g", F.col("w.start").cast(_ev(spark, sf).schema["ts"].dataType).alias("start"), "m")
 
 
 @query("stm_ewma_cusum", _EWMA.replace("SELECT event_id, round(z, 4) AS z FROM z", "SELECT user_id, round(arg_max(z, i), 4) AS z, count(*) AS n FROM z GROUP BY 1"))

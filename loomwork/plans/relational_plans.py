@@ -33,7 +33,7 @@ def prj_apply(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * F.col("l_quantity")).alias("l_quantity"), (F.col("l_discount") + 1).alias("l_discount"))
 
 
-@query("prj_map", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 2, 5)) AS doubled FROM embeddings")
+@query("prj_map", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 2, 5) + 0.0) AS doubled FROM embeddings")
 def prj_map(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 2, 5)).alias("doubled"))
 

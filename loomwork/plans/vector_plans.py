@@ -34,24 +34,24 @@ def vec_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return _e(spark, sf).select("vec_id", r(V.cosine(F.col("v"), F.col("w"))).alias("cosine"))
 
 
-@query("vec_cross", f"SELECT vec_id, [round(v[2] * w[3] - v[3] * w[2], 6), round(v[3] * w[1] - v[1] * w[3], 6), round(v[1] * w[2] - v[2] * w[1], 6)] AS c FROM {_E}")
+@query("vec_cross", f"SELECT vec_id, [round(v[2] * w[3] - v[3] * w[2], 6) + 0.0, round(v[3] * w[1] - v[1] * w[3], 6) + 0.0, round(v[1] * w[2] - v[2] * w[1], 6) + 0.0] AS c FROM {_E}")
 def vec_cross(spark: SparkSession, sf: str) -> DataFrame:
     return _e(spark, sf).select("vec_id", F.transform(V.cross(F.col("v"), F.col("w")), lambda x: F.round(x, 6)).alias("c"))
 
 
-@query("vec_outer", f"SELECT vec_id, list_transform(v[1:3], lambda x: list_transform(w[1:3], lambda y: round(x * y, 6))) AS o FROM {_E}")
+@query("vec_outer", f"SELECT vec_id, list_transform(v[1:3], lambda x: list_transform(w[1:3], lambda y: round(x * y, 6) + 0.0)) AS o FROM {_E}")
 def vec_outer(spark: SparkSession, sf: str) -> DataFrame:
     o = V.outer(F.slice("v", 1, 3), F.slice("w", 1, 3))
     return _e(spark, sf).select("vec_id", F.transform(o, lambda row: F.transform(row, lambda x: F.round(x, 6))).alias("o"))
 
 
-@query("vec_matvec", f"SELECT vec_id, list_transform(range(0, 8), lambda i: round({_DOT.format(a='v[i * 8 + 1 : i * 8 + 8]', b='w[1:8]')}, 5)) AS y FROM {_E}")
+@query("vec_matvec", f"SELECT vec_id, list_transform(range(0, 8), lambda i: round({_DOT.format(a='v[i * 8 + 1 : i * 8 + 8]', b='w[1:8]')}, 5) + 0.0) AS y FROM {_E}")
 def vec_matvec(spark: SparkSession, sf: str) -> DataFrame:
     m = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8))
     return _e(spark, sf).select("vec_id", F.transform(V.matvec(m, F.slice("w", 1, 8)), lambda x: F.round(x, 5)).alias("y"))
 
 
-@query("vec_diag_scale", f"SELECT vec_id, list_transform(list_zip(v, w), lambda z: round(z[1] * z[2], 6)) AS scaled FROM {_E}")
+@query("vec_diag_scale", f"SELECT vec_id, list_transform(list_zip(v, w), lambda z: round(z[1] * z[2], 6) + 0.0) AS scaled FROM {_E}")
 def vec_diag_scale(spark: SparkSession, sf: str) -> DataFrame:
     return _e(spark, sf).select("vec_id", F.zip_with("v", "w", lambda x, y: F.round(x * y, 6)).alias("scaled"))
 
@@ -278,12 +278,12 @@ def tok_xent(spark: SparkSession, sf: str) -> DataFrame:
     return _e(spark, sf).select("vec_id", r(lse - F.get("v", F.col("label") % 64), 6).alias("loss"))
 
 
-@query("tok_temperature", f"SELECT vec_id, list_transform(v, lambda x: round(x / 0.7, 6)) AS logits FROM {_E}")
+@query("tok_temperature", f"SELECT vec_id, list_transform(v, lambda x: round(x / 0.7, 6) + 0.0) AS logits FROM {_E}")
 def tok_temperature(spark: SparkSession, sf: str) -> DataFrame:
     return _e(spark, sf).select("vec_id", F.transform("v", lambda x: F.round(x / 0.7, 6)).alias("logits"))
 
 
-@query("tok_repeat_penalty", f"SELECT vec_id, list_transform(v, lambda x, i: round(CASE WHEN (i - 1) % 7 <> label % 7 THEN x WHEN x > 0 THEN x / 1.2 ELSE x * 1.2 END, 6)) AS logits FROM {_E}")
+@query("tok_repeat_penalty", f"SELECT vec_id, list_transform(v, lambda x, i: round(CASE WHEN (i - 1) % 7 <> label % 7 THEN x WHEN x > 0 THEN x / 1.2 ELSE x * 1.2 END, 6) + 0.0) AS logits FROM {_E}")
 def tok_repeat_penalty(spark: SparkSession, sf: str) -> DataFrame:
     """Logits of seen tokens move away from being picked, whatever their sign."""
     seen = lambda i: i % 7 == F.col("label") % 7
