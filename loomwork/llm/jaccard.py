@@ -30,6 +30,8 @@ NUM, DEN = 3, 4
 FREQUENT, MOST_CLASSES = 64, 1 << 16
 #: Groups of a signature up to this size give all their pairs at once; larger ones first link to one of their members.
 SMALL_GROUP = 4
+#: Members of a larger group that all others are compared with at first.
+LEADS = 6
 #: Tokens of a frequent class that share a part of the universe are paired; a prefix has about so many in a part.
 PART = 6
 
@@ -303,11 +305,11 @@ def _candidates(t: pa.Table) -> pa.Table:
         if key in known:
             continue
         known.add(key)
-        # each member meets the first one that is large enough for it
-        least = -(-NUM * n[g] // DEN)
-        pivot = f + np.searchsorted(n[g], least)
-        some = pivot < g
-        test(pivot[some], g[some])
+        # each member meets the ones whose ids hash lowest, by a few hashes: groups that share members mostly agree on them
+        for salt in range(LEADS):
+            lead = f + int(np.argmin(T.mix(ids[g].view(np.uint64) + np.uint64(salt << 40))))
+            rest = g[g != lead]
+            test(np.minimum(lead, rest), np.maximum(lead, rest))
         tag = int(T.mix(name[f : f + 1] + np.uint64(t.column("bucket")[0].as_py() << 48))[0] >> np.uint64(1))
         groups.append((tag, g))
     a, b = np.concatenate([*pairs_a, np.zeros(0, np.int64)]), np.concatenate([*pairs_b, np.zeros(0, np.int64)])
@@ -380,9 +382,8 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     sets = scratch.table(_token_table(rows, nodes), "sets")
     X.release(sets)
 
-    # first each document is compared with the one that it shares most signatures with
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    links = scratch.table(_verify(scratch.table(best, "best"), sets), "links")
+    # first all pairs of small groups, and each member of a large group with a few of its others
+    links = scratch.table(_verify(scratch.table(_may_link(pairs.select("a", "b"), sets), "likely"), sets), "links")
     X.release(links)
     label = scratch.table(C.components(links), "labels")
     X.release(label)
@@ -392,8 +393,6 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         own = label.select(F.col("node").alias(key), F.col("label").alias(out))  # the labels known when this is called
         return df.join(own, key, "left").withColumn(out, F.coalesce(out, key))
 
-    apart = labelled(labelled(pairs.select("a", "b"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
-    apart = apart.join(best, ["a", "b"], "left_anti")
     grouped = scratch.table(labelled(members, "id", "label"), "members")
     mixed = scratch.table(grouped.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g"), "mixed")
     open_ = scratch.table(grouped.join(mixed, "g"), "open")
@@ -402,7 +401,7 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     most = F.when(F.expr("(role_x & role_y & 4) > 0"), F.least("place_x", "place_y")).otherwise(0) + F.least(F.expr("n_x - place_x"), F.expr("n_y - place_y"))
     fits = F.expr(f"label_x <> label_y and n_x <= n_y and (role_x & 1) > 0 and (role_y & 2) > 0 and {DEN} * n_x >= {NUM} * n_y") & ((NUM + DEN) * most >= F.expr(f"{NUM} * (n_x + n_y)"))
     more = x.join(y, "g").where(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
-    rest = scratch.table(apart.unionByName(more).distinct(), "apart")
+    rest = scratch.table(more.distinct(), "apart")
     likely = scratch.table(_may_link(rest, sets), "likely")
     X.release(likely)
 
