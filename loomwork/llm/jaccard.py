@@ -150,10 +150,10 @@ def pair_signatures(freq: np.ndarray, rare: int, loss: int, lv: int) -> tuple[np
     return T.mix(ab[:, 0] * np.uint64(0xD6E8FEB86659FD93) + T.mix(ab[:, 1] + np.uint64(lv + 1))), np.array(place)
 
 
-def signatures(h: np.ndarray, offsets: np.ndarray, common: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """name, row, place (of its first token in the set's order) and role of every signature.
+def signatures(h: np.ndarray, offsets: np.ndarray, common: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """name, row, place (of its first token in the set's order) and role of every signature, and the number of rare tokens of every row.
 
-    Role bits: 1 meets partners at least as large, 2 meets partners at most as large, 4 is a pair.
+    Role bits: 1 meets partners at least as large, 2 meets partners at most as large, 4 is a pair, 8 is a rare token.
     """
     n = np.diff(offsets)
     row = np.repeat(np.arange(len(n)), n)
@@ -167,7 +167,7 @@ def signatures(h: np.ndarray, offsets: np.ndarray, common: np.ndarray, counts: n
     place = before[:-1] - before[offsets[:-1]][row]
     take = rare & (place <= small[row]) & (n[row] > 1)
     names, rows, places = [h[take]], [row[take]], [place[take]]
-    roles = [np.where(place[take] <= large[row[take]], 3, 2).astype(np.uint8)]
+    roles = [np.where(place[take] <= large[row[take]], 3 | 8, 2 | 8).astype(np.uint8)]
     for r in np.flatnonzero((n_rare <= small) & (n > 1)):  # too few rare tokens: pairs of frequent ones
         mine = slice(offsets[r], offsets[r + 1])
         f = ~rare[mine]
@@ -182,16 +182,16 @@ def signatures(h: np.ndarray, offsets: np.ndarray, common: np.ndarray, counts: n
             rows.append(np.full(len(name), r))
             places.append(first + c1)
             roles.append(np.full(len(name), role | 4, np.uint8))
-    return np.concatenate(names), np.concatenate(rows), np.concatenate(places), np.concatenate(roles)
+    return np.concatenate(names), np.concatenate(rows), np.concatenate(places), np.concatenate(roles), n_rare
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("piece", pa.int64()), ("kind", pa.int32()), ("name", pa.binary()), ("row", pa.binary()), ("place", pa.binary()), ("role", pa.binary())])
 _SENT_SQL = "bucket int, piece long, kind int, name binary, row binary, place binary, role binary"
-_FULL = pa.schema([("bucket", pa.int32()), ("name", pa.binary()), ("id", pa.binary()), ("digest", pa.binary()), ("n", pa.binary()), ("place", pa.binary()), ("role", pa.binary())])
-_FULL_SQL = "bucket int, name binary, id binary, digest binary, n binary, place binary, role binary"
-# kind 0: a candidate pair a, b; 1: members of a large group: group a, node b, n, place, role
-_CAND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("role", pa.int32())])
-_CAND_SQL = "kind int, a long, b long, n int, place int, role int"
+_FULL = pa.schema([("bucket", pa.int32()), ("name", pa.binary()), ("id", pa.binary()), ("digest", pa.binary()), ("n", pa.binary()), ("rare", pa.binary()), ("place", pa.binary()), ("role", pa.binary())])
+_FULL_SQL = "bucket int, name binary, id binary, digest binary, n binary, rare binary, place binary, role binary"
+# kind 0: a candidate pair a, b; 1: members of a large group: group a, node b, n, rare, place, role
+_CAND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("rare", pa.int32()), ("place", pa.int32()), ("role", pa.int32())])
+_CAND_SQL = "kind int, a long, b long, n int, rare int, place int, role int"
 
 
 def _send_signatures(docs: DataFrame, buckets: int) -> DataFrame:
@@ -206,13 +206,13 @@ def _send_signatures(docs: DataFrame, buckets: int) -> DataFrame:
             lead = np.sort(order[X.runs(d1[order])[0]])  # of equal sets the lowest id speaks
             n = np.diff(offsets)
             mine = h[T.take_ranges(offsets[lead], n[lead])]
-            name, row, place, role = signatures(mine, np.concatenate([[0], np.cumsum(n[lead])]), common, counts, buckets)
+            name, row, place, role, n_rare = signatures(mine, np.concatenate([[0], np.cumsum(n[lead])]), common, counts, buckets)
             order = np.argsort(row, kind="stable")
             name, row, place, role = name[order], row[order], place[order], role[order]
             bucket, low = X.split_name(name, buckets)
             out = [(b, piece, 0, X.pack48(low[p]), X.pack(row[p]), place[p].astype("<u4").tobytes(), role[p].tobytes()) for b, p in X.parts(bucket)]
             info = np.stack([ids, n, d1, d2]).astype(np.int64)
-            out.append((int(piece % buckets), piece, 2, info.tobytes(), lead.astype(np.int64).tobytes(), None, None))
+            out.append((int(piece % buckets), piece, 2, info.tobytes(), lead.astype(np.int64).tobytes(), n_rare.astype("<u4").tobytes(), None))
             yield from X.batches_of(out, _SENT)
 
     return docs.mapInArrow(run, _SENT_SQL)
@@ -248,45 +248,55 @@ def _attach(t: pa.Table) -> pa.Table:
     cols = {c: t.column(c).to_pylist() for c in ("bucket", "name", "row", "place", "role")}
     at = int(np.flatnonzero(kind == 2)[0])
     ids, n, d1, _ = np.frombuffer(cols["name"][at], np.int64).reshape(4, -1)
-    lead = np.frombuffer(cols["row"][at], np.int64)
+    lead, rare = np.frombuffer(cols["row"][at], np.int64), np.frombuffer(cols["place"][at], "<u4")
     out = []
     for i in np.flatnonzero(kind == 0):
-        row = lead[X.unpack(cols["row"][i])]
-        out.append((cols["bucket"][i], cols["name"][i], ids[row].tobytes(), d1[row].tobytes(), n[row].astype("<u4").tobytes(), cols["place"][i], cols["role"][i]))
+        mine = X.unpack(cols["row"][i])
+        row = lead[mine]
+        out.append((cols["bucket"][i], cols["name"][i], ids[row].tobytes(), d1[row].tobytes(), n[row].astype("<u4").tobytes(), rare[mine].tobytes(), cols["place"][i], cols["role"][i]))
     return X.table_of(out, _FULL)
 
 
-def can_link(na: np.ndarray, pa_: np.ndarray, ra: np.ndarray, nb: np.ndarray, pb: np.ndarray, rb: np.ndarray) -> np.ndarray:
-    """Whether a (no larger than b) may be similar to b, given the places of a shared signature in both.
+def can_link(na: np.ndarray, ca: np.ndarray, pa_: np.ndarray, ra: np.ndarray, nb: np.ndarray, cb: np.ndarray, pb: np.ndarray, rb: np.ndarray) -> np.ndarray:
+    """Whether a (no larger than b) may be similar to b, given the places of a shared signature in both and their numbers of rare tokens.
 
-    A shared rare token may be taken for the first one; before the first token of a pair, others may be shared.
+    A shared rare token may be taken for the first one. Sets that meet by a pair may be taken to share no rare token: a set
+    has pairs in a role only if all its rare tokens are signatures in that role, so such sets meet by one of those. Then
+    only frequent tokens count, those before the first token of the pair and those from it on.
     """
-    most = np.where(ra & rb & 4 > 0, np.minimum(pa_, pb), 0) + np.minimum(na - pa_, nb - pb)
-    return (ra & 1 > 0) & (rb & 2 > 0) & (DEN * na >= NUM * nb) & ((NUM + DEN) * most >= NUM * (na + nb))
+    pair = (ra & rb & 4 > 0) & ((ra | rb) & 8 == 0)
+    most = np.where(pair, np.minimum(pa_ - ca, pb - cb), 0) + np.minimum(na - pa_, nb - pb)
+    mixed = (ra & rb & 4 > 0) & ~pair  # two kinds of signature with one name: no bound but the sizes
+    return (ra & 1 > 0) & (rb & 2 > 0) & (DEN * na >= NUM * nb) & (mixed | ((NUM + DEN) * most >= NUM * (na + nb)))
 
 
 def _candidates(t: pa.Table) -> pa.Table:
     """In a bucket: all pairs of small groups, one link a member of larger ones, and the members of these."""
     col = lambda c, kind: T.joined(t, c, kind)
     name = np.concatenate([X.unpack48(b) for b in t.column("name").to_pylist()])
-    ids, digest, n, place, role = col("id", np.int64), col("digest", np.int64), col("n", "<u4").astype(np.int64), col("place", "<u4").astype(np.int64), col("role", np.uint8)
+    ids, digest, role = col("id", np.int64), col("digest", np.int64), col("role", np.uint8)
+    n, rare, place = (col(c, "<u4").astype(np.int64) for c in ("n", "rare", "place"))
     order = np.lexsort((ids, digest, name))  # equal sets of several pieces: the lowest id stays
-    name, ids, digest, n, place, role = (x[order] for x in (name, ids, digest, n, place, role))
+    name, ids, digest, n, rare, place, role = (x[order] for x in (name, ids, digest, n, rare, place, role))
     new = np.ones(len(name), bool)
     new[1:] = (name[1:] != name[:-1]) | (digest[1:] != digest[:-1])
     begin = np.flatnonzero(new)
     role = np.bitwise_or.reduceat(role, begin) if len(begin) else role
     place = np.minimum.reduceat(place, begin) if len(begin) else place
-    name, ids, n = name[begin], ids[begin], n[begin]
+    name, ids, n, rare = name[begin], ids[begin], n[begin], rare[begin]
     order = np.lexsort((ids, n, name))
-    name, ids, n, place, role = (x[order] for x in (name, ids, n, place, role))
+    name, ids, n, rare, place, role = (x[order] for x in (name, ids, n, rare, place, role))
+    first, size = X.runs(name)
+    # a set with too many rare tokens of its own even for the smallest of its group meets nobody by this pair
+    meets = (role & 12 != 4) | ((NUM + DEN) * (n - rare) >= NUM * (n + np.repeat(n[first], size)))
+    name, ids, n, rare, place, role = (x[meets] for x in (name, ids, n, rare, place, role))
     first, size = X.runs(name)
     pairs_a, pairs_b = [], []
 
     def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        ok = can_link(n[a], place[a], role[a], n[b], place[b], role[b])
+        ok = can_link(n[a], rare[a], place[a], role[a], n[b], rare[b], place[b], role[b])
         same = n[a] == n[b]
-        ok |= same & can_link(n[b], place[b], role[b], n[a], place[a], role[a])
+        ok |= same & can_link(n[b], rare[b], place[b], role[b], n[a], rare[a], place[a], role[a])
         pairs_a.append(ids[a[ok]])
         pairs_b.append(ids[b[ok]])
         return ok
@@ -316,9 +326,9 @@ def _candidates(t: pa.Table) -> pa.Table:
     a, b = np.minimum(a, b), np.maximum(a, b)
     pair = np.unique(np.stack([a, b]), axis=1)
     zero = np.zeros(pair.shape[1], np.int32)
-    parts = [pa.RecordBatch.from_arrays([pa.array(zero), pa.array(pair[0]), pa.array(pair[1]), pa.array(zero), pa.array(zero), pa.array(zero)], schema=_CAND)]
+    parts = [pa.RecordBatch.from_arrays([pa.array(zero), pa.array(pair[0]), pa.array(pair[1]), pa.array(zero), pa.array(zero), pa.array(zero), pa.array(zero)], schema=_CAND)]
     for tag, g in groups:
-        parts.append(pa.RecordBatch.from_arrays([pa.array(np.ones(len(g), np.int32)), pa.array(np.full(len(g), tag)), pa.array(ids[g]), pa.array(n[g].astype(np.int32)), pa.array(place[g].astype(np.int32)), pa.array(role[g].astype(np.int32))], schema=_CAND))
+        parts.append(pa.RecordBatch.from_arrays([pa.array(np.ones(len(g), np.int32)), pa.array(np.full(len(g), tag)), pa.array(ids[g]), *[pa.array(v[g].astype(np.int32)) for v in (n, rare, place, role)]], schema=_CAND))
     return pa.Table.from_batches(parts, schema=_CAND)
 
 
@@ -377,7 +387,7 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     found = scratch.table(sent.groupBy("piece").applyInArrow(_attach, _FULL_SQL).groupBy("bucket").applyInArrow(_candidates, _CAND_SQL), "candidates")
     X.release(found)
     pairs = scratch.table(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
-    members = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"), "n", "place", "role")
+    members = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"), "n", "rare", "place", "role")
     nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct()
     sets = scratch.table(_token_table(rows, nodes), "sets")
     X.release(sets)
@@ -396,10 +406,13 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     grouped = scratch.table(labelled(members, "id", "label"), "members")
     mixed = scratch.table(grouped.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g"), "mixed")
     open_ = scratch.table(grouped.join(mixed, "g"), "open")
-    x = open_.select("g", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "place", "role", "label")])
-    y = open_.select("g", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "place", "role", "label")])
-    most = F.when(F.expr("(role_x & role_y & 4) > 0"), F.least("place_x", "place_y")).otherwise(0) + F.least(F.expr("n_x - place_x"), F.expr("n_y - place_y"))
-    fits = F.expr(f"label_x <> label_y and n_x <= n_y and (role_x & 1) > 0 and (role_y & 2) > 0 and {DEN} * n_x >= {NUM} * n_y") & ((NUM + DEN) * most >= F.expr(f"{NUM} * (n_x + n_y)"))
+    x = open_.select("g", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "rare", "place", "role", "label")])
+    y = open_.select("g", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "rare", "place", "role", "label")])
+    # as in can_link
+    ahead = F.when(F.expr("(role_x & role_y & 4) > 0"), F.least(F.expr("place_x - rare_x"), F.expr("place_y - rare_y"))).otherwise(0)
+    most = ahead + F.least(F.expr("n_x - place_x"), F.expr("n_y - place_y"))
+    mixed_kinds = F.expr("(role_x & role_y & 4) > 0 and ((role_x | role_y) & 8) > 0")
+    fits = F.expr(f"label_x <> label_y and n_x <= n_y and (role_x & 1) > 0 and (role_y & 2) > 0 and {DEN} * n_x >= {NUM} * n_y") & (mixed_kinds | ((NUM + DEN) * most >= F.expr(f"{NUM} * (n_x + n_y)")))
     more = x.join(y, "g").where(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     rest = scratch.table(more.distinct(), "apart")
     likely = scratch.table(_may_link(rest, sets), "likely")

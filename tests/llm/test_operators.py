@@ -145,11 +145,12 @@ def test_jaccard(spark, docs, rows, empty, monkeypatch, frequent, small):
         assert jaccard.similarity_components(empty).count() == 0
 
 
-def test_pair_signatures_lose_no_pair():
-    """Sets of frequent tokens alone: whoever is similar enough shares a signature in roles that meet."""
+@pytest.mark.parametrize("frequent", [400, 360, 250, 60])
+def test_pair_signatures_lose_no_pair(frequent):
+    """Sets of frequent tokens alone, and with rare ones: whoever is similar enough shares a signature in roles that meet."""
     rng = random.Random(4)
     pool = [rng.getrandbits(60) for _ in range(400)]
-    common = np.unique(jaccard.classes(np.array(pool, np.uint64), 64))
+    common = np.unique(jaccard.classes(np.array(pool[:frequent], np.uint64), 64))
     for _ in range(150):
         n = rng.randint(2, 120)
         x = rng.sample(pool, n)
@@ -159,15 +160,15 @@ def test_pair_signatures_lose_no_pair():
         if 4 * both < 3 * (len(x) + len(y) - both) or x == y:
             continue
         h = np.array(x + y, np.uint64)
-        name, row, place, role = jaccard.signatures(h, np.array([0, len(x), len(x) + len(y)]), common, np.ones(len(common), np.int64), 64)
+        name, row, place, role, rare = jaccard.signatures(h, np.array([0, len(x), len(x) + len(y)]), common, np.ones(len(common), np.int64), 64)
         size = np.array([len(x), len(y)])
         hit = False
         for i in np.flatnonzero(row == 0):
             for j in np.flatnonzero((row == 1) & (name == name[i])):
                 a, b = (i, j) if size[0] <= size[1] else (j, i)
-                ok = jaccard.can_link(*[np.array([v]) for v in (size[row[a]], place[a], role[a], size[row[b]], place[b], role[b])])[0]
+                ok = jaccard.can_link(*[np.array([v]) for v in (size[row[a]], rare[row[a]], place[a], role[a], size[row[b]], rare[row[b]], place[b], role[b])])[0]
                 if size[0] == size[1]:
-                    ok |= jaccard.can_link(*[np.array([v]) for v in (size[row[b]], place[b], role[b], size[row[a]], place[a], role[a])])[0]
+                    ok |= jaccard.can_link(*[np.array([v]) for v in (size[row[b]], rare[row[b]], place[b], role[b], size[row[a]], rare[row[a]], place[a], role[a])])[0]
                 hit |= bool(ok)
         assert hit, (len(x), len(y), both)
 
