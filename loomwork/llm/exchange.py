@@ -65,6 +65,19 @@ def unpack(blob: bytes) -> np.ndarray:
     return first + np.concatenate([[0], np.cumsum(np.frombuffer(blob, f"<u{width}", offset=5), dtype=np.int64)])
 
 
+def pack_counts(n: np.ndarray) -> bytes:
+    """Small numbers in any order, in as few bytes each as the largest needs."""
+    if not len(n):
+        return b""
+    most = int(n.max())
+    width = 1 if most < 256 else 2 if most < 65536 else 4
+    return struct.pack("<B", width) + n.astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64) if blob else np.zeros(0, np.int64)
+
+
 def pack48(names: np.ndarray) -> bytes:
     """48-bit numbers in six bytes each: the lower 32 bits of all, then the upper 16."""
     return (names & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (names >> np.uint64(32)).astype("<u2").tobytes()

@@ -210,9 +210,9 @@ def _send_signatures(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(row, kind="stable")
             name, row, place, role = name[order], row[order], place[order], role[order]
             bucket, low = X.split_name(name, buckets)
-            out = [(b, piece, 0, X.pack48(low[p]), X.pack(row[p]), place[p].astype("<u4").tobytes(), role[p].tobytes()) for b, p in X.parts(bucket)]
+            out = [(b, piece, 0, X.pack48(low[p]), X.pack(row[p]), X.pack_counts(place[p]), role[p].tobytes()) for b, p in X.parts(bucket)]
             info = np.stack([ids, n, d1, d2]).astype(np.int64)
-            out.append((int(piece % buckets), piece, 2, info.tobytes(), lead.astype(np.int64).tobytes(), n_rare.astype("<u4").tobytes(), None))
+            out.append((int(piece % buckets), piece, 2, info.tobytes(), lead.astype(np.int64).tobytes(), X.pack_counts(n_rare), None))
             yield from X.batches_of(out, _SENT)
 
     return docs.mapInArrow(run, _SENT_SQL)
@@ -238,7 +238,7 @@ def _shared_only(t: pa.Table) -> pa.Table:
         for i, a, k in zip(rows, begin, size, strict=True):
             m = keep[a : a + k]
             if m.any():
-                out.append((bucket, cols["piece"][i], 0, X.pack48(name[a : a + k][m]), X.pack(X.unpack(cols["row"][i])[m]), np.frombuffer(cols["place"][i], "<u4")[m].tobytes(), role[a : a + k][m].tobytes()))
+                out.append((bucket, cols["piece"][i], 0, X.pack48(name[a : a + k][m]), X.pack(X.unpack(cols["row"][i])[m]), X.pack_counts(X.unpack_counts(cols["place"][i])[m]), role[a : a + k][m].tobytes()))
     return X.table_of(out, _SENT)
 
 
@@ -248,12 +248,12 @@ def _attach(t: pa.Table) -> pa.Table:
     cols = {c: t.column(c).to_pylist() for c in ("bucket", "name", "row", "place", "role")}
     at = int(np.flatnonzero(kind == 2)[0])
     ids, n, d1, _ = np.frombuffer(cols["name"][at], np.int64).reshape(4, -1)
-    lead, rare = np.frombuffer(cols["row"][at], np.int64), np.frombuffer(cols["place"][at], "<u4")
+    lead, rare = np.frombuffer(cols["row"][at], np.int64), X.unpack_counts(cols["place"][at])
     out = []
     for i in np.flatnonzero(kind == 0):
         mine = X.unpack(cols["row"][i])
         row = lead[mine]
-        out.append((cols["bucket"][i], cols["name"][i], ids[row].tobytes(), d1[row].tobytes(), n[row].astype("<u4").tobytes(), rare[mine].tobytes(), cols["place"][i], cols["role"][i]))
+        out.append((cols["bucket"][i], cols["name"][i], ids[row].tobytes(), d1[row].tobytes(), X.pack_counts(n[row]), X.pack_counts(rare[mine]), cols["place"][i], cols["role"][i]))
     return X.table_of(out, _FULL)
 
 
@@ -275,7 +275,7 @@ def _candidates(t: pa.Table) -> pa.Table:
     col = lambda c, kind: T.joined(t, c, kind)
     name = np.concatenate([X.unpack48(b) for b in t.column("name").to_pylist()])
     ids, digest, role = col("id", np.int64), col("digest", np.int64), col("role", np.uint8)
-    n, rare, place = (col(c, "<u4").astype(np.int64) for c in ("n", "rare", "place"))
+    n, rare, place = (np.concatenate([X.unpack_counts(b) for b in t.column(c).to_pylist()]) for c in ("n", "rare", "place"))
     order = np.lexsort((ids, digest, name))  # equal sets of several pieces: the lowest id stays
     name, ids, digest, n, rare, place, role = (x[order] for x in (name, ids, digest, n, rare, place, role))
     new = np.ones(len(name), bool)
