@@ -169,6 +169,11 @@ class Codec:
         back = b"".join([self.bytes_of[i] for i in ids])
         self.decoded.append(w if back == w else back)
 
+    def forget(self) -> None:
+        """Drop the words; what is encoded later learns them again, with equal results."""
+        self.table.clear()
+        self.ids, self.id_text, self.decoded = [], [], []
+
     def split(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the words of all rows (bytes, then the end), and the row offsets into them.
 
@@ -233,8 +238,7 @@ class Codec:
         raw = buf.tobytes()
         distinct = [raw[a:b] for a, b in zip(bounds[first].tolist(), bounds[first + 1].tolist(), strict=True)]
         if len(self.table) > REMEMBERED:
-            self.table.clear()
-            self.ids, self.id_text, self.decoded = [], [], []
+            self.forget()
         new = [w for w in distinct if w not in self.table]
         for w in new:
             if w in self.special:
@@ -313,6 +317,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("
                             got["decoded_sha256"].append(hashlib.sha256(shown.encode()).hexdigest())
                 own = [c.slice(at, to - at) for c in batch.columns[: len(keep)]]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.array(got[k], _KINDS[k][1]) for k in ask]], [*keep, *ask])
+        c.forget()  # the worker process outlives the task and serves other steps next
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return docs.select(*keep, F.col(text_col).alias("__lw_text")).mapInArrow(run, ", ".join([*fields, *[f"{k} {_KINDS[k][0]}" for k in ask]]))

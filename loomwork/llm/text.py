@@ -6,6 +6,7 @@ batch; ``pieces`` bounds how large a piece is, so memory doesn't follow the size
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 #: Bytes of text that are worked on at a time; a longer single text makes a piece of its own.
 PIECE = 2 << 20
 
+#: glibc's call that returns freed memory; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _RNG = np.random.Generator(np.random.PCG64(0x10053))
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -67,6 +70,14 @@ def pieces(buf: np.ndarray, off: np.ndarray, most: int = PIECE) -> Iterator[tupl
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
         yield at, to, buf[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: worker processes are reused, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
