@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +10,6 @@ from loomwork.operators.search import tokens
 # The 4-bit NormalFloat codes.
 NF4 = [-1.0, -0.6962, -0.5251, -0.3949, -0.2844, -0.1848, -0.0911, 0.0, 0.0796, 0.1609, 0.2461, 0.3379, 0.4407, 0.5626, 0.7230, 1.0]
 SPECIAL = ["<pad>", "<unk>"]
-#: Distinct words whose merges are learned on the driver.
-MOST_WORDS = 20_000
 
 
 def nearest_code(x: Column) -> Column:
@@ -55,29 +51,26 @@ def pack(docs: DataFrame, key: str, ids: str, length: int) -> DataFrame:
 
 
 def bpe_merges(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """rank, left, right and count of the first n merges, learned from the counts of the most frequent words."""
+    """rank, left, right and count of the first n merges, learned from the counts of all words (ties by the pair).
+
+    The distinct words stay distributed, as symbols with spaces between them (a word has none of its own); only the best pair
+    of each round reaches the driver.
+    """
+    spark = docs.sparkSession
+    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     words = docs.select(F.explode(tokens(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    held = {tuple(r["w"]): r["n"] for r in words.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()}
+    held = words.select(F.array_join(F.split("w", ""), " ").alias("w"), "n").checkpoint()
     rows = []
     for rank in range(n):
-        pairs: Counter = Counter()
-        for w, k in held.items():
-            for p in zip(w, w[1:]):  # noqa: B905
-                pairs[p] += k
-        if not pairs:
+        symbols = held.select(F.split("w", " ").alias("s"), "n")
+        pairs = symbols.select("n", F.inline(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s")).alias("b"))))
+        best = pairs.groupBy("a", "b").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "a", "b").first()
+        if best is None:
             break
-        (a, b), k = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+        a, b, k = best
         rows.append((rank, a, b, k))
-        merged: dict = {}
-        for w, c in held.items():
-            out, i = [], 0
-            while i < len(w):
-                if w[i : i + 2] == (a, b):
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(w[i])
-                    i += 1
-            merged[tuple(out)] = merged.get(tuple(out), 0) + c
-        held = merged
-    return docs.sparkSession.createDataFrame(rows, "rank int, left string, right string, count long")
+        held = held.withColumn("w", F.regexp_replace("w", f"(?<![^ ]){a} {b}(?![^ ])", a + b))
+        if rank % 16 == 15:
+            held = held.checkpoint()  # so the plan doesn't grow
+    return spark.createDataFrame(rows, "rank int, left string, right string, count long")

@@ -128,6 +128,33 @@ def test_bpe_merges(spark):
     assert (first[0].left, first[0].right, first[0]["count"]) == ("a", "a", 4)
 
 
+def test_bpe_merges_count_every_word(spark):
+    """Rare words count too, however many words there are: against a plain count over all of them."""
+    counts = {f"x{i}": 2 for i in range(20_500)} | {f"zq{i}zqzq": 1 for i in range(9_000)} | {"aaaaa": 3, "\U0001d4b3\U0001d4b3y": 4}
+    docs = spark.createDataFrame([(" ".join([w] * k),) for w, k in counts.items()], "text string")
+    held, want = {tuple(w): k for w, k in counts.items()}, []
+    for rank in range(6):
+        pairs = {}
+        for w, k in held.items():
+            for p in zip(w, w[1:]):  # noqa: B905
+                pairs[p] = pairs.get(p, 0) + k
+        (a, b), k = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+        want.append((rank, a, b, k))
+        merged = {}
+        for w, c in held.items():
+            out = []
+            for s in w:
+                if out and not out[-1][1] and (out[-1][0], s) == (a, b):
+                    out[-1] = (a + b, True)
+                else:
+                    out.append((s, False))
+            merged[tuple(s for s, _ in out)] = c
+        held = merged
+    assert sorted(map(tuple, K.bpe_merges(docs, "text", 6).collect())) == want
+    few = spark.createDataFrame([("aaaaa aaaaa \U0001d4b3\U0001d4b3y",)], "text string")
+    assert [tuple(r) for r in K.bpe_merges(few, "text", 9).orderBy("rank").collect()] == [(0, "a", "a", 8), (1, "aa", "a", 2), (2, "aa", "aaa", 2), (3, "\U0001d4b3", "y", 1), (4, "\U0001d4b3", "\U0001d4b3y", 1)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """A stateful EWMA and windows over a stream of files end where the batch does."""
     rows = [(i, i % 3, float(i % 7), f"2024-01-01 00:00:{i:02d}") for i in range(40)]
