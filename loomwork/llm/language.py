@@ -20,6 +20,8 @@ from loomwork.llm import text as T
 SAMPLE, SAMPLE_CHARS = 2000, 8000
 #: Rows of the hashed weight table, words of a training segment, words of a forward-backward group.
 TABLE, SEGMENT, GROUP = 1 << 16, 32, 1 << 20
+#: n-grams times languages that a training step holds at once; unspaced words have very many n-grams.
+STEP_GRAMS = 1 << 23
 #: Words of the sample that name a language by themselves: at least so often, and in so large a share.
 LEXICON_COUNT, LEXICON_SHARE, LEXICON_SIZE = 8, 0.9, 4096
 UNKNOWN = "und"
@@ -126,7 +128,10 @@ def forward_backward(e: np.ndarray, rows: np.ndarray, transitions: np.ndarray) -
 
 
 def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float = 0.3, seed: int = 5) -> Model:
-    """Maximum likelihood by AdaGrad over segments of the texts; a text's language labels all its words."""
+    """Maximum likelihood by AdaGrad over segments of the texts; a text's language labels all its words.
+
+    Every word is in a segment: the last one of a text is as long as what is left of it.
+    """
     langs = sorted(set(labels))
     k = len(langs)
     buf, off = T.utf8(pa.array(texts, pa.large_string()))
@@ -141,17 +146,23 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
     m = Model(langs, np.zeros((TABLE, k), np.float32), np.eye(k, dtype=np.float32), words[named], seen[named].argmax(axis=1), np.zeros((k, k), np.float32))
     lex = m.in_lexicon(h)
     begin = np.concatenate([[0], np.cumsum(grams)])
-    per_row = np.diff(rows) // SEGMENT
+    per_row = -(-np.diff(rows) // SEGMENT)
     segments = np.repeat(rows[:-1], per_row) + SEGMENT * T.take_ranges(np.zeros(len(per_row), np.int64), per_row)
+    lengths = np.minimum(SEGMENT, np.repeat(rows[1:], per_row) - segments)
+    load = begin[segments + lengths] - begin[segments]
     if not len(segments):
         return m
     g_w, g_t, g_l = np.full_like(m.weights, 1e-3), np.full_like(m.transitions, 1e-3), np.full_like(m.lexicon_weights, 1e-3)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(segments), max(1, len(segments) // 512)):
-            at = (part[:, None] + np.arange(SEGMENT)).ravel()
+        parts = np.array_split(rng.permutation(len(segments)), max(1, len(segments) // 512))
+        for part in (q for p in parts for q in np.array_split(p, min(len(p), 1 + int(load[p].sum()) * k // STEP_GRAMS))):
+            n = lengths[part]
+            live = np.arange(SEGMENT) < n[:, None]
+            at = (segments[part][:, None] + np.arange(SEGMENT))[live]
             mine = gram[T.take_ranges(begin[at], grams[at])]
-            e = m.score(fixed[at], mine, grams[at], h[at]).reshape(len(part), SEGMENT, k).astype(np.float64)
+            e = np.zeros((len(part), SEGMENT, k))
+            e[live] = m.score(fixed[at], mine, grams[at], h[at])
             e = np.exp(e - e.max(axis=2, keepdims=True))
             a = np.exp(m.transitions.astype(np.float64))
             alpha, beta = np.empty_like(e), np.ones_like(e)
@@ -161,16 +172,16 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
                 alpha[:, t] = x / x.sum(axis=1, keepdims=True)
             for t in range(SEGMENT - 2, -1, -1):
                 x = (e[:, t + 1] * beta[:, t + 1]) @ a.T
-                beta[:, t] = x / x.sum(axis=1, keepdims=True)
+                beta[:, t] = np.where(live[:, t + 1, None], x / x.sum(axis=1, keepdims=True), 1)  # 1 at a segment's last word
             post = alpha * beta
             post /= post.sum(axis=2, keepdims=True)
             pair = alpha[:, :-1, :, None] * a[None, None] * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
+            pair *= live[:, 1:, None, None] / pair.sum(axis=(2, 3), keepdims=True)
             truth = np.zeros((len(at), k))
             truth[np.arange(len(at)), y[at]] = 1
-            grad = truth - post.reshape(-1, k)
+            grad = truth - post[live]
             moved = np.zeros((k, k))
-            np.add.at(moved, (y[at].reshape(len(part), -1)[:, :-1].ravel(), y[at].reshape(len(part), -1)[:, 1:].ravel()), 1)
+            np.add.at(moved, (y[segments[part]], y[segments[part]]), n - 1)
             d_t = (moved - pair.sum(axis=(0, 1))) / len(at)
             d_w = np.zeros((TABLE, k))
             of_gram = np.repeat(grad, grams[at], axis=0)

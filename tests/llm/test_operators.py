@@ -84,6 +84,28 @@ def test_language(spark, empty):
     assert language.identify(df.where("false").union(df.where("doc_id = 3").withColumn("lang", F.lit(None)))).first().lang_pred == "und"
 
 
+def test_language_learns_from_short_texts(spark):
+    """Labelled texts all under a segment, two of the languages in one unspaced word; and a short language among long ones."""
+    rng = random.Random(3)
+    kinds = {"en": "the ing tion and er ed".split(), "fr": "eau oir que les ai ent".split(), "de": "sch ung ich der ein ver".split(), "zh": list("的一是不了人我在有他"), "th": list("กขคงจชซญดต")}
+    langs = list(kinds)
+
+    def make(lang, words):
+        if lang in ("zh", "th"):
+            return "".join(rng.choice(kinds[lang]) for _ in range(5 * words))
+        return " ".join("".join(rng.choice(kinds[lang]) for _ in range(rng.randint(1, 3))) for _ in range(words))
+
+    for longest in (20, 300):  # the second time en, fr and de are long
+        texts = [(lang, make(lang, rng.randint(3, longest if lang in ("en", "fr", "de") else 20))) for lang in langs * 120]
+        data = [(i, text, lang if i < 400 else None) for i, (lang, text) in enumerate(texts)]
+        df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+        got = {r.doc_id: r for r in language.identify(df).collect()}
+        for k, lang in enumerate(langs):
+            new = [got[i] for i in range(400, 600) if i % 5 == k]
+            assert np.mean([r.lang_pred == lang for r in new]) > 0.9, (longest, lang)
+            assert np.mean([r.score for r in new]) > 0.4, (longest, lang)
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     e, a, at = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), np.array([0, 4, 4, 7])
