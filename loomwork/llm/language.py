@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm import text as T
 
-#: Labelled texts in the training sample, over all languages, and the longest text taken into it.
+#: Labelled texts in the training sample, over all languages (20 of each at least), and characters taken of each.
 SAMPLE, SAMPLE_CHARS = 2000, 8000
 #: Rows of the hashed weight table, words of a training segment, words of a forward-backward group.
 TABLE, SEGMENT, GROUP = 1 << 16, 32, 1 << 20
@@ -175,14 +175,15 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
                 beta[:, t] = np.where(live[:, t + 1, None], x / x.sum(axis=1, keepdims=True), 1)  # 1 at a segment's last word
             post = alpha * beta
             post /= post.sum(axis=2, keepdims=True)
-            pair = alpha[:, :-1, :, None] * a[None, None] * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
-            pair *= live[:, 1:, None, None] / pair.sum(axis=(2, 3), keepdims=True)
+            x = e[:, 1:] * beta[:, 1:]
+            z = ((alpha[:, :-1] @ a) * x).sum(axis=2)
+            pair = a * ((alpha[:, :-1] * (live[:, 1:] / z)[:, :, None]).reshape(-1, k).T @ x.reshape(-1, k))
             truth = np.zeros((len(at), k))
             truth[np.arange(len(at)), y[at]] = 1
             grad = truth - post[live]
             moved = np.zeros((k, k))
             np.add.at(moved, (y[segments[part]], y[segments[part]]), n - 1)
-            d_t = (moved - pair.sum(axis=(0, 1))) / len(at)
+            d_t = (moved - pair) / len(at)
             d_w = np.zeros((TABLE, k))
             of_gram = np.repeat(grad, grams[at], axis=0)
             for c in range(k):
@@ -201,15 +202,19 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
 
 
 def sample_texts(docs: DataFrame, usable: F.Column, *, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled texts, about as many of each language, picked by a hash of the id."""
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS) & (F.length(text_col) > 0))
-    sizes = {r[0]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(100).collect()}
+    """A sample of labelled texts, about as many of each language, picked by a hash of the id; of a long text its first stretch.
+
+    Every language counts, so the sample and the model grow with their number.
+    """
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    sizes = {r[0]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], []
     each = max(20, SAMPLE // len(sizes))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))])
     u = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1_000_003)) / 1_000_003
-    got = rows.where(u < F.try_element_at(share, F.col(lang_col))).select(text_col, lang_col).limit(2 * SAMPLE + 2000).collect()
+    stretch = F.substring(text_col, 1, SAMPLE_CHARS)
+    got = rows.where(u < F.try_element_at(share, F.col(lang_col))).select(stretch, lang_col).limit(2 * max(SAMPLE, each * len(sizes)) + 2000).collect()
     got = sorted((r[1], r[0]) for r in got)
     return [t for _, t in got], [lang for lang, _ in got]
 

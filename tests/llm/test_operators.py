@@ -106,6 +106,19 @@ def test_language_learns_from_short_texts(spark):
             assert np.mean([r.score for r in new]) > 0.4, (longest, lang)
 
 
+def test_language_learns_every_language(spark):
+    """More than a hundred languages, and one that only has long texts."""
+    rng = random.Random(6)
+    langs = [f"l{i:03d}" for i in range(119)] + ["long"]
+    kinds = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for x in langs}
+    make = lambda x, k: " ".join(rng.choice(kinds[x]) for _ in range(k))
+    data = [(i, make(x, 1500 if x == "long" else 12), x) for i, x in enumerate(langs * 6)]
+    data += [(10_000 + i, make(x, 12), None) for i, x in enumerate(langs)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    right = [got[10_000 + i] == x for i, x in enumerate(langs)]
+    assert np.mean(right) > 0.95 and right[-1], right
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     e, a, at = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), np.array([0, 4, 4, 7])
