@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 BASE, DEPTH = 3, 3
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node of every seed's downstream closure: (seed, node, steps), by joins until nothing new is reached.
 
     Each round extends only the frontier, keeps distinct pairs and cuts its lineage with a checkpoint, so the plan doesn't grow.
@@ -22,12 +23,14 @@ def closure(edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
     hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("steps"))
     front = seen
-    for step in range(1, most + 1):
+    for step in count(1):  # ends, as each round adds distinct pairs
         reached = front.join(hop, "node").select("seed", F.col("next").alias("node")).distinct()
         front = reached.join(seen, ["seed", "node"], "left_anti").withColumn("steps", F.lit(step)).checkpoint()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if step % 16 == 0:
+            seen = seen.coalesce(spark.sparkContext.defaultParallelism).checkpoint()  # a deep graph has many rounds
     return seen
 
 

@@ -73,6 +73,13 @@ def test_cohesion_and_coupling(spark):
         assert G.cohesion(edges, a).agg(F.avg("cohesion")).first()[0] == pytest.approx(mean)
 
 
+def test_closure_of_a_long_chain(spark):
+    """A chain of more than 50 hops that ends in a circle is followed to its end."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(53)] + [(53, 51)], "src int, dst int")
+    got = G.closure(edges, spark.createDataFrame([(0,), (50,)], "node int")).collect()
+    assert sorted(map(tuple, got)) == [(0, i, i) for i in range(54)] + [(50, 50 + i, i) for i in range(4)]
+
+
 def test_fronts(spark):
     s = spark.createDataFrame([(1, 2.0, 0.17, 0.0), (2, 3.0, 0.5, 1.0), (3, 2.0, 0.25, 0.0), (4, 3.0, 0.4, 1.0)], "id int, a double, b double, c double")
     got = {r.id: r.front for r in G.fronts(s, {"a": "min", "b": "max", "c": "min"}).collect()}
