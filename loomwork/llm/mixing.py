@@ -32,7 +32,7 @@ def source_rates(docs: DataFrame, *, weights: dict[str, float] | None = None, al
         F.concat(acc["cdf"], F.array(F.coalesce(F.element_at(acc["cdf"], -1), F.lit(0.0)) + F.exp(-F.col("rate") + k * F.ln("rate") - acc["log_fact"] - F.when(k > 0, F.ln(k.cast("double"))).otherwise(0.0)))).alias("cdf"),
     )
     cdf = F.aggregate(F.sequence(F.lit(0), last), F.struct(F.lit(0.0).alias("log_fact"), F.array(F.lit(0.0)).alias("cdf")), step, lambda acc: acc["cdf"])
-    return rates.withColumn("cdf", F.when(F.col("rate") > 0, F.slice(cdf, 2, 2_000_000)).otherwise(F.array(F.lit(2.0))))
+    return rates.withColumn("cdf", F.when(F.col("rate") > 0, F.slice(cdf, 2, 1 << 30)).otherwise(F.array(F.lit(2.0))))
 
 
 def uniform(*parts) -> F.Column:
@@ -43,21 +43,22 @@ def uniform(*parts) -> F.Column:
 def poisson_mix(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Repeat each row by a Poisson count with the mean of its source, then shuffle globally.
 
-    The count is the inverse of the Poisson distribution function at a number hashed from seed and id, so a rerun
-    gives the same counts. Rows get the columns of docs plus lw_rate, lw_copies, lw_copy (from 0) and
-    lw_key, a hash of id and copy: rows are dealt out and sorted by it. Rows with count 0 go.
-    A null id counts as the id ''; rows that repeat an id get the same count; null and empty texts weigh
-    nothing but are repeated as others of their source; an empty table gives an empty table.
+    The count is the inverse of the Poisson distribution function at a number hashed from seed, id and text, so a
+    rerun gives the same counts. Rows get the columns of docs plus lw_rate, lw_copies, lw_copy (from 0) and
+    lw_key, a hash of id, text and copy: rows are dealt out and sorted by it. Rows with count 0 go.
+    A null id counts as the id '', a null text as ''; different texts with one id, or none, are drawn each by itself,
+    rows equal in both get the same count. Null and empty texts weigh nothing but are repeated as others of their
+    source; an empty table gives an empty table.
     """
     rates = source_rates(docs, weights=weights, alpha=alpha, epochs=epochs, text_col=text_col, source_col=source_col).select(F.col("src").alias("lw_src"), F.col("rate").alias("lw_rate"), F.col("cdf").alias("lw_cdf"))
     few = rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     counted = docs.withColumn("lw_src", F.coalesce(F.col(source_col), F.lit(""))).join(F.broadcast(rates) if few else rates, "lw_src")
-    u = uniform(F.lit(str(seed)), key)
-    counted = counted.withColumn("lw_u", u).withColumn("lw_copies", F.size(F.filter("lw_cdf", lambda c: c <= F.col("lw_u")))).drop("lw_cdf", "lw_u", "lw_src")
+    counted = counted.withColumn("lw_row", key)
+    counted = counted.withColumn("lw_u", uniform(F.lit(str(seed)), F.col("lw_row"))).withColumn("lw_copies", F.size(F.filter("lw_cdf", lambda c: c <= F.col("lw_u")))).drop("lw_cdf", "lw_u", "lw_src")
     copies = counted.where(F.col("lw_copies") > 0).withColumn("lw_copy", F.explode(F.sequence(F.lit(0), F.col("lw_copies") - 1)))
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("lw_copy"))), 1, 15), 16, 10).cast("long")
-    return copies.withColumn("lw_key", order).repartition("lw_key").sortWithinPartitions("lw_key")
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("lw_row"), F.col("lw_copy"))), 1, 15), 16, 10).cast("long")
+    return copies.withColumn("lw_key", order).drop("lw_row").repartition("lw_key").sortWithinPartitions("lw_key")
 
 
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ rates AS (SELECT src, CASE WHEN size > 0 THEN (sqrt(size) / (SELECT sum(sqrt(siz
 cdf AS (SELECT src, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY src ORDER BY k) AS c
   FROM rates, range(0, 400) t(k) WHERE rate > 0 AND k <= ceil(rate + 12 * sqrt(rate) + 30)),
 steps AS (SELECT src, rate, list(c ORDER BY k) AS cs FROM cdf GROUP BY 1, 2),
-counted AS (SELECT d.*, rate, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0)) AS n_copies
+counted AS (SELECT d.*, rate, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, ''))), 1, 13))::BIGINT / 4503599627370496.0)) AS n_copies
   FROM {docs} d JOIN steps s ON coalesce(d.source, '') = s.src),
 mixed AS (SELECT c.*, unnest(range(0, n_copies))::INT AS copy FROM counted c WHERE n_copies > 0)
 """
@@ -80,7 +81,7 @@ mixed AS (SELECT c.*, unnest(range(0, n_copies))::INT AS copy FROM counted c WHE
 SQL = {
     "op2_poisson_mixing": MIX_SQL.format(docs="documents")
     + """SELECT doc_id, source, copy, n_copies::INT AS n_copies, round(rate, 9) AS rate,
-  ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 15))::BIGINT AS shuffle_key, text FROM mixed"""
+  ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || copy), 1, 15))::BIGINT AS shuffle_key, text FROM mixed"""
 }
 
 QUERIES = {"op2_poisson_mixing": op2_poisson_mixing}
