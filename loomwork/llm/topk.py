@@ -46,13 +46,13 @@ def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.linalg.norm(x - p, axis=1) for p in pivots], axis=1)
 
 
-def search(queries: np.ndarray, q_ids: np.ndarray, q_table: np.ndarray, cands: np.ndarray, c_ids: np.ndarray, c_table: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The k best candidates of each query: (query, candidate, inner product), exact.
+def search(queries: np.ndarray, q_rows: np.ndarray, q_table: np.ndarray, q_least: np.ndarray, cands: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray, c_table: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The k best candidates of each query, as far as they reach its least score: (row of the query, id of the candidate, inner product), exact.
 
     |d(q, p) - d(c, p)| bounds d(q, c) from below for each pivot p, and q.c = (|q|^2 + |c|^2 - d(q, c)^2) / 2, so
     the largest of these bounds caps the score. Candidates are evaluated from the highest cap down; a query
-    is done when the next cap is below its k-th score. Caps get a margin for rounding, and equal caps are
-    evaluated, so ties are never lost.
+    is done when the next cap is below its k-th score, or below ``q_least``, which k candidates are known to reach.
+    Caps get a margin for rounding, and equal caps are evaluated, so ties are never lost. A row is never its own candidate.
     """
     q_sq, c_sq = (queries.astype(np.float64) ** 2).sum(axis=1), (cands.astype(np.float64) ** 2).sum(axis=1)
     top = max(np.abs(queries).max(initial=0), np.abs(cands).max(initial=0))
@@ -65,20 +65,20 @@ def search(queries: np.ndarray, q_ids: np.ndarray, q_table: np.ndarray, cands: n
             np.maximum(low, np.abs(c_table[:, p] - q_table[i, p]), out=low)
         cap = (q_sq[i] + c_sq - low * low) / 2
         cap += 1 + 1e-9 * (q_sq[i] + c_sq)
-        cap[c_ids == q_ids[i]] = -np.inf
-        order = np.argsort(-cap, kind="stable")
+        cap[c_rows == q_rows[i]] = -np.inf
+        open_ = np.flatnonzero((cap >= q_least[i]) & (cap > -np.inf))
+        order = open_[np.argsort(-cap[open_], kind="stable")]
         best_s, best_v = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         q = queries[i].astype(cf.dtype)
         at, step = 0, STEP
-        while at < len(order) and cap[order[at]] > -np.inf and (len(best_s) < k or cap[order[at]] >= best_s[-1]):
+        while at < len(order) and (len(best_s) < k or cap[order[at]] >= best_s[-1]):
             take = order[at : at + step]
-            take = take[cap[take] > -np.inf]
             s = (cf[take] @ q).astype(np.int64)
             best_s, best_v = np.concatenate([best_s, s]), np.concatenate([best_v, c_ids[take]])
             keep = np.lexsort((best_v, -best_s))[:k]
             best_s, best_v = best_s[keep], best_v[keep]
             at, step = at + step, step * 2
-        out += [(int(q_ids[i]), int(v), int(s)) for v, s in zip(best_v, best_s, strict=True)]
+        out += [(int(q_rows[i]), int(v), int(s)) for v, s in zip(best_v, best_s, strict=True)]
     return out
 
 
@@ -86,24 +86,28 @@ def exact_topk(vectors: DataFrame, is_query: F.Column, k: int = 5, *, id_col: st
     """For each row that is_query marks, the k other rows of highest integer inner product, exactly.
 
     Components become floor(scale * x). Returns query_id, rank (from 1), vec_id, score; ties go to the smaller
-    id. Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; vectors are
-    compared with those of equal length only; rows that repeat an id count once each, as candidates of other
-    ids. An empty table gives an empty table. Other columns are not read.
-
-    Pivots come from a bounded sample; their distances are computed once for every row. Queries and
-    candidates meet in blocks of fixed size, each pair of blocks in one task.
+    id. Vectors that are null, empty or hold null or non-finite components take no part, nor do those with components so
+    large that scores could leave 64 bits (floor(scale * x) squared, times the length, above 2^62), nor null ids. Vectors are
+    compared with those of equal length only. Rows that repeat an id are rows of their own: each is a query with its own
+    ranks, and a candidate of the others. An empty table gives an empty table. Other columns are not read.
+
+    Pivots come from a bounded sample; their distances are computed once for every row. Each query also meets the
+    sample at once: its k-th score there bounds the caps in all blocks. Queries and candidates meet in blocks of
+    fixed size, each pair of blocks in one task.
     """
     x = F.col(vector_col)
-    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.pow(F.abs(F.floor(v.cast("double") * scale).cast("double")), F.lit(2)) * F.size(x) <= float(1 << 62)))
     rows = scratch.table(
         vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & whole)
-        .select(F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")),
+        .select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")),
         "topk",
     )
     pivots = {}
     for (dim,) in sorted(tuple(r) for r in rows.select("dim").distinct().limit(64).collect()):
-        sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").collect()
-        pivots[dim] = choose_pivots(np.array([r["v"] for r in sample], dtype=np.int64), PIVOTS)
+        sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id", "row").limit(PIVOT_SAMPLE).select("row", "v").collect()
+        v = np.array([r["v"] for r in sample], dtype=np.int64)
+        pivots[dim] = choose_pivots(v, PIVOTS), v, np.array([r["row"] for r in sample], dtype=np.int64)
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
     n = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     nq, nc = -(-max(n["q"], 1) // QUERY_BLOCK), -(-max(n["n"], 1) // CANDIDATE_BLOCK)
 
@@ -111,23 +115,30 @@ def exact_topk(vectors: DataFrame, is_query: F.Column, k: int = 5, *, id_col: st
         for b in batches:
             dims = b.column("dim").to_numpy()
             tables: list = [None] * len(dims)
+            least = np.full(len(dims), np.iinfo(np.int64).min)
+            asks, own = np.asarray(b.column("q").fill_null(False)), np.asarray(b.column("row"))
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                p = pivots.get(int(dim))
+                p = shared.value.get(int(dim))
                 if p is None:  # beyond the lengths that got pivots: no bound, every candidate is evaluated
                     for i in at:
                         tables[i] = [0.0]
                     continue
-                d = pivot_distances(_matrix(b.column("v").take(pa.array(at)), int(dim)), p)
-                for i, row in zip(at, d, strict=True):
-                    tables[i] = row
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("dim"), b.column("v"), b.column("q"), pa.array(tables, pa.list_(pa.float64()))], ["id", "dim", "v", "q", "table"])
-
-    tabled = rows.mapInArrow(table_of, "id long, dim int, v array<long>, q boolean, table array<double>")
+                p, sample, sampled = p
+                mine = _matrix(b.column("v").take(pa.array(at)), int(dim))
+                for i, line in zip(at, pivot_distances(mine, p), strict=True):
+                    tables[i] = line
+                for i in np.flatnonzero(asks[at]):
+                    s = np.sort((sample @ mine[i])[sampled != own[at[i]]])
+                    if len(s) >= k:
+                        least[at[i]] = s[-k]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("dim"), b.column("v"), b.column("q"), pa.array(tables, pa.list_(pa.float64())), pa.array(least)], ["row", "id", "dim", "v", "q", "table", "least"])
+
+    tabled = rows.mapInArrow(table_of, "row long, id long, dim int, v array<long>, q boolean, table array<double>, least long")
     tabled = scratch.table(tabled, "topk-table")
-    cand = tabled.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(nc))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("q", F.lit(False))
-    quer = tabled.where("q").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    cols = ["qb", "cb", "dim", "id", "v", "table", "q"]
+    cand = tabled.withColumn("cb", F.pmod(F.xxhash64("row"), F.lit(nc))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("q", F.lit(False))
+    quer = tabled.where("q").withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(nq))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    cols = ["qb", "cb", "dim", "row", "id", "v", "table", "least", "q"]
     both = cand.select(*[F.col(c).cast("int") if c in ("qb", "cb") else F.col(c) for c in cols]).unionByName(quer.select(*[F.col(c).cast("int") if c in ("qb", "cb") else F.col(c) for c in cols]))
 
     def block(t: pa.Table) -> pa.Table:
@@ -135,15 +146,18 @@ def exact_topk(vectors: DataFrame, is_query: F.Column, k: int = 5, *, id_col: st
         is_q = np.asarray(t.column("q"))
         if is_q.any() and not is_q.all():
             dim = t.column("dim")[0].as_py()
-            ids, v = np.asarray(t.column("id"), dtype=np.int64), _matrix(t.column("v"), dim)
+            own, ids, least = (np.asarray(t.column(c), dtype=np.int64) for c in ("row", "id", "least"))
+            v = _matrix(t.column("v"), dim)
             flat = np.asarray(t.column("table").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
-            found = search(v[is_q], ids[is_q], flat[is_q], v[~is_q], ids[~is_q], flat[~is_q], k)
+            found = search(v[is_q], own[is_q], flat[is_q], least[is_q], v[~is_q], own[~is_q], ids[~is_q], flat[~is_q], k)
         cols = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["row", "vec_id", "score"])
 
-    parts = both.groupBy("qb", "cb", "dim").applyInArrow(block, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = both.groupBy("qb", "cb", "dim").applyInArrow(block, "row long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = rows.where("q").select("row", F.col("id").alias("query_id"))
+    return best.join(asked, "row").select("query_id", "rank", "vec_id", "score")
 
 
 def op5_pivot_table_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
