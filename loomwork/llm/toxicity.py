@@ -206,11 +206,11 @@ class Model:
     rate: float
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The calibrated rate, with a trace of the raw score so that equal rates stay in order."""
+        """The calibrated rate, and the trees' own margin, by which texts of equal rates can be told apart."""
         if self.trees is None:
-            return np.full(len(off) - 1, self.rate)
+            return np.full((2, len(off) - 1), [[self.rate], [0.0]])
         m = self.trees.margin(dense_features(buf, off, self.lexicon, self.weights))
-        return np.clip(0.98 * np.interp(m, *self.knots) + 0.02 / (1 + np.exp(-m)), 0, 1)
+        return np.stack([np.clip(np.interp(m, *self.knots), 0, 1), m])
 
 
 def _feature_rows(sample: DataFrame, lexicon: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,6 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, *, id_col: str =
     rows = docs.select(F.col(id_col).alias("lw_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "lw_id")  # at most SAMPLE rows
     from loomwork.llm import scratch
 
+    # of texts that share an id one counts, so the sample is bounded whatever docs holds
+    rows = rows.groupBy("lw_id", "toxic", "o").agg(F.min("text").alias("text"))
     rows = scratch.table(rows.withColumn("half", F.pmod("o", F.lit(2)).cast("int")).select("text", "toxic", "half"), "toxicity")
     counts = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
@@ -294,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, *, id_col: str =
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The calibrated score of each whole text. Null and empty texts are scored as texts without words; rows aren't
+    """The calibrated score of each whole text, and the margin that it comes from. Null and empty texts are scored as texts without words; rows aren't
     moved or joined, so repeated rows, null ids and empty tables need no care."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -302,10 +304,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         for b in batches:
             buf, off = T.utf8(b.column(1))
             out = [shared.value.score(part, part_off) for _, _, part, part_off in T.pieces(buf, off)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([*out, np.zeros(0)]))], ["doc_id", "score"])
+            got = np.concatenate([*out, np.zeros((2, 0))], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got[0]), pa.array(got[1])], ["doc_id", "score", "margin"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, margin double")
 
 
 def op6_gbt_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +316,7 @@ def op6_gbt_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = held_out(3, 1)
     model = train(docs, labels, ~out)
-    return score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "margin")
 
 
 QUERIES = {"op6_gbt_toxicity": op6_gbt_toxicity}
