@@ -20,6 +20,8 @@ from loomwork.llm import text as T
 SAMPLE, SAMPLE_CHARS = 2000, 8000
 #: Rows of the hashed weight table, words of a training segment, words of a forward-backward group.
 TABLE, SEGMENT, GROUP = 1 << 16, 32, 1 << 20
+#: Share of the training segments that go on in another text, so that transitions see languages switch.
+SWITCHED = 0.25
 #: n-grams times languages that a training step holds at once; unspaced words have very many n-grams.
 STEP_GRAMS = 1 << 23
 #: Words of the sample that name a language by themselves: at least so often, and in so large a share.
@@ -130,7 +132,8 @@ def forward_backward(e: np.ndarray, rows: np.ndarray, transitions: np.ndarray) -
 def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float = 0.3, seed: int = 5) -> Model:
     """Maximum likelihood by AdaGrad over segments of the texts; a text's language labels all its words.
 
-    Every word is in a segment: the last one of a text is as long as what is left of it.
+    Every word is in a segment: the last one of a text is as long as what is left of it. In each step some segments go on
+    with the words of another from a random place on, as code-switched text does.
     """
     langs = sorted(set(labels))
     k = len(langs)
@@ -157,9 +160,13 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
     for _ in range(epochs):
         parts = np.array_split(rng.permutation(len(segments)), max(1, len(segments) // 512))
         for part in (q for p in parts for q in np.array_split(p, min(len(p), 1 + int(load[p].sum()) * k // STEP_GRAMS))):
-            n = lengths[part]
-            live = np.arange(SEGMENT) < n[:, None]
-            at = (segments[part][:, None] + np.arange(SEGMENT))[live]
+            places = np.arange(SEGMENT)
+            live, word = places < lengths[part][:, None], segments[part][:, None] + places
+            other = rng.permutation(len(part))
+            cut = np.where(rng.random(len(part)) < SWITCHED, rng.integers(1, SEGMENT, len(part)), SEGMENT)
+            swap = (places >= cut[:, None]) & ((cut <= lengths[part]) & (cut < lengths[part][other]))[:, None]
+            live, word = np.where(swap, live[other], live), np.where(swap, word[other], word)
+            at = word[live]
             mine = gram[T.take_ranges(begin[at], grams[at])]
             e = np.zeros((len(part), SEGMENT, k))
             e[live] = m.score(fixed[at], mine, grams[at], h[at])
@@ -182,7 +189,8 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
             truth[np.arange(len(at)), y[at]] = 1
             grad = truth - post[live]
             moved = np.zeros((k, k))
-            np.add.at(moved, (y[segments[part]], y[segments[part]]), n - 1)
+            label = y[np.where(live, word, 0)]
+            np.add.at(moved, (label[:, :-1][live[:, 1:]], label[:, 1:][live[:, 1:]]), 1)
             d_t = (moved - pair) / len(at)
             d_w = np.zeros((TABLE, k))
             of_gram = np.repeat(grad, grams[at], axis=0)
@@ -212,9 +220,11 @@ def sample_texts(docs: DataFrame, usable: F.Column, *, id_col: str, text_col: st
         return [], []
     each = max(20, SAMPLE // len(sizes))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))])
-    u = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1_000_003)) / 1_000_003
-    stretch = F.substring(text_col, 1, SAMPLE_CHARS)
-    got = rows.where(u < F.try_element_at(share, F.col(lang_col))).select(stretch, lang_col).limit(2 * max(SAMPLE, each * len(sizes)) + 2000).collect()
+    o = F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col))
+    u = F.pmod(o, F.lit(1_000_003)) / 1_000_003
+    picked = rows.where(u < F.try_element_at(share, F.col(lang_col))).select(F.substring(text_col, 1, SAMPLE_CHARS), lang_col, o.alias("lw_o"))
+    # about half as many are expected; the limit holds where rows repeat
+    got = picked.orderBy("lw_o", lang_col).limit(2 * max(SAMPLE, each * len(sizes)) + 2000).collect()
     got = sorted((r[1], r[0]) for r in got)
     return [t for _, t in got], [lang for lang, _ in got]
 
