@@ -20,29 +20,46 @@ from pyspark.sql import functions as F
 
 from loomwork.llm import text as T
 
-#: Bytes of text for each bucket, and the least number of buckets.
-BUCKET_TEXT, LEAST_BUCKETS = 24 << 20, 64
+#: Bytes of text for each bucket, at every size of the input: what a task holds at a time doesn't grow with it.
+BUCKET_TEXT = 4 << 20
 #: Stands for a null id; sorts first.
 NO_ID = -(1 << 63)
+Reduce = Callable[[pa.Table], pa.Table]
 
 
 def bucket_count(docs: DataFrame, text_col: str) -> int:
     """Buckets in proportion to the bytes of all texts."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(LEAST_BUCKETS, -(-size // BUCKET_TEXT))
+    return max(1, -(-size // BUCKET_TEXT))
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished steps now, and not when the driver next happens to collect garbage."""
+    """Let Spark drop the shuffle files of finished steps now, and not when the driver next happens to collect garbage.
+
+    A hint only: without a JVM of its own (Spark Connect) the session drops them when it does.
+    """
     import gc
     import time
 
-    for _ in range(2):  # what Python let go must reach the JVM first
+    jvm = getattr(getattr(df.sparkSession, "sparkContext", None), "_jvm", None)
+    for _ in range(2 if jvm is not None else 0):  # what Python let go must reach the JVM first
         gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
+        jvm.System.gc()
         time.sleep(0.3)
 
 
+def lean(reduce: Reduce) -> Reduce:
+    """The reducer, which afterwards returns the memory that it worked in: workers stay, and several share an executor."""
+
+    def run(t: pa.Table) -> pa.Table:
+        try:
+            return reduce(t)
+        finally:
+            T.give_back()
+
+    return run
+
+
 def split_name(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each name by its upper 32 bits, scaled; the lower 48 bits tell names of a bucket apart."""
     return ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), names & np.uint64((1 << 48) - 1)
@@ -104,14 +121,15 @@ def parts(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(buckets[order[a]]), order[a : a + n]
 
 
-def each_piece(batches: Iterator[pa.RecordBatch], id_at: int = 0, text_at: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(number of the piece, ids, bytes, offsets); a task that is run again numbers its pieces as before."""
+def each_piece(batches: Iterator[pa.RecordBatch], id_at: int = 0, text_at: int = 1, with_column: int | None = None) -> Iterator[tuple]:
+    """(number of the piece, ids, bytes, offsets and, if asked for, another column of numbers); a task that is run again numbers its pieces as before."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         ids = np.asarray(batch.column(id_at).cast(pa.int64()).fill_null(NO_ID))
+        more = None if with_column is None else np.asarray(batch.column(with_column))
         buf, off = T.utf8(batch.column(text_at))
         for a, b, part, part_off in T.pieces(buf, off):
-            yield number, ids[a:b], part, part_off
+            yield (number, ids[a:b], part, part_off, *(() if more is None else (more[a:b],)))
             number += 1
 
 
@@ -122,6 +140,3 @@ def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 def batches_of(rows: list[tuple], schema: pa.Schema) -> list[pa.RecordBatch]:
     return table_of(rows, schema).to_batches()
-
-
-Reduce = Callable[[pa.Table], pa.Table]

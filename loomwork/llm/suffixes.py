@@ -4,7 +4,8 @@ Strings of 50 bytes that two documents share have an anchor in common, a place t
 anchors that occur again go further, with the bytes that strings around them can cover. Equal surroundings are
 decided by the lowest document that has them. Surroundings that differ are sorted by a suffix array, which is
 constructed by linear grouping: groups of suffixes with a common Lyndon prefix are refined from the highest down by
-their previous-smaller pointers, then each group's order is emitted, without recursive renaming.
+their previous-smaller pointers, then each group's order is emitted, without recursive renaming. Surroundings of one
+anchor that are too many for one suffix array are compared string by string.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,18 +148,40 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def _by_string(left: list[bytes], right: list[bytes], doc: np.ndarray) -> np.ndarray:
+    """As shared_windows() for one group, a string's distance to the anchor at a time."""
+    masks = np.zeros(len(left), np.int64)
+    n_left, n_right = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    sides = [np.frombuffer(b"".join(side), np.uint8).reshape(-1, REACH) for side in ([x.rjust(REACH, b"\0") for x in left], [x.ljust(REACH, b"\0") for x in right])]
+    for o in range(REACH + 1):
+        fits = np.flatnonzero((n_left >= o) & (n_right >= REACH - o))
+        if len(fits):
+            strings = np.ascontiguousarray(np.concatenate([sides[0][fits, REACH - o :], sides[1][fits, : REACH - o]], axis=1)).view(f"V{REACH}").ravel()
+            _, kind = np.unique(strings, return_inverse=True)
+            low = np.full(kind.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, kind, doc[fits])
+            masks[fits[doc[fits] > low[kind]]] |= 1 << o
+    return masks
+
+
 def shared_windows(left: list[bytes], right: list[bytes], group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each surrounding (bytes before and after its group's anchor) a mask of the strings that a lower document has.
 
     Bit o stands for the string with o bytes before the anchor. Groups are sorted together in chunks; in a text the anchor
-    is one symbol of its group, so a string has REACH + 1 symbols.
+    is one symbol of its group, so a string has REACH + 1 symbols. ``group`` ascends.
     """
     masks = np.zeros(len(left), np.int64)
     i = 0
+    end_of = np.searchsorted(group, group, side="right")  # groups stand together
     while i < len(left):
+        if (end_of[i] - i) * (2 * REACH + 2) > CHUNK:
+            whole = slice(i, int(end_of[i]))
+            masks[whole] = _by_string(left[whole], right[whole], doc[whole])
+            i = whole.stop
+            continue
         text: list[int] = []
         base, first = [], i
-        while i < len(left) and (len(text) < CHUNK or group[i] == group[i - 1]):
+        while i < len(left) and (not text or len(text) + (end_of[i] - i) * (2 * REACH + 2) <= CHUNK or group[i] == group[i - 1]):
             base.append(len(text))
             text += [b + 2 for b in left[i]]
             text.append(258 + int(group[i] - group[first]))
@@ -192,6 +216,49 @@ def shared_windows(left: list[bytes], right: list[bytes], group: np.ndarray, doc
     return masks
 
 
+def _common(group: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each side (its bytes from the anchor outwards, zeros after them): the most bytes in common with another of its group."""
+    words = np.zeros((len(side), 32), np.uint8)
+    words[:, :REACH] = side
+    keys = words.view(">u8").astype(np.uint64)
+    order = np.lexsort((size, *[keys[:, k] for k in range(3, -1, -1)], group))
+    a, b = order[:-1], order[1:]  # neighbours in this order have the most in common
+    same = np.cumprod(side[a] == side[b], axis=1).sum(axis=1)
+    same = np.where(group[a] == group[b], np.minimum(same, np.minimum(size[a], size[b])), 0)
+    out = np.zeros(len(side), np.int64)
+    np.maximum.at(out, a, same)
+    np.maximum.at(out, b, same)
+    return out
+
+
+def shared_masks(group: np.ndarray, doc: np.ndarray, left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """shared_windows() of many surroundings (bytes from the anchor outwards, zeros after them).
+
+    Bytes that no other surrounding of the group has in common can't be in a shared string and are cut off; what is
+    then equal within a group is sorted once, for its lowest document.
+    """
+    if not len(group):
+        return np.zeros(0, np.int64)
+    ll, rr = _common(group, left, n_left), _common(group, right, n_right)
+    some = np.flatnonzero(ll + rr >= REACH)
+    outside = np.arange(REACH)
+    forms = np.concatenate([group[some, None].view(np.uint8).reshape(-1, 8), ll[some, None].astype(np.uint8), rr[some, None].astype(np.uint8), np.where(outside < ll[some, None], left[some], 0).astype(np.uint8), np.where(outside < rr[some, None], right[some], 0).astype(np.uint8)], axis=1)
+    forms = np.ascontiguousarray(forms).view(f"V{10 + 2 * REACH}").ravel()
+    _, lead, which = np.unique(forms, return_index=True, return_inverse=True)  # equal groups stand together
+    lead = some[lead]
+    low = np.full(len(lead), np.iinfo(np.int64).max)
+    np.minimum.at(low, which, doc[some])
+    first, size = X.runs(group[lead])
+    several = np.repeat(size > 1, size)  # a form that is alone in its group shares strings with none
+    rank = np.repeat(np.arange(len(first)), size)
+    found = np.zeros(len(lead), np.int64)
+    found[several] = shared_windows([left[k, : ll[k]][::-1].tobytes() for k in lead[several]], [right[k, : rr[k]].tobytes() for k in lead[several]], rank[several], low[several])
+    every = (np.int64(2) << ll[some]) - (np.int64(1) << (REACH - rr[some]))  # strings with REACH - rr to ll bytes before the anchor
+    mask = np.zeros(len(group), np.int64)
+    mask[some] = np.where(doc[some] > low[which], every, 0) | found[which]
+    return mask
+
+
 _DOCS = pa.schema([("part", pa.int32()), ("id", pa.binary()), ("th", pa.binary()), ("pos", pa.binary()), ("mask", pa.binary()), ("name", pa.binary())])
 _DOCS_SQL = "part int, id binary, th binary, pos binary, mask binary, name binary"
 
@@ -248,8 +315,14 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
             ids, th = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for a, b, buf, off in T.pieces(*T.utf8(batch.column(1))):
                 at, h = anchors(buf, off)
-                bucket, low = X.split_name(h, buckets)
-                out = [(p, piece, 0, X.pack48(low[k]), X.pack(at[k]), None) for p, k in X.parts(bucket)]
+                order = np.argsort(h, kind="stable")
+                begin, count = X.runs(h[order])
+                lead, twice = order[begin], count > 1  # of a name only the first place is sent; the others are known to occur again
+                later = np.ones(len(at), bool)
+                later[lead] = False
+                bucket, low = X.split_name(h[lead], buckets)
+                out = [(p, piece, 0, X.pack48(low[k]), at[lead[k]].astype("<u4").tobytes(), np.packbits(twice[k]).tobytes()) for p, k in X.parts(bucket)]
+                out.append((int(piece % buckets), piece, 1, None, at[later].astype("<u4").tobytes(), None))
                 out.append((int(piece % buckets), piece, 2, ids[a:b].tobytes(), off.astype(np.int64).tobytes(), th[a:b].tobytes()))
                 yield from X.batches_of(out, sent)
                 piece += 1
@@ -259,7 +332,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         kind = np.asarray(t.column("kind"))
         col = {c: t.column(c).to_pylist() for c in ("piece", "name", "at", "th")}
         bucket = t.column("bucket")[0].as_py()
-        out = [(bucket, col["piece"][i], 2, col["name"][i], col["at"][i], col["th"][i]) for i in np.flatnonzero(kind == 2)]
+        out = [(bucket, col["piece"][i], int(kind[i]), col["name"][i], col["at"][i], col["th"][i]) for i in np.flatnonzero(kind > 0)]
         at_rows = np.flatnonzero(kind == 0)
         if len(at_rows):
             names = [X.unpack48(col["name"][i]) for i in at_rows]
@@ -267,13 +340,13 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
             every = np.concatenate(names)
             order = np.argsort(every, kind="stable")
             _, count = X.runs(every[order])
-            keep = np.zeros(len(every), bool)
-            keep[order] = np.repeat(count > 1, count)
+            keep = np.concatenate([np.unpackbits(np.frombuffer(col["th"][i], np.uint8), count=int(n)) for i, n in zip(at_rows, size, strict=True)]).astype(bool)
+            keep[order] |= np.repeat(count > 1, count)
             begin = np.cumsum(size) - size
             for i, a, k in zip(at_rows, begin, size, strict=True):
                 m = keep[a : a + k]
                 if m.any():
-                    out.append((bucket, col["piece"][i], 0, None, X.pack(X.unpack(col["at"][i])[m]), None))
+                    out.append((bucket, col["piece"][i], 0, None, np.frombuffer(col["at"][i], "<u4")[m].tobytes(), None))
         return X.table_of(out, sent)
 
     def to_documents(t: pa.Table) -> pa.Table:
@@ -283,16 +356,17 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         col = {c: t.column(c).to_pylist() for c in ("name", "at", "th")}
         info = int(np.flatnonzero(kind == 2)[0])
         ids, off, th = (np.frombuffer(col[c][info], np.int64) for c in ("name", "at", "th"))
-        at = np.sort(np.concatenate([np.zeros(0, np.int64), *[X.unpack(col["at"][i]) for i in np.flatnonzero(kind == 0)]]))
+        at = np.sort(np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(col["at"][i], "<u4") for i in np.flatnonzero(kind < 2)]])).astype(np.int64)
         cut = np.searchsorted(at, off)
         return X.table_of([(int(ids[r]), int(th[r]), (at[cut[r] : cut[r + 1]] - off[r]).astype("<u4").tobytes()) for r in np.flatnonzero(np.diff(cut))], schema)
 
     sent_sql = "bucket int, piece long, kind int, name binary, at binary, th binary"
-    kept = scratch.table(rows.select("id", "text", "th").mapInArrow(find, sent_sql).groupBy("bucket").applyInArrow(again, sent_sql), "anchors")
+    kept = scratch.table(rows.select("id", "text", "th").mapInArrow(find, sent_sql).groupBy("bucket").applyInArrow(X.lean(again), sent_sql), "anchors")
     X.release(kept)
-    places = kept.groupBy("piece").applyInArrow(to_documents, "id long, th long, pos binary").dropDuplicates(["id", "th"])
+    places = kept.groupBy("piece").applyInArrow(X.lean(to_documents), "id long, th long, pos binary").dropDuplicates(["id", "th"])
 
-    around = pa.schema([("bucket", pa.int32()), ("name", pa.binary()), ("ctx", pa.binary()), ("tags", pa.binary()), ("id", pa.binary()), ("th", pa.binary()), ("pos", pa.binary())])
+    # kind 0: anchors with their surroundings; 1: places whose surroundings a lower document of the piece has
+    around = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("name", pa.binary()), ("ctx", pa.binary()), ("tags", pa.binary()), ("id", pa.binary()), ("th", pa.binary()), ("pos", pa.binary())])
 
     def prepared(batch: pa.RecordBatch) -> Iterator[tuple]:
         """(first row, row after the last, bytes, offsets, prefix sums, places in the bytes, their rows) of each piece."""
@@ -319,11 +393,25 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
                 left = of(np.where(l_ok, at - half, at), at) | np.uint64(1)
                 right = of(at + ANCHOR, np.where(r_ok, at + ANCHOR + half, at + ANCHOR)) | np.uint64(1)
                 tags = np.stack([np.where(l_ok, left, 0), np.where(r_ok, right, 0)]).astype(np.uint64) & np.uint64(0xFFFFFFFF)
+                order = np.lexsort((ids[a:b][row], ctx, name))
+                new = np.ones(len(order), bool)
+                new[1:] = (name[order][1:] != name[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])
+                mine = ids[a:b][row[order]]
+                later = np.zeros(len(order), bool)
+                later[order] = mine > mine[np.flatnonzero(new)][np.cumsum(new) - 1]
+                done, left_over = np.flatnonzero(later), np.flatnonzero(~later)
+                if len(done):
+                    yield from X.batches_of([(int(TaskContext.get().partitionId() % buckets), 1, None, None, None, ids[a:b][row[done]].tobytes(), th[a:b][row[done]].tobytes(), (at - off[row])[done].astype("<u4").tobytes())], around)
                 bucket, low = X.split_name(name, buckets)
-                yield from X.batches_of([(p, X.pack48(low[k]), ctx[k].tobytes(), tags[:, k].astype("<u4").tobytes(), ids[a:b][row[k]].tobytes(), th[a:b][row[k]].tobytes(), (at - off[row])[k].astype("<u4").tobytes()) for p, k in X.parts(bucket)], around)
+                yield from X.batches_of([(p, 0, X.pack48(low[k]), ctx[k].tobytes(), tags[:, k].astype("<u4").tobytes(), ids[a:b][row[k]].tobytes(), th[a:b][row[k]].tobytes(), (at - off[row])[k].astype("<u4").tobytes()) for p, k in ((p, left_over[k]) for p, k in X.parts(bucket[left_over]))], around)
 
     def decide(t: pa.Table) -> pa.Table:
         """In a bucket: all but the lowest document with equal surroundings lose them; others that may share a string are to be sorted."""
+        known = t.filter(pc.equal(t.column("kind"), 1))
+        t = t.filter(pc.equal(t.column("kind"), 0))
+        out = _to_parts(buckets, T.joined(known, "id", np.int64), T.joined(known, "th", np.int64), T.joined(known, "pos", "<u4").astype(np.int64), None, None)
+        if not len(t):
+            return X.table_of(out, _DOCS)
         name = np.concatenate([X.unpack48(x) for x in t.column("name").to_pylist()])
         ctx, i, th = T.joined(t, "ctx", np.uint64), T.joined(t, "id", np.int64), T.joined(t, "th", np.int64)
         pos = T.joined(t, "pos", "<u4").astype(np.int64)
@@ -336,7 +424,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         size = np.diff(np.append(first, len(name)))
         low = i[first]
         gone = i > np.repeat(low, size)
-        out = _to_parts(buckets, i[gone], th[gone], pos[gone], None, None)
+        out += _to_parts(buckets, i[gone], th[gone], pos[gone], None, None)
 
         def meets(tag: np.ndarray) -> np.ndarray:
             key = T.mix(name[first] ^ T.mix(tag[first] + np.uint64(99)))
@@ -352,10 +440,11 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         ask = _to_parts(buckets, i[open_], th[open_], pos[open_], None, T.mix(name[open_] ^ np.uint64(bucket << 48)))
         return X.table_of([*out, *ask], _DOCS)
 
-    decided = places.hint("merge").join(rows, ["id", "th"]).select("id", "th", "text", "pos").mapInArrow(surround, "bucket int, name binary, ctx binary, tags binary, id binary, th binary, pos binary")
-    decided = scratch.table(decided.groupBy("bucket").applyInArrow(decide, _DOCS_SQL), "decided")
+    decided = places.hint("merge").join(rows, ["id", "th"]).select("id", "th", "text", "pos").mapInArrow(surround, "bucket int, kind int, name binary, ctx binary, tags binary, id binary, th binary, pos binary")
+    decided = scratch.table(decided.groupBy("bucket").applyInArrow(X.lean(decide), _DOCS_SQL), "decided")
     X.release(decided)
-    ask = decided.where("name is not null").groupBy("part").applyInArrow(_per_document, "id long, th long, pos binary, name binary")
+    scratch.drop(kept)
+    ask = decided.where("name is not null").groupBy("part").applyInArrow(X.lean(_per_document), "id long, th long, pos binary, name binary")
     fetched_sql = "bucket int, name binary, id binary, th binary, pos binary, many binary, left binary, right binary"
     fetched = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("name", "id", "th", "pos", "many", "left", "right")]])
 
@@ -369,13 +458,13 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
                 same: dict[tuple, list[int]] = defaultdict(list)
                 for p, r, g in zip(at.tolist(), row.tolist(), name.tolist(), strict=True):
                     s, e = int(off[r]), int(off[r + 1])
-                    same[g, r, raw[max(p - REACH, s) : p], raw[p + ANCHOR : min(p + LENGTH, e)]].append(p - s)
+                    same[g, r, raw[max(p - REACH, s) : p][::-1], raw[p + ANCHOR : min(p + LENGTH, e)]].append(p - s)
                 by: dict[int, list] = defaultdict(list)
                 for (g, r, left, right), pos in same.items():
                     by[g % buckets].append((g, ids[a + r], th[a + r], pos, left, right))
                 out = []
                 for k, es in by.items():
-                    lr = [b"".join([bytes([len(e[c])]) + e[c].ljust(REACH, b"\0") for e in es]) for c in (4, 5)]
+                    lr = [b"".join([bytes([len(e[c])]) + e[c].ljust(REACH, b"\0") for e in es]) for c in (4, 5)]  # both from the anchor outwards
                     out.append((k, np.array([e[0] for e in es], np.uint64).tobytes(), np.array([e[1] for e in es], np.int64).tobytes(), np.array([e[2] for e in es], np.int64).tobytes(), np.array([p for e in es for p in e[3]], "<u4").tobytes(), np.array([len(e[3]) for e in es], "<u4").tobytes(), *lr))
                 yield from X.batches_of(out, fetched)
 
@@ -384,30 +473,19 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         name, i, th = T.joined(t, "name", np.uint64), T.joined(t, "id", np.int64), T.joined(t, "th", np.int64)
         many, pos = T.joined(t, "many", "<u4").astype(np.int64), T.joined(t, "pos", "<u4").astype(np.int64)
         left, right = T.joined(t, "left", np.uint8).reshape(-1, REACH + 1), T.joined(t, "right", np.uint8).reshape(-1, REACH + 1)
-        sides = np.ascontiguousarray(np.concatenate([left, right], axis=1)).view(f"V{2 * REACH + 2}").ravel()
-        _, kind = np.unique(sides, return_inverse=True)
-        order = np.lexsort((i, kind, name))  # equal surroundings: the lowest document speaks
-        new = np.ones(len(order), bool)
-        new[1:] = (name[order][1:] != name[order][:-1]) | (kind[order][1:] != kind[order][:-1])
-        lead = order[new]
-        bytes_of = lambda side: [side[k, 1 : 1 + side[k, 0]].tobytes() for k in lead]
-        group = np.cumsum(np.concatenate([[0], (name[lead][1:] != name[lead][:-1]).astype(np.int64)])) if len(lead) else lead
-        found = shared_windows(bytes_of(left), bytes_of(right), group, i[lead])
-        mask = np.zeros(len(order), np.int64)
-        which = np.cumsum(new) - 1
-        mask[order] = found[which]
-        later = np.zeros(len(order), bool)
-        later[order] = i[order] > i[lead][which]
-        mask[later] = (1 << (REACH + 1)) - 1
+        mask = shared_masks(name, i, left[:, 1:], left[:, 0].astype(np.int64), right[:, 1:], right[:, 0].astype(np.int64))
         hit = np.repeat(mask > 0, many)
         of = np.repeat(np.arange(len(many)), many)[hit]
         return X.table_of(_to_parts(buckets, i[of], th[of], pos[hit], mask[of], None), _DOCS)
 
     text_of = ask.hint("merge").join(rows, ["id", "th"]).select("id", "th", "text", "pos", "name").mapInArrow(fetch, fetched_sql)
-    sorted_ = scratch.table(text_of.groupBy("bucket").applyInArrow(sort, _DOCS_SQL), "sorted")
+    sorted_ = scratch.table(text_of.groupBy("bucket").applyInArrow(X.lean(sort), _DOCS_SQL), "sorted")
     X.release(sorted_)
     every = decided.where("name is null").unionByName(sorted_)
-    return scratch.table(every.groupBy("part").applyInArrow(_ranges, "id long, th long, lo array<long>, hi array<long>"), "ranges")
+    ranges = scratch.table(every.groupBy("part").applyInArrow(X.lean(_ranges), "id long, th long, lo array<long>, hi array<long>"), "ranges")
+    X.release(ranges)
+    scratch.drop(decided, sorted_)
+    return ranges
 
 
 def remove_shared(docs: DataFrame, outputs: tuple[str, ...] = ("kept",), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -419,7 +497,6 @@ def remove_shared(docs: DataFrame, outputs: tuple[str, ...] = ("kept",), *, id_c
     """
     rows = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(X.NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     ranges = repeated_ranges(rows.select("id", "th", "text"))
-    X.release(ranges)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
