@@ -1,7 +1,8 @@
 """Substring dedup by level-wise doubling.
 
-Names of short word windows are compared first; only windows that repeat are extended to twice the length, by joining
-the names of two neighbours, and so on up to the wanted length. There, all but the first occurrence go.
+Names of windows of about five words are compared first; only windows that repeat are extended to twice the length, by
+joining the names of two neighbours, and so on up to the wanted length or until none survives. At the wanted length
+all but the first occurrence go.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from loomwork.llm import scratch
 from loomwork.llm import text as T
 
 WINDOW = 20
+#: The first level has windows of so many words at least (the wanted length halved as often as that allows).
+SHORTEST = 5
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
-# kind 0: places whose names the bucket compares; 1: places known to repeat already; 2: the ids and word offsets of a piece
+# kind 0: places whose names the bucket compares; 1: places known to repeat already; 2: the ids, text hashes and word offsets of a piece
 _SENT = pa.schema([("bucket", pa.int32()), ("piece", pa.int64()), ("kind", pa.int32()), ("at", pa.binary()), ("name", pa.binary()), ("doc", pa.binary())])
 _BACK = pa.schema([("piece", pa.int64()), ("kind", pa.int32()), ("at", pa.binary()), ("name", pa.binary()), ("doc", pa.binary())])
 _SENT_SQL, _BACK_SQL = "bucket int, piece long, kind int, at binary, name binary, doc binary", "piece long, kind int, at binary, name binary, doc binary"
@@ -109,42 +112,44 @@ def _whole(low: np.ndarray, bucket: int) -> np.ndarray:
 
 
 def _gather(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a piece: ids and unit offsets of its rows, and the kept places in order, with their names."""
+    """Of a piece: ids and text hashes of its rows (two lines), their unit offsets, and the kept places in order, with their names."""
     kind = np.asarray(t.column("kind"))
     at, name, doc = t.column("at").to_pylist(), t.column("name").to_pylist(), t.column("doc").to_pylist()
     info = int(np.flatnonzero(kind == 2)[0])
-    ids, offsets = np.frombuffer(doc[info], np.int64), np.frombuffer(name[info], np.int64)
+    own, offsets = np.frombuffer(doc[info], np.int64).reshape(2, -1), np.frombuffer(name[info], np.int64)
     rows = [i for i in range(len(kind)) if kind[i] != 2]
     places = np.concatenate([np.zeros(0, np.int64), *[X.unpack(at[i]) for i in rows]])
     names = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(name[i] or b"", np.uint64) for i in rows]])
     order = np.argsort(places, kind="stable")
-    return ids, offsets, places[order], names[order] if len(names) == len(places) else names
+    return own, offsets, places[order], names[order] if len(names) == len(places) else names
 
 
-def _extend(length: int, buckets: int, last: bool) -> X.Reduce:
-    """In a piece: a window of `length` words and the next one that both repeat give a candidate of twice the length."""
+def _extend(length: int, window: int, buckets: int) -> X.Reduce:
+    """In a piece: two windows of `length` words that repeat give a candidate of twice the length, or of the wanted one (then they overlap)."""
+    longer = min(2 * length, window)
 
     def run(t: pa.Table) -> pa.Table:
         piece = t.column("piece")[0].as_py()
-        ids, offsets, at, names = _gather(t)
+        own, offsets, at, names = _gather(t)
         row = np.searchsorted(offsets, at, side="right") - 1
-        after = np.searchsorted(at, at + length)
+        step = longer - length
+        after = np.searchsorted(at, at + step)
         ok = after < len(at)
-        ok[ok] = (at[after[ok]] == at[ok] + length) & (row[after[ok]] == row[ok])
+        ok[ok] = (at[after[ok]] == at[ok] + step) & (row[after[ok]] == row[ok])
         here = np.flatnonzero(ok)
-        doubled = T.mix(names[here] * _C1 + names[after[here]] * _C2)
-        rows = _send(piece, at[here], doubled, ids[row[here]], at[here] - offsets[row[here]], buckets, last, T.mix(names[here] * _C2 ^ names[after[here]] * _C1))
-        return X.table_of([*rows, (int(piece % buckets), piece, 2, None, offsets.tobytes(), ids.tobytes())], _SENT)
+        joined = T.mix(names[here] * _C1 + names[after[here]] * _C2)
+        rows = _send(piece, at[here], joined, own[0][row[here]], at[here] - offsets[row[here]], buckets, longer == window, T.mix(names[here] * _C2 ^ names[after[here]] * _C1))
+        return X.table_of([*rows, (int(piece % buckets), piece, 2, None, offsets.tobytes(), own.tobytes())], _SENT)
 
     return run
 
 
 def _spans(window: int) -> X.Reduce:
-    """In a piece: the word spans that the repeated windows of each document cover."""
-    schema = pa.schema([("id", pa.int64()), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64()))])
+    """In a piece: the word spans that the repeated windows of each row cover."""
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64()))])
 
     def run(t: pa.Table) -> pa.Table:
-        ids, offsets, at, _ = _gather(t)
+        own, offsets, at, _ = _gather(t)
         row = np.searchsorted(offsets, at, side="right") - 1
         out = []
         for r in np.unique(row):
@@ -152,42 +157,50 @@ def _spans(window: int) -> X.Reduce:
             new = np.concatenate([[True], a[1:] > a[:-1] + window])
             starts = a[new]
             ends = np.append(a[np.flatnonzero(new)[1:] - 1], a[-1]) + window
-            out.append((int(ids[r]), starts.tolist(), ends.tolist()))
+            out.append((int(own[0][r]), int(own[1][r]), starts.tolist(), ends.tolist()))
         return X.table_of(out, schema)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id (NO_ID for null), starts and ends of the word spans covered by windows that also start earlier.
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """id, th, starts and ends of the word spans covered by windows that also start earlier; docs has id, th (a hash of the text) and text.
 
-    Levels have window / 2^k words; the first is half the window (the window itself, if odd). Each level sends
-    the names of its candidates to buckets and gets back those that repeat.
+    Each level sends the names of its candidates to buckets and gets back those that repeat; the next one has
+    twice as many words, the last one ``window``.
     """
-    buckets = X.bucket_count(docs, text_col)
-    length = window // 2 if window % 2 == 0 else window
+    buckets = X.bucket_count(docs, "text")
+    length = window
+    while length >= 2 * SHORTEST:
+        length = -(-length // 2)
     only = length == window
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, ids, buf, off in X.each_piece(batches):
+        for piece, ids, buf, off, th in X.each_piece(batches, with_column=2):
             starts, ends, rows = T.words(buf, off)
             names, offsets = T.window_hashes(T.range_hashes(buf, starts, ends), rows, length)
             row = np.repeat(np.arange(len(ids)), np.diff(offsets))
             at = np.arange(len(names))
             sent = _send(piece, at, names, ids[row], at - offsets[row], buckets, only) if len(names) else []
-            yield from X.batches_of([*sent, (int(piece % buckets), piece, 2, None, offsets.tobytes(), ids.tobytes())], _SENT)
+            yield from X.batches_of([*sent, (int(piece % buckets), piece, 2, None, offsets.tobytes(), ids.tobytes() + th.tobytes())], _SENT)
 
-    sent = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(first, _SENT_SQL)
+    sent, held = docs.select("id", "text", "th").mapInArrow(first, _SENT_SQL), []
     while True:
         last = length == window
-        back = scratch.table(sent.groupBy("bucket").applyInArrow(_compare(buckets, last), _BACK_SQL), "substrings")
+        back = scratch.table(sent.groupBy("bucket").applyInArrow(X.lean(_compare(buckets, last)), _BACK_SQL), "substrings")
         X.release(back)
-        if last:
+        scratch.drop(*held)
+        held = [back]
+        if last or back.where("kind <> 2").limit(1).count() == 0:
             break
-        sent = back.groupBy("piece").applyInArrow(_extend(length, buckets, 2 * length == window), _SENT_SQL)
-        length *= 2
-    spans = back.groupBy("piece").applyInArrow(_spans(window), "id long, start array<long>, end array<long>")
-    return spans.groupBy("id").agg(F.flatten(F.collect_list("start")).alias("start"), F.flatten(F.collect_list("end")).alias("end"))
+        sent = back.groupBy("piece").applyInArrow(X.lean(_extend(length, window, buckets)), _SENT_SQL)
+        length = min(2 * length, window)
+    spans = back.where(F.lit(length == window)).groupBy("piece").applyInArrow(X.lean(_spans(window)), "id long, th long, start array<long>, end array<long>")
+    one = spans.groupBy("id", "th").agg(F.min(F.struct("start", "end")).alias("s"))  # rows of one id and text fare alike
+    done = scratch.table(one.select("id", "th", "s.start", "s.end"), "spans")
+    X.release(done)
+    scratch.drop(*held)
+    return done
 
 
 def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray, span_start: list, span_end: list) -> tuple[bytes, int]:
@@ -205,12 +218,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, outputs: tuple[str, ..
 
     A word goes if it is in a run of ``window`` words that also starts earlier: in a document with a smaller id, or
     earlier in the same one. Kept words are joined by one space. A null text has no words (its kept text is ''
-    only in the hash; lw_kept stays null). Rows with one id are judged as one document whose windows meet word by
-    word, so a repeated row changes nothing; rows with a null id are such a document, before all others. An empty
-    table gives an empty table.
+    only in the hash; lw_kept stays null). Rows with one id count as one document: of equal windows in them the
+    earlier start stays, and those with the same start all stay, so a repeated row changes nothing. Each row loses words
+    of its own repeated windows alone, whatever other rows have its id. Rows with a null id are such a document, before
+    all others. An empty table gives an empty table.
     """
-    spans = scratch.table(repeated_spans(docs, window, id_col=id_col, text_col=text_col), "spans")
-    X.release(docs)
+    own, th = F.coalesce(F.col(id_col).cast("long"), F.lit(X.NO_ID)), F.xxhash64(text_col)
+    spans = repeated_spans(docs.select(own.alias("id"), F.col(text_col).alias("text"), th.alias("th")), window)
     names = [f.name for f in docs.schema]
     kinds = {"kept": ("lw_kept string", pa.string()), "kept_sha256": ("lw_kept_sha256 string", pa.string())}
 
@@ -231,9 +245,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, outputs: tuple[str, ..
                 own = [batch.column(n).slice(a, b - a) for n in names]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(rows)), pa.array(n_removed, pa.int64()), *[made[k]() for k in outputs]], [*names, "lw_n_words", "lw_n_removed", *[kinds[k][0].split()[0] for k in outputs]])
 
-    held = docs.withColumn("__lw_id", F.coalesce(F.col(id_col).cast("long"), F.lit(X.NO_ID))).withColumn("__lw_text", F.col(text_col))
+    held = docs.withColumns({"__lw_id": own, "__lw_th": th, "__lw_text": F.col(text_col)})
     # a merge join at any size: both sides grow with the input
-    both = held.join(spans.hint("merge").select(F.col("id").alias("__lw_id"), F.col("start").alias("__lw_start"), F.col("end").alias("__lw_end")), "__lw_id", "left").drop("__lw_id")
+    spans = spans.select(F.col("id").alias("__lw_id"), F.col("th").alias("__lw_th"), F.col("start").alias("__lw_start"), F.col("end").alias("__lw_end"))
+    both = held.join(spans.hint("merge"), ["__lw_id", "__lw_th"], "left").drop("__lw_id", "__lw_th")
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "lw_n_words long, lw_n_removed long", *[kinds[k][0] for k in outputs]])
     return both.mapInArrow(run, fields)
 
