@@ -13,7 +13,7 @@ from loomwork.llm import scratch
 #: Equal texts meet in one of so many cells. The packing places cells, and groups above HOT of the whole by themselves.
 CELLS, HOT = 4096, 1 / 512
 #: What bytes, tokens and rows weigh when moves are judged.
-WEIGHTS = np.array([4.0, 1.0, 1.0])
+WEIGHTS = np.array([64.0, 1.0, 1.0])
 
 
 def pack(items: np.ndarray, bins: int) -> np.ndarray:
