@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -60,6 +61,8 @@ def load_spec(path: str) -> bytes:
         t = json.load(f)
     if t["model"]["type"] != "BPE" or (t["pre_tokenizer"] or {}).get("type") != "ByteLevel" or t["pre_tokenizer"]["add_prefix_space"] or not t["pre_tokenizer"].get("use_regex", True) or t["normalizer"]:
         raise ValueError("a byte-level BPE file without a normalizer or a prefix space is needed")
+    if any(a.get(k) for a in t["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what stands around them aren't supported")
     merges = [m if isinstance(m, str) else " ".join(m) for m in t["model"]["merges"]]
     spec = {"vocab": t["model"]["vocab"], "merges": merges, "special": {a["content"]: a["id"] for a in t["added_tokens"]}}
     return zlib.compress(json.dumps(spec).encode()) + b"|classes|" + zlib.compress(code_point_classes().tobytes())
@@ -73,6 +76,8 @@ class Codec:
         t, letters = json.loads(zlib.decompress(model)), byte_letters()
         self.classes = np.frombuffer(zlib.decompress(classes), dtype=np.uint8)
         self.special = {k.encode(): v for k, v in t["special"].items()}
+        # the first one counts, and of those at one place the longest
+        self.any_special = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or b"(?!)")
         to_bytes = lambda s: bytes(letters[c] for c in s)
         self.bytes_of = {i: to_bytes(s) for s, i in t["vocab"].items()} | {v: k for k, v in self.special.items()}
         self.rank: dict[int, int] = {}
@@ -191,18 +196,18 @@ class Codec:
         edge[rows] = True
         edge[n] = True
         whole = []
-        raw = buf.tobytes() if any(s[0] in b"<[|" for s in self.special) and (buf == 0x7C).any() else b""
-        for s in self.special:
-            at = raw.find(s)
-            while at >= 0:
-                row = int(np.searchsorted(off, at, side="right")) - 1
-                if at + len(s) <= off[row + 1]:
-                    a, b = np.searchsorted(lead, [at, at + len(s)])
-                    edge[a] = edge[b] = True
-                    whole.append((a, b))
-                    at = raw.find(s, at + len(s))
-                else:
-                    at = raw.find(s, at + 1)
+        raw = buf.tobytes() if self.special else b""
+        found = self.any_special.search(raw)
+        while found:
+            at, to = found.span()
+            row = int(np.searchsorted(off, at, side="right")) - 1
+            if to <= off[row + 1]:
+                a, b = np.searchsorted(lead, [at, to])
+                edge[a] = edge[b] = True
+                whole.append((a, b))
+            else:  # it goes on in the next row
+                to = at + 1
+            found = self.any_special.search(raw, to)
         before = np.where(edge[:-1], EDGE, np.concatenate([[EDGE], kind[:-1]]))
         after = np.where(edge[1:], EDGE, np.concatenate([kind[1:], [EDGE]]))
         blank = kind == BLANK
