@@ -25,14 +25,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low_1 = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
+        large = both.where("v > u").join(low_1, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.table(large, "edges")
         low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hung.unionByName(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = scratch.table(small, "edges")
+        before, edges = edges, scratch.table(small, "edges")
         X.release(edges)
+        scratch.drop(before, low_1, large, low)
         now = _mark(edges)
         if now == mark:
             break

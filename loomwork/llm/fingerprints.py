@@ -6,16 +6,19 @@ another bin by optimal densification; of each bin the low 8 bits are stored, two
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwork.llm import scratch
+
 BINS, BITS, WORDS = 256, 8, 5
 #: Bins that an empty bin tries, each picked by a hash of the bin and the attempt, before the general rule picks.
 ATTEMPTS = 6
-#: The ids are cut into so many cells of equal width at most, and cells are joined to ranges of about so many bytes.
-CELLS, RANGE_BYTES = 4096, 16 << 20
+#: Key ranges for each shuffle partition, and sampled keys for each range.
+RANGES, SAMPLED = 2, 16
 
 _LOW = (1 << 56) - 1
 #: The value above all hashes of a bin; in the order of signed numbers, as hashes are sorted.
@@ -81,43 +84,57 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "fingerprint").select("doc_id", "fingerprint")
 
 
-def with_next(rows: DataFrame, cols: list[str], *, key: str = "doc_id", size: Column | None = None) -> DataFrame:
+def _ranges(bare: DataFrame) -> DataFrame:
+    """One row: the lowest places of the ranges, in blocks of equal length, and the lowest place of each block.
+
+    Ranges hold about as many rows each, whatever the keys are: their bounds come from a sample of the places that is
+    picked by hash. Their number follows the shuffle partitions, so a range is what a task is meant to hold.
+    """
+    n = RANGES * int(bare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = math.isqrt(n) + 1
+    share = min(1.0, SAMPLED * n / max(1, bare.count()))
+    sample = bare.where(F.pmod(F.xxhash64(F.lit(31), "__lw_o"), F.lit(1 << 20)) < share * (1 << 20))
+    a = F.col("a")
+    bounds = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(a, F.floor(i.cast("long") * F.size(a) / n).cast("int")))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(-(-n // block) - 1)), lambda i: F.slice("b", i * block + 1, F.lit(block)))
+    row = sample.agg(F.sort_array(F.collect_list("__lw_o")).alias("a")).select(bounds.alias("b")).select(blocks.alias("__lw_blocks"))
+    return scratch.table(row.select("__lw_blocks", F.transform("__lw_blocks", lambda x: F.get(x, 0)).alias("__lw_lows")), "ranges")
+
+
+def with_next(rows: DataFrame, cols: list[str], *, key: str = "doc_id", derive: list | None = None) -> DataFrame:
     """Each row with next_<c> for c in cols: the values of the row with the next lower key; after the last, the first.
 
-    Rows are cut into key ranges, and the top row of a range is also put at the end of the range above, so each range
-    is ordered by itself. Equal keys are ordered by the hash of the columns; null keys come last. The driver holds
-    at most CELLS counts.
+    Rows that share a key are ordered by the hash of the columns in rows; null keys come last. ``derive`` are functions from
+    a DataFrame to one with more columns, which may be in cols too; they run once a row. Rows are cut into key
+    ranges, and the top row of a range is also put at the end of the range above, so each range is ordered by itself. Other
+    columns are kept, whatever their names; an empty table gives an empty table.
     """
-    spark = rows.sparkSession
-    span = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if span["lo"] is None:
-        cell = F.lit(0)
-    else:
-        width = (span["hi"] - span["lo"] + 1) / CELLS
-        cell = F.least(F.lit(CELLS - 1), F.coalesce(F.floor((F.col(key).cast("double") - float(span["lo"])) / width), F.lit(0))).cast("int")
-    counts = rows.groupBy(cell.alias("cell")).agg(F.sum(F.lit(1) if size is None else size).alias("n"), F.max(key).alias("top")).orderBy("cell").collect()
-    ranges, tops, fill = [], [], RANGE_BYTES + 1
-    for r in counts:
-        if fill > RANGE_BYTES:
-            tops.append(None)
-            fill = 0
-        ranges.append((r["cell"], len(tops) - 1))
-        tops[-1] = r["top"] if r["top"] is not None else tops[-1]
-        fill += r["n"]
-    n = max(1, len(tops))
-    plan = spark.createDataFrame([(c, k, tops[k]) for c, k in ranges], "cell int, range int, top long")
-    held = rows.withColumn("cell", cell).join(F.broadcast(plan), "cell")  # at most CELLS rows
-    here = F.struct(F.col("range").alias("r"), F.lit(False).alias("ghost"))
-    above = F.struct(((F.col("range") + 1) % n).alias("r"), F.lit(True).alias("ghost"))
-    held = held.select("*", F.inline(F.when(F.col(key).eqNullSafe(F.col("top")), F.array(here, above)).otherwise(F.array(here))))
-    order = Window.partitionBy("r").orderBy("ghost", F.desc_nulls_last(key), F.xxhash64(*cols))
-    found = held.select(*rows.columns, "ghost", *[F.lead(c).over(order).alias(f"next_{c}") for c in cols])
-    return found.where(~F.col("ghost")).drop("ghost")
+    names = [f"`{c}`" for c in rows.columns]
+    place = F.struct(F.col(key).isNotNull().alias("named"), F.coalesce(F.col(key), F.lit(0).cast(rows.schema[key].dataType)).alias("key"), F.xxhash64(*names).alias("h"))
+    rows = rows.withColumn("__lw_o", place)
+    bounds, o = F.broadcast(_ranges(rows.select("__lw_o"))), F.col("__lw_o")  # one row
+    at = F.greatest(F.size(F.filter("__lw_lows", lambda x: x <= o)) - 1, F.lit(0))
+    r = at * F.size(F.get("__lw_blocks", 0)) + F.size(F.filter(F.get("__lw_blocks", at), lambda x: x <= o))
+    ranged = lambda df: df.join(bounds, how="cross").withColumn("__lw_r", r).drop("__lw_blocks", "__lw_lows")
+    tops = ranged(rows.select("__lw_o")).groupBy("__lw_r").agg(F.max("__lw_o").alias("__lw_top"))
+    whole = Window.orderBy("__lw_r")
+    above = F.coalesce(F.lead("__lw_r").over(whole), F.min("__lw_r").over(Window.partitionBy()))
+    plan = scratch.table(tops.withColumn("__lw_above", above), "tops")  # one row a range
+    for f in derive or []:
+        rows = f(rows)
+    kept = [c for c in rows.columns if c != "__lw_o"]
+    held = ranged(rows).join(F.broadcast(plan), "__lw_r")
+    here = F.struct(F.col("__lw_r").alias("__lw_at"), F.lit(False).alias("__lw_ghost"))
+    ghost = F.struct(F.col("__lw_above").alias("__lw_at"), F.lit(True).alias("__lw_ghost"))
+    held = held.select(*[f"`{c}`" for c in kept], "__lw_o", F.inline(F.when(o == F.col("__lw_top"), F.array(here, ghost)).otherwise(F.array(here))))
+    order = Window.partitionBy("__lw_at").orderBy("__lw_ghost", F.desc("__lw_o"))
+    found = held.select(*[f"`{c}`" for c in kept], "__lw_ghost", *[F.lead(c).over(order).alias(f"next_{c}") for c in cols])
+    return found.where(~F.col("__lw_ghost")).drop("__lw_ghost")
 
 
 def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = with_next(with_fingerprint(docs, "text", "fingerprint"), ["text", "fingerprint"], size=F.octet_length("text"))
+    own = with_next(docs, ["text", "fingerprint"], derive=[lambda df: with_fingerprint(df, "text", "fingerprint")])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.substr("next_text", F.lit(1), half))
     both = _held(own.withColumn("n_chars", F.length("text").cast("long")), "edited", edited).drop("text", "next_text")

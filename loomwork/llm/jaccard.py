@@ -94,7 +94,7 @@ def frequent_classes(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndar
         bucket = t.column("bucket")[0].as_py()
         return pa.Table.from_arrays([pa.array((np.int64(bucket) << 32) | every[order][first][keep].astype(np.int64)), pa.array(total[keep])], schema=counted)
 
-    found = docs.mapInArrow(send, "bucket int, cls binary, n binary").groupBy("bucket").applyInArrow(add, "cls long, n long")
+    found = docs.mapInArrow(send, "bucket int, cls binary, n binary").groupBy("bucket").applyInArrow(X.lean(add), "cls long, n long")
     top = found.orderBy(F.desc("n"), "cls").limit(MOST_CLASSES).collect()  # at most MOST_CLASSES rows
     X.release(docs)
     cls, n = np.array([r["cls"] for r in top], np.uint64), np.array([r["n"] for r in top], np.int64)
@@ -199,7 +199,7 @@ def _send_signatures(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
-        for piece, ids, buf, off in X.each_piece(batches):
+        for piece, ids, buf, off, named in X.each_piece(batches, with_column=2):
             h, offsets = token_sets(buf, off)
             d1, d2 = digests(h, offsets)
             order = np.lexsort((ids, d2, d1))
@@ -211,7 +211,7 @@ def _send_signatures(docs: DataFrame, buckets: int) -> DataFrame:
             name, row, place, role = name[order], row[order], place[order], role[order]
             bucket, low = X.split_name(name, buckets)
             out = [(b, piece, 0, X.pack48(low[p]), X.pack(row[p]), X.pack_counts(place[p]), role[p].tobytes()) for b, p in X.parts(bucket)]
-            info = np.stack([ids, n, d1, d2]).astype(np.int64)
+            info = np.stack([ids, n, d1, d2, named]).astype(np.int64)
             out.append((int(piece % buckets), piece, 2, info.tobytes(), lead.astype(np.int64).tobytes(), X.pack_counts(n_rare), None))
             yield from X.batches_of(out, _SENT)
 
@@ -247,7 +247,7 @@ def _attach(t: pa.Table) -> pa.Table:
     kind = np.asarray(t.column("kind"))
     cols = {c: t.column(c).to_pylist() for c in ("bucket", "name", "row", "place", "role")}
     at = int(np.flatnonzero(kind == 2)[0])
-    ids, n, d1, _ = np.frombuffer(cols["name"][at], np.int64).reshape(4, -1)
+    ids, n, d1, _, _ = np.frombuffer(cols["name"][at], np.int64).reshape(5, -1)
     lead, rare = np.frombuffer(cols["row"][at], np.int64), X.unpack_counts(cols["place"][at])
     out = []
     for i in np.flatnonzero(kind == 0):
@@ -377,35 +377,55 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     A row's tokens are its distinct shingles of five words (the whole sequence, if shorter) in lower-cased text; sets link
     at a Jaccard similarity of 3/4 or more. Null texts and texts without words have no tokens and link with
-    nothing. Rows with one id are one document, which links with what any of its texts links with; a null id stays
-    null and counts as the lowest id. Tokens are 64-bit hashes, compared exactly. Empty in, empty out.
+    nothing. Rows with one id are one document: it links with what any of its texts links with, and all its texts
+    with words have one component. A row with a null id is a document of its own; its component_id is the lowest id
+    that it reaches, or null. Tokens are 64-bit hashes, compared exactly. Empty in, empty out.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(X.NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    own = F.col(id_col).cast("long")
+    # documents without an id get a hash of their text for one inside, which no result shows
+    rows = docs.select(F.coalesce(own, F.xxhash64(F.lit("no id"), text_col)).alias("id"), F.col(text_col).alias("text"), own.isNotNull().cast("long").alias("named"))
     buckets = X.bucket_count(rows, "text")
-    sent = scratch.table(_send_signatures(rows, buckets).groupBy("bucket").applyInArrow(_shared_only, _SENT_SQL), "signatures")
+    sent = scratch.table(_send_signatures(rows, buckets).groupBy("bucket").applyInArrow(X.lean(_shared_only), _SENT_SQL), "signatures")
     X.release(sent)
-    found = scratch.table(sent.groupBy("piece").applyInArrow(_attach, _FULL_SQL).groupBy("bucket").applyInArrow(_candidates, _CAND_SQL), "candidates")
+    found = scratch.table(sent.groupBy("piece").applyInArrow(X.lean(_attach), _FULL_SQL).groupBy("bucket").applyInArrow(X.lean(_candidates), _CAND_SQL), "candidates")
     X.release(found)
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.frombuffer(blob.as_buffer(), np.int64).reshape(5, -1)], ["id", "n", "d1", "d2", "named"])
+
+    each = scratch.table(sent.where("kind = 2").select("name").mapInArrow(flat, "id long, n long, d1 long, d2 long, named long"), "rows")
+    reps = each.groupBy("d1", "d2").agg(F.min("id").alias("node"))
+    each_node = scratch.table(each.join(reps, ["d1", "d2"]).select("id", "n", "named", "node"), "nodes")
+    X.release(each_node)
+    scratch.drop(sent, each)
+
     pairs = scratch.table(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
     members = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"), "n", "rare", "place", "role")
     nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct()
     sets = scratch.table(_token_table(rows, nodes), "sets")
     X.release(sets)
 
-    # first all pairs of small groups, and each member of a large group with a few of its others
-    links = scratch.table(_verify(scratch.table(_may_link(pairs.select("a", "b"), sets), "likely"), sets), "links")
+    # texts of one id; then all pairs of small groups, and each member of a large group with a few of its others
+    several = each_node.where("n > 0").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
+    same_id = each_node.where("n > 0").join(several, "id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    likely = scratch.table(_may_link(pairs.select("a", "b"), sets), "likely")
+    links = scratch.table(_verify(likely, sets).unionByName(same_id), "links")
     X.release(links)
+    scratch.drop(pairs, likely)
     label = scratch.table(C.components(links), "labels")
     X.release(label)
 
     # then all candidates that aren't connected yet
-    def labelled(df: DataFrame, key: str, out: str) -> DataFrame:
-        own = label.select(F.col("node").alias(key), F.col("label").alias(out))  # the labels known when this is called
-        return df.join(own, key, "left").withColumn(out, F.coalesce(out, key))
+    def labelled(df: DataFrame, label: DataFrame, key: str, out: str) -> DataFrame:
+        known = label.select(F.col("node").alias(key), F.col("label").alias(out))
+        return df.join(known, key, "left").withColumn(out, F.coalesce(out, key))
 
-    grouped = scratch.table(labelled(members, "id", "label"), "members")
+    grouped = scratch.table(labelled(members, label, "id", "label"), "members")
     mixed = scratch.table(grouped.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g"), "mixed")
     open_ = scratch.table(grouped.join(mixed, "g"), "open")
+    scratch.drop(found, grouped, mixed)
     x = open_.select("g", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "rare", "place", "role", "label")])
     y = open_.select("g", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "rare", "place", "role", "label")])
     # as in can_link
@@ -417,29 +437,28 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     rest = scratch.table(more.distinct(), "apart")
     likely = scratch.table(_may_link(rest, sets), "likely")
     X.release(likely)
+    scratch.drop(open_, rest)
 
     # one of the likely partners of each first, then those that this leaves apart
     one = scratch.table(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "best")
-    links = links.unionByName(scratch.table(_verify(one, sets), "links"))
-    X.release(likely)
+    first_links, links = links, scratch.table(links.unionByName(_verify(one, sets)), "links")
+    X.release(links)
+    scratch.drop(first_links, label)
     label = scratch.table(C.components(links), "labels")
-    apart = labelled(labelled(likely.join(one, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
-    late = scratch.table(_verify(scratch.table(apart, "apart"), sets), "links")
+    apart = labelled(labelled(likely.join(one, ["a", "b"], "left_anti"), label, "a", "la"), label, "b", "lb").where("la <> lb").select("a", "b")
+    apart = scratch.table(apart, "apart")
+    late = scratch.table(_verify(apart, sets), "links")
     X.release(late)
+    scratch.drop(likely, one, apart, sets)
     if late.limit(1).count():
+        scratch.drop(label)
         label = scratch.table(C.components(links.unionByName(late)), "labels")
+    scratch.drop(links, late)
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.frombuffer(blob.as_buffer(), np.int64).reshape(4, -1)], ["id", "n", "d1", "d2"])
-
-    each = scratch.table(sent.where("kind = 2").select("name").mapInArrow(flat, "id long, n long, d1 long, d2 long"), "rows")
-    reps = scratch.table(each.groupBy("d1", "d2").agg(F.min("id").alias("node")), "reps")
-    known = each.join(reps, ["d1", "d2"]).join(label.select("node", "label"), "node", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "node"))
-    null = lambda c: F.when(c != X.NO_ID, c)
-    return known.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(component).alias("component_id"))
+    known = each_node.join(label.select("node", "label"), "node", "left")
+    known = known.withColumn("c", F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "node")))
+    lowest = known.where("named = 1").groupBy("c").agg(F.min("id").alias("component_id"))
+    return known.join(lowest, "c", "left").select(F.when(F.col("named") == 1, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op3_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
