@@ -82,7 +82,7 @@ def grep(df: DataFrame, pattern: str, *, text: str = "text", ignore_case: bool =
 def symbols(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, line, kind and name of declarations; every pattern of the suffix that matches a line gives a row."""
     ext = suffix(F.col(path))
-    found = lambda kind, p: F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line_text", p, 1).alias("name"))
+    found = lambda kind, p: F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line_text", f"(?U){p}", 1).alias("name"))
     table = reduce(lambda acc, e: F.when(ext == e, F.array(*[found(k, p) for k, p in SYMBOLS[e]])).otherwise(acc), SYMBOLS, F.array().cast("array<struct<kind:string,name:string>>"))
     return lines(df.where(ext.isin(list(SYMBOLS))), text).select(path, "line", F.inline(table)).where("name <> ''")
 

@@ -8,6 +8,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.sources.sinks import shared_dir
+
 #: Weight of a level is BASE ** (depth - level); the tree has three levels.
 BASE, DEPTH = 3, 3
 
@@ -17,9 +19,7 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     Each round extends only the frontier, keeps distinct pairs and cuts its lineage with a checkpoint, so the plan doesn't grow.
     """
-    spark = edges.sparkSession
-    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    shared_dir(edges.sparkSession)
     hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("steps"))
     front = seen
@@ -30,7 +30,7 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             break
         seen = seen.unionByName(front)
         if step % 16 == 0:
-            seen = seen.coalesce(spark.sparkContext.defaultParallelism).checkpoint()  # a deep graph has many rounds
+            seen = seen.coalesce(edges.sparkSession.sparkContext.defaultParallelism).checkpoint()  # a deep graph has many rounds
     return seen
 
 
@@ -75,9 +75,7 @@ def fronts(points: DataFrame, better: dict[str, str]) -> DataFrame:
 
     The pairs are computed once; each round is an anti-join over them and cuts its lineage with a checkpoint.
     """
-    spark = points.sparkSession
-    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    shared_dir(points.sparkSession)
     pairs = domination(points, better).checkpoint()
     left, out, k = points.select("id").checkpoint(), None, 1
     while True:

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import vectors as V
 
 
-def ewma(df: DataFrame, key: str, order: list[str], x: str, lam: float, start: float | Column = 0.0) -> DataFrame:
-    """z_t = lam * x_t + (1 - lam) * z_(t-1) within each key, from ``start``, in one pass over a key's ordered values."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(x).alias("x")))).alias("s"))
-    first = F.struct(F.lit(start).cast("double").alias("z"), F.array().cast("array<double>").alias("all"))
-
-    def step(acc: Column, e: Column) -> Column:
-        z = lam * e["x"] + (1 - lam) * acc["z"]
-        return F.struct(z.alias("z"), F.concat(acc["all"], F.array(z)).alias("all"))
+def ewma(df: DataFrame, key: str, order: list[str], x: str, lam: float, start: float = 0.0) -> DataFrame:
+    """z_t = lam * x_t + (1 - lam) * z_(t-1) within each key, from ``start``; null from a null x on.
 
-    out = rows.select(key, "s", F.aggregate("s", first, step)["all"].alias("z"))
-    return out.select(key, F.inline(F.arrays_zip(*[F.col(f"s.{o}").alias(o) for o in order], F.col("z"))))
+    Rows stream by in order and only the last z is kept, so a key of any length needs no memory.
+    """
+    rows = df.select(key, *order, F.col(x).cast("double").alias("z")).repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, z, fresh = None, start, True
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if fresh or k != now:
+                    now, z, fresh = k, start, False
+                z = None if v is None or z is None else lam * v + (1 - lam) * z
+                out.append(z)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def cusum(df: DataFrame, key: str, order: list[str], x: str, k: float) -> DataFrame:

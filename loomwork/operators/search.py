@@ -42,18 +42,22 @@ def _phrase_count(words: Column, phrase: list[str]) -> Column:
 def bm25(docs: DataFrame, query: str, *, id_col: str = "doc_id", text_cols: tuple[str, ...] = ("text",), limit: int | None = 20) -> DataFrame:
     """id and score of documents that hold any query token, best first; ties go to the lower id.
 
-    A hyphenated token is a phrase of adjacent words. Term counts are taken in one pass without a shuffle; only the
-    corpus sums and the top rows are gathered.
+    A hyphenated token is a phrase of adjacent words. Corpus sums are taken in one pass over all texts without a
+    shuffle; only texts that contain a term's letters are split into words again for their scores.
     """
     terms = list(dict.fromkeys(tuple(re.findall(r"\w+", t.lower())) for t in query_tokens(query)))
     terms = [t for t in terms if t]
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
-    base = docs.select(F.col(id_col).alias("id"), F.inline(F.array(F.struct(tokens(text).alias("w")))))
     counts = [_phrase_count(F.col("w"), list(t)).alias(f"tf{i}") for i, t in enumerate(terms)]
-    tf = base.select("id", F.size("w").alias("len"), *counts)
-    stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+
+    def counted(rows: DataFrame) -> DataFrame:
+        base = rows.select(F.col(id_col).alias("id"), F.inline(F.array(F.struct(tokens(text).alias("w")))))
+        return base.select("id", F.size("w").alias("len"), *counts)
+
+    tf = counted(docs.where(reduce(lambda x, y: x | y, [F.contains(F.lower(text), F.lit(t[0])) for t in terms])))
+    stats = counted(docs).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     part = lambda i: F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     hit = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
     scored = tf.where(hit).join(F.broadcast(stats)).select("id", F.round(reduce(lambda x, y: x + y, [part(i) for i in range(len(terms))]), 6).alias("score"))  # stats is one row

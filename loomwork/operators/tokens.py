@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators.search import tokens
+from loomwork.sources.sinks import shared_dir
 
 # The 4-bit NormalFloat codes.
 NF4 = [-1.0, -0.6962, -0.5251, -0.3949, -0.2844, -0.1848, -0.0911, 0.0, 0.0796, 0.1609, 0.2461, 0.3379, 0.4407, 0.5626, 0.7230, 1.0]
@@ -26,10 +27,13 @@ def vocabulary(docs: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def encode(docs: DataFrame, keys: list[str], text: str, vocab: DataFrame) -> DataFrame:
-    """The ids of each text's words, in order; words that the vocabulary lacks are <unk>."""
-    words = docs.select(*keys, F.posexplode(tokens(F.col(text))).alias("pos", "piece")).join(F.broadcast(vocab), "piece", "left")  # a vocabulary of fixed size
-    held = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(SPECIAL.index("<unk>")).cast("long")).alias("id"))))
-    return words.groupBy(*keys).agg(held.alias("w")).select(*keys, F.col("w.id").alias("ids"))
+    """The ids of each row's words, in order; words that the vocabulary lacks are <unk>, a text without words has no ids.
+
+    The vocabulary has a fixed size and travels as one row, so no row of docs moves.
+    """
+    known = vocab.agg(F.map_from_entries(F.collect_list(F.struct("piece", F.col("id").cast("long")))).alias("__lw_known"))
+    lookup = lambda w: F.coalesce(F.try_element_at("__lw_known", w), F.lit(SPECIAL.index("<unk>")).cast("long"))
+    return docs.join(F.broadcast(known), how="cross").select(*keys, F.transform(tokens(F.col(text)), lookup).alias("ids"))
 
 
 def pack(docs: DataFrame, key: str, ids: str, length: int) -> DataFrame:
@@ -57,8 +61,7 @@ def bpe_merges(docs: DataFrame, text: str, n: int) -> DataFrame:
     of each round reaches the driver.
     """
     spark = docs.sparkSession
-    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    shared_dir(spark)
     words = docs.select(F.explode(tokens(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     held = words.select(F.array_join(F.split("w", ""), " ").alias("w"), "n").checkpoint()
     rows = []

@@ -35,13 +35,14 @@ def join_call_assign(spark: SparkSession, sf: str) -> DataFrame:
     return _ea(spark, sf).select("src", "dst", "kind", "n", "bs", "bd")
 
 
-_HOP = "(SELECT DISTINCT l_suppkey % 97 AS src, l_partkey % 89 AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)"
+_HOP = "(SELECT DISTINCT l_suppkey % 97 AS src, l_partkey % 89 AS dst FROM lineitem)"
 
 
-@query("gra_closure", f"WITH RECURSIVE h AS (SELECT * FROM {_HOP}), c AS (SELECT i AS seed, i AS node FROM range(0, 10) t(i) UNION SELECT c.seed, h.dst FROM c JOIN h ON h.src = c.node) SELECT seed, node FROM c")
+@query("gra_closure", f"WITH RECURSIVE h AS (SELECT * FROM {_HOP}), c AS (SELECT i AS seed, i AS node FROM range(0, 97) t(i) UNION SELECT c.seed, h.dst FROM c JOIN h ON h.src = c.node) SELECT seed, node FROM c")
 def gra_closure(spark: SparkSession, sf: str) -> DataFrame:
-    hop = table(spark, sf, "lineitem").where("l_quantity = 50 AND l_linenumber = 1").select(F.expr("l_suppkey % 97").alias("src"), F.expr("l_partkey % 89").alias("dst"))
-    return G.closure(hop, spark.range(10).select(F.col("id").alias("node"))).select("seed", "node")
+    """The closure of every unit over all edges."""
+    hop = table(spark, sf, "lineitem").select(F.expr("l_suppkey % 97").alias("src"), F.expr("l_partkey % 89").alias("dst"))
+    return G.closure(hop, spark.range(97).select(F.col("id").alias("node"))).select("seed", "node")
 
 
 @query("gra_coupling", f"SELECT count(*) FILTER (bs <> bd) AS across, count(*) AS total FROM {_EA}")
@@ -155,7 +156,7 @@ def gra_redundancy_3(spark: SparkSession, sf: str) -> DataFrame:
     return p.where("s > 0.75").select("a", "b", r("s", 5).alias("cosine"))
 
 
-@query("gra_objective", f"SELECT service, round(0.5 * total - 0.3 * n + 0.2 * worst, 6) AS objective FROM (SELECT service, sum(d) AS total, count(*) AS n, max(d) AS worst FROM ({_CONT}) GROUP BY 1)")
+@query("gra_objective", f"SELECT service, round(0.5::DOUBLE * total - 0.3::DOUBLE * n + 0.2::DOUBLE * worst, 6) AS objective FROM (SELECT service, sum(d) AS total, count(*) AS n, max(d) AS worst FROM ({_CONT}) GROUP BY 1)")
 def gra_objective(spark: SparkSession, sf: str) -> DataFrame:
     c = _contaminated(spark, sf).groupBy("service").agg(F.sum("d").alias("total"), F.count("*").alias("n"), F.max("d").alias("worst"))
     return c.select("service", r(F.expr("0.5D * total - 0.3D * n + 0.2D * worst")).alias("objective"))
@@ -190,13 +191,13 @@ def gra_purity(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("service").agg(F.sum(F.expr("p * ln(p)")).alias("h")).join(F.broadcast(k)).select("service", r(1 + F.col("h") / F.ln("k")).alias("purity"))  # one row
 
 
-@query("gra_role_violations", f"SELECT service, round(1 - 0.01 * count(*) FILTER (l2 = 'PROMO' AND p_size > 40) - 0.02 * count(*) FILTER (l2 = 'ECONOMY' AND p_size < 5), 6) AS fb FROM {_S} GROUP BY 1")
+@query("gra_role_violations", f"SELECT service, round(1 - 0.01::DOUBLE * count(*) FILTER (l2 = 'PROMO' AND p_size > 40) - 0.02::DOUBLE * count(*) FILTER (l2 = 'ECONOMY' AND p_size < 5), 6) AS fb FROM {_S} GROUP BY 1")
 def gra_role_violations(spark: SparkSession, sf: str) -> DataFrame:
     v = lambda c: F.count_if(F.expr(c))
     return _services(spark, sf).groupBy("service").agg(r(1 - 0.01 * v("l2 = 'PROMO' AND p_size > 40") - 0.02 * v("l2 = 'ECONOMY' AND p_size < 5")).alias("fb"))
 
 
-@query("gra_db_ownership", "SELECT count(*) FILTER (n > 1) AS multi, round(1 - 0.001 * count(*) FILTER (n > 1), 6) AS db FROM (SELECT l_partkey, count(DISTINCT l_suppkey % 9) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)")
+@query("gra_db_ownership", "SELECT count(*) FILTER (n > 1) AS multi, round(1 - 0.001::DOUBLE * count(*) FILTER (n > 1), 6) AS db FROM (SELECT l_partkey, count(DISTINCT l_suppkey % 9) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)")
 def gra_db_ownership(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count_distinct(F.expr("l_suppkey % 9")).alias("n"))
     return t.agg(F.count_if(F.col("n") > 1).alias("multi")).select("multi", r(1 - 0.001 * F.col("multi")).alias("db"))

@@ -11,7 +11,9 @@ from loomwork.functions import vectors as V
 from loomwork.operators import monitor as M
 from loomwork.operators import relational as R
 from loomwork.registry import query
+from loomwork.sources import sinks
 from loomwork.sources.tables import table
+from loomwork.streaming.logs import tail_logs
 
 r = lambda c, n=4: F.round(c, n)
 _W = "OVER (PARTITION BY user_id ORDER BY ts, event_id {frame})"
@@ -472,5 +474,9 @@ def stm_ewma_cusum(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("src_log_glob", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def src_log_glob(spark: SparkSession, sf: str) -> DataFrame:
-    """Files that match a glob, read as a stream in tests; here as a batch over the same reader."""
-    return _ev(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Log files in folders, found by a glob and read as a stream up to their end."""
+    logs, lines = sinks.scratch_path(spark, "logs"), sinks.scratch_path(spark, "lines")
+    _ev(spark, sf).select(F.col("event_type").alias("value"), F.expr("event_id % 3").alias("host")).write.partitionBy("host").text(logs)
+    found = tail_logs(spark, f"{logs}/host=*/part-*").select("value")
+    found.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{lines}-state").format("parquet").start(lines).awaitTermination()
+    return spark.read.schema("value string").parquet(lines).groupBy(F.col("value").alias("event_type")).agg(F.count("*").alias("n"))

@@ -88,12 +88,14 @@ def flt_noise_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _C = "SELECT c_custkey AS key, c_nationkey AS grp, c_acctbal AS v FROM customer"
-_O = "SELECT o_custkey AS key, max(o_totalprice) AS v FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1"
+_O = "SELECT o_custkey AS key, max(o_totalprice) AS v FROM orders GROUP BY 1"
+# every second customer under another key: rows of both sides find no partner
+_MOVED = "SELECT c_custkey + CASE WHEN c_custkey % 2 = 1 THEN 1000000000 ELSE 0 END AS key, c_nationkey AS grp, c_acctbal AS v FROM customer"
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("grp"), F.col("c_acctbal").alias("v"))
-    o = table(spark, sf, "orders").where("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("v"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("v"))
     return c, o
 
 
@@ -102,10 +104,10 @@ def join_inner(spark: SparkSession, sf: str) -> DataFrame:
     return R.merge(*_sides(spark, sf), "key")
 
 
-@query("join_outer", f"SELECT key, grp, c.v AS v_x, o.v AS v_y FROM ({_C} WHERE c_custkey % 2 = 0) c FULL JOIN ({_O}) o USING (key)")
+@query("join_outer", f"SELECT key, grp, c.v AS v_x, o.v AS v_y FROM ({_MOVED}) c FULL JOIN ({_O}) o USING (key)")
 def join_outer(spark: SparkSession, sf: str) -> DataFrame:
     c, o = _sides(spark, sf)
-    return R.merge(c.where("key % 2 = 0"), o, "key", "full_outer")
+    return R.merge(c.withColumn("key", F.expr("key + CASE WHEN key % 2 = 1 THEN 1000000000 ELSE 0 END")), o, "key", "full_outer")
 
 
 @query("join_params", "SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -364,14 +366,17 @@ def set_merge_pool(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(F.lit("parent").alias("gen"), F.col("s_suppkey").alias("id")).unionAll(s.select(F.lit("child"), F.col("s_suppkey") + 100000))
 
 
-_LEFT, _RIGHT = "SELECT doc_id AS path, n_chars AS size FROM documents WHERE doc_id % 4 <> 0", "SELECT doc_id AS path, n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size FROM documents WHERE doc_id % 3 <> 0"
+# all documents are on both sides, some of them under a path of one side only
+_PATHS = {"left": "doc_id + CASE WHEN doc_id % 4 = 0 THEN 1000000000 ELSE 0 END", "right": "doc_id + CASE WHEN doc_id % 3 = 0 THEN 2000000000 ELSE 0 END"}
+_LEFT, _RIGHT = f"SELECT {_PATHS['left']} AS path, n_chars AS size FROM documents", f"SELECT {_PATHS['right']} AS path, n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size FROM documents"
 for _mode, _act in (("mirror", "delete"), ("update", "keep"), ("two-way", "copy left")):
     _n = {"mirror": "set_sync_mirror", "update": "set_sync_update", "two-way": "set_sync_two_way"}[_mode]
 
     def _sync(spark: SparkSession, sf: str, mode: str = _mode) -> DataFrame:
-        d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"))
-        right = d.where("path % 3 <> 0").withColumn("size", F.col("size") + F.when(F.col("path") % 5 == 0, 1).otherwise(0))
-        return R.sync_plan(d.where("path % 4 <> 0"), right, "path", "size", mode)
+        d = table(spark, sf, "documents")
+        left = d.select(F.expr(_PATHS["left"]).alias("path"), F.col("n_chars").alias("size"))
+        right = d.select(F.expr(_PATHS["right"]).alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("size"))
+        return R.sync_plan(left, right, "path", "size", mode)
 
     query(_n, f"SELECT path, CASE WHEN r.size IS NULL THEN 'copy right' WHEN l.size IS NULL THEN '{_act}' WHEN l.size <> r.size THEN 'copy right' ELSE 'keep' END AS action FROM ({_LEFT}) l FULL JOIN ({_RIGHT}) r USING (path)")(_sync)
 

@@ -233,7 +233,7 @@ def tok_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return K.vocabulary(table(spark, sf, "documents"), "text", 500)
 
 
-@query("tok_encode", f"WITH w AS (SELECT unnest({_WORDS}) AS piece FROM documents), c AS (SELECT piece, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, piece LIMIT 498), v AS (SELECT 2 + row_number() OVER (ORDER BY n DESC, piece) - 1 AS id, piece FROM c), t AS (SELECT conv_id, turn, unnest({_WORDS}) AS piece, unnest(range(0, len({_WORDS}))) AS pos FROM conversations) SELECT conv_id, turn, list(coalesce(id, 1) ORDER BY pos) AS ids FROM t LEFT JOIN v USING (piece) GROUP BY ALL")
+@query("tok_encode", f"WITH w AS (SELECT unnest({_WORDS}) AS piece FROM documents), c AS (SELECT piece, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, piece LIMIT 498), v AS (SELECT 2 + row_number() OVER (ORDER BY n DESC, piece) - 1 AS id, piece FROM c), t AS (SELECT conv_id, turn, unnest({_WORDS}) AS piece, unnest(range(0, len({_WORDS}))) AS pos FROM conversations), x AS (SELECT conv_id, turn, list(coalesce(id, 1) ORDER BY pos) AS ids FROM t LEFT JOIN v USING (piece) GROUP BY ALL) SELECT conv_id, turn, coalesce(ids, []) AS ids FROM conversations LEFT JOIN x USING (conv_id, turn)")
 def tok_encode(spark: SparkSession, sf: str) -> DataFrame:
     return K.encode(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", K.vocabulary(table(spark, sf, "documents"), "text", 500))
 

@@ -13,10 +13,21 @@ from loomwork.functions import text as X
 MOST_BYTES = 5 * 1024 * 1024
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where it is unset, one of our own, but only if all runs on one machine."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir("/tmp/checkpoints")
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder named in spark.checkpoint.dir; under /tmp only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/sinks/{name}-{uuid.uuid4().hex}"
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
