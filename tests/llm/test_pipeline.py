@@ -65,3 +65,14 @@ def test_tokens_decode_to_the_text(stages):
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="the driver's tables aren't here")
 def test_run(spark):
     assert P.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_duplicates_judge_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, c), (None, c), (None, b), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, lw_key int")
+    got = P.near_duplicates(spark, docs, "")
+    assert got.columns == COLUMNS
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in got.collect())) == [(False, 1, a), (False, 1, b), (False, 3, ""), (True, 0, c)]
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.where("false"), "").count() == 0, name
