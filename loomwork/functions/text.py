@@ -48,7 +48,16 @@ def basename(path: Column) -> Column:
 
 def ignored(path: Column) -> Column:
     """Whether any folder on the path is one that is never searched."""
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in IGNORED_DIRS]))
+    parts = F.split(path, "/")
+    return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*[F.lit(d) for d in IGNORED_DIRS]))
+
+
+def folders(df: DataFrame, path: str = "path") -> DataFrame:
+    """path and depth of every folder that the paths name."""
+    parts = F.split(path, "/")
+    up_to = lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("path"), k.alias("depth"))
+    held = df.where(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), up_to)).alias("d"))
+    return held.select("d.path", "d.depth").distinct()
 
 
 def glob_regex(pattern: str) -> str:

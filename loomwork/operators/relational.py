@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge(left: DataFrame, right: DataFrame, on: str, how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """Equi-join; columns that both sides have get suffixes, the key stays one column. Null keys of an outer merge meet nothing."""
-    clash = [c for c in left.columns if c in right.columns and c != on]
-    a = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
-    b = right.withColumnsRenamed({c: c + suffixes[1] for c in clash})
-    return a.join(b, on, how)
+def merge(left: DataFrame, right: DataFrame, on: str | None = None, how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y"), left_on: str | None = None, right_on: str | None = None) -> DataFrame:
+    """Equi-join; columns that both sides have get suffixes. Null keys of an outer merge meet nothing.
+
+    With ``on`` (or equal names) the key stays one column, with ``left_on`` and ``right_on`` both keys stay.
+    """
+    lkey, rkey = left_on or on, right_on or on
+    if lkey is None or rkey is None:
+        raise ValueError("a merge needs on, or left_on and right_on")
+    clash = [c for c in left.columns if c in right.columns and not c == lkey == rkey]
+    names = {c: c + suffixes[0] for c in clash}, {c: c + suffixes[1] for c in clash}
+    a, b = left.withColumnsRenamed(names[0]), right.withColumnsRenamed(names[1])
+    if lkey == rkey:
+        return a.join(b, lkey, how)
+    return a.join(b, a[names[0].get(lkey, lkey)] == b[names[1].get(rkey, rkey)], how)
 
 
 def group_agg(df: DataFrame, key: str, *aggs: Column) -> DataFrame:
@@ -29,10 +38,19 @@ def describe(df: DataFrame, col: str) -> DataFrame:
     return one.select("count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
-def pivot_table(df: DataFrame, index: str, columns: str, values: list, agg: Column, fill: float | None = None) -> DataFrame:
-    """One column for each of the given values."""
-    out = df.groupBy(index).pivot(columns, values).agg(agg)
-    return out if fill is None else out.na.fill(fill)
+def pivot_table(df: DataFrame, index: str, columns: str, values: list, value: str, agg: Callable[[Column], Column] = F.avg, fill: float | None = None, margins: str | None = None) -> DataFrame:
+    """One column for each of the given values, aggregated in one pass; rows with other values or null keys take no part.
+
+    ``margins`` names a last column and a row over all of them, aggregated from the rows themselves; the index is then a string.
+    """
+    kept = df.where(F.col(index).isNotNull() & F.col(columns).isin(values))
+    cells = [agg(F.when(F.col(columns) == v, F.col(value))).alias(str(v)) for v in values]
+    if margins is None:
+        out = kept.groupBy(index).agg(*cells)
+    else:
+        rolled = kept.rollup(index).agg(F.grouping(index).alias("__all"), *cells, agg(F.col(value)).alias(margins))
+        out = rolled.select(F.when(F.col("__all") == 1, margins).otherwise(F.col(index).cast("string")).alias(index), *[str(v) for v in values], margins)
+    return out if fill is None else out.na.fill(fill, [c for c in out.columns if c != index])
 
 
 def pivot_unique(df: DataFrame, index: str, columns: str, values: list, value: str) -> DataFrame:

@@ -392,20 +392,33 @@ def spm_ridge_cusum(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("u", "d", r("c_up").alias("c_up"), r("c_dn").alias("c_dn"), ((F.col("c_up") > 5) | (F.col("c_dn") < -5)).alias("alarm"))
 
 
-@query("spm_structure_drift")
+_PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
+_DRIFT = (
+    f"WITH w AS ({_WIDE}), k AS (SELECT u, " + ", ".join(f"rank() OVER (PARTITION BY u ORDER BY {x}) + (count(*) OVER (PARTITION BY u, {x}) - 1) / 2.0::DOUBLE AS {x}" for x in _X) + " FROM w), "
+    "v AS (SELECT u AS win, " + ", ".join(f"CASE WHEN min({_X[i]}) < max({_X[i]}) AND min({_X[j]}) < max({_X[j]}) THEN corr({_X[i]}, {_X[j]}) ELSE 0 END AS c{i}_{j}" for i, j in _PAIRS) + " FROM k GROUP BY u), "
+    "m AS (SELECT " + ", ".join(f"avg(c{i}_{j}) AS m{i}_{j}" for i, j in _PAIRS) + " FROM v), "
+    "d AS (SELECT win, sqrt(" + " + ".join(f"{1 if i == j else 2} * pow(c{i}_{j} - m{i}_{j}, 2)" for i, j in _PAIRS) + ") AS dist FROM v, m), "
+    "s AS (SELECT win, dist, sum(dist - 1) OVER o AS t FROM d WINDOW o AS (ORDER BY win ROWS UNBOUNDED PRECEDING)) "
+    "SELECT win, round(dist, 4) AS dist, round(t - least(0, min(t) OVER (ORDER BY win ROWS UNBOUNDED PRECEDING)), 4) + 0.0::DOUBLE AS c_up FROM s"
+)
+
+
+@query("spm_structure_drift", _DRIFT)
 def spm_structure_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """Frobenius distance of each window's rank correlations from those of all windows, then a CUSUM over windows."""
-    cols = [f"x{i}" for i in range(5)]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf[cols].rank().corr().fillna(0.0).to_numpy()
-        return pd.DataFrame({"win": [pdf["win"].iloc[0]], "flat": [c.ravel().tolist()]})
-
-    w = _wide(spark, sf).withColumn("win", F.col("u"))
-    m = w.select("win", *cols).groupBy("win").applyInPandas(run, "win long, flat array<double>")
-    ref = m.select(F.posexplode("flat").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v")).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("r"))
-    d = m.join(F.broadcast(ref)).select("win", F.sqrt(V.total(F.zip_with("flat", F.col("r.v"), lambda a, b: (a - b) * (a - b)))).alias("dist"))  # one row
-    return M.cusum(d.withColumn("all", F.lit(0)), "all", ["win"], "dist", 1.0).select("win", r("dist").alias("dist"), r("c_up").alias("c_up"))
+    """Frobenius distance of each window's rank correlations from those of all windows, then a CUSUM over windows.
+
+    Ties have their mean rank; a variable that doesn't vary in a window correlates with nothing.
+    """
+    win = Window.partitionBy("u")
+    mean_rank = lambda x: F.rank().over(win.orderBy(x)) + (F.count("*").over(Window.partitionBy("u", x)) - 1) / 2.0
+    ranks = _wide(spark, sf).select("u", *[mean_rank(x).alias(x) for x in _X])
+    varies = lambda x: F.min(x) < F.max(x)
+    c = [F.when(varies(_X[i]) & varies(_X[j]), F.corr(_X[i], _X[j])).otherwise(0.0).alias(f"c{i}_{j}") for i, j in _PAIRS]
+    v = ranks.groupBy(F.col("u").alias("win")).agg(*c)
+    m = v.agg(*[F.avg(f"c{i}_{j}").alias(f"m{i}_{j}") for i, j in _PAIRS])
+    off = sum((F.lit(1.0 if i == j else 2.0) * F.pow(F.col(f"c{i}_{j}") - F.col(f"m{i}_{j}"), F.lit(2.0)) for i, j in _PAIRS), F.lit(0.0))
+    d = v.join(F.broadcast(m)).select("win", F.sqrt(off).alias("dist"))  # one row
+    return M.cusum(d.withColumn("all", F.lit(0)), "all", ["win"], "dist", 1.0).select("win", r("dist").alias("dist"), (r("c_up") + 0.0).alias("c_up"))
 
 
 @query("spm_fdp_cusum")
@@ -433,12 +446,16 @@ def spm_filters(spark: SparkSession, sf: str) -> DataFrame:
     return _ev(spark, sf).select("event_id", r(sg).alias("sg"), F.lag("value").over(_BY()).alias("lag1"))
 
 
-# streams, by their batch twins; tests hold the streams against these
+# streams: polls and logs run as streams to their end, windows by their batch twins; tests hold the streams against these
 @query("src_metric_poll", "SELECT time_bucket(INTERVAL '10 seconds', ts) AS start, count(*) AS n, round(avg(value), 4) AS m FROM events GROUP BY 1")
 def src_metric_poll(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics polled as a stream of files into a table, up to what is there now, and summed by interval."""
     from loomwork.streaming import charts
 
-    return charts.tumbling(_ev(spark, sf), "10 seconds")
+    polled, schema = sinks.scratch_path(spark, "polled"), _ev(spark, sf).schema
+    found = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select("ts", "value")  # a stream takes one file by a pattern only
+    found.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{polled}-state").format("parquet").start(polled).awaitTermination()
+    return charts.tumbling(spark.read.schema(found.schema).parquet(polled), "10 seconds")
 
 
 @query("stm_poll_window", "SELECT time_bucket(INTERVAL '10 seconds', ts) AS start, count(*) AS n, round(avg(value), 4) AS m FROM events GROUP BY 1")

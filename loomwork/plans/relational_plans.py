@@ -168,17 +168,17 @@ def agg_info(spark: SparkSession, sf: str) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("non_null"), F.lit(kind.replace("timestamp_ntz", "timestamp")).alias("dtype")) for c, kind in e.dtypes])))
 
 
-_PIVOT = "SELECT l_returnflag, coalesce(round({f}(l_quantity) FILTER (l_linestatus = 'F'), 4), 0) AS \"F\", coalesce(round({f}(l_quantity) FILTER (l_linestatus = 'O'), 4), 0) AS \"O\" FROM lineitem GROUP BY 1"
+_PIVOT = "SELECT CASE WHEN grouping(l_returnflag) = 1 THEN 'All' ELSE l_returnflag END AS l_returnflag, coalesce(round({f}(l_quantity) FILTER (l_linestatus = 'F'), 4), 0) AS \"F\", coalesce(round({f}(l_quantity) FILTER (l_linestatus = 'O'), 4), 0) AS \"O\", round({f}(l_quantity), 4) AS \"All\" FROM lineitem GROUP BY ROLLUP (l_returnflag)"
 
 
 @query("agg_pivot_sum", _PIVOT.format(f="sum"))
 def agg_pivot_sum(spark: SparkSession, sf: str) -> DataFrame:
-    return R.pivot_table(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"], r(F.sum("l_quantity")), 0.0)
+    return R.pivot_table(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"], "l_quantity", lambda x: r(F.sum(x)), 0.0, "All")
 
 
 @query("agg_pivot_mean", _PIVOT.format(f="avg"))
 def agg_pivot_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return R.pivot_table(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"], r(F.avg("l_quantity")), 0.0)
+    return R.pivot_table(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"], "l_quantity", lambda x: r(F.avg(x)), 0.0, "All")
 
 
 @query("agg_reduce", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings")

@@ -18,19 +18,13 @@ def _listed(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).where(~X.ignored(F.col("path")))
 
 
-def _folders(df: DataFrame, path: str = "path") -> DataFrame:
-    """Every folder that a path names, with its depth."""
-    parts = F.split(path, "/")
-    return df.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("path"), k.alias("depth")))).alias("d")).select("d.path", "d.depth").distinct()
-
-
 _DIRS = f"(SELECT DISTINCT array_to_string(s[1:k], '/') AS path, k AS depth FROM (SELECT s, unnest(range(1, len(s))) AS k FROM (SELECT string_split(path, '/') AS s FROM f WHERE {_OK})))"
 
 
 @query("src_list_files", f"WITH f AS ({FILES_SQL}) SELECT path, 'file' AS type, size::BIGINT AS size FROM f WHERE {_OK} UNION ALL SELECT path, 'dir', NULL FROM {_DIRS}")
 def src_list_files(spark: SparkSession, sf: str) -> DataFrame:
     f = _listed(spark, sf).select("path", F.lit("file").alias("type"), F.col("size").cast("long").alias("size"))
-    return f.unionByName(_folders(f).select("path", F.lit("dir").alias("type"), F.lit(None).cast("long").alias("size")))
+    return f.unionByName(X.folders(f).select("path", F.lit("dir").alias("type"), F.lit(None).cast("long").alias("size")))
 
 
 @query("src_ignore_dirs", f"WITH f AS ({FILES_SQL}) SELECT path FROM f WHERE NOT {_OK}")
@@ -42,7 +36,7 @@ def src_ignore_dirs(spark: SparkSession, sf: str) -> DataFrame:
 def src_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Folders before files, names without regard to case, four levels, at most 2000 entries (the tool's own cap)."""
     f = _listed(spark, sf).select("path")
-    both = _folders(f).withColumn("is_file", F.lit(0)).unionByName(f.distinct().select("path", F.size(F.split("path", "/")).alias("depth"), F.lit(1).alias("is_file")))
+    both = X.folders(f).withColumn("is_file", F.lit(0)).unionByName(f.distinct().select("path", F.size(F.split("path", "/")).alias("depth"), F.lit(1).alias("is_file")))
     return both.where("depth <= 4").orderBy("is_file", F.lower("path"), "path").limit(2000)
 
 

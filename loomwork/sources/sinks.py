@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path, size and time of files; contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    return found.select("path", F.col("length").alias("size"), "modificationTime").where(~X.ignored(F.col("path")))
+    """path below the root, type, size and time of files, and the folders that hold them; contents aren't read.
+
+    Folders that are never searched are left out with all below them. Spark's readers don't see empty files, empty folders and
+    names that start with a dot or an underscore. Without ``recursive``, only what lies in the root itself.
+    """
+    root = re.sub("^file:/*", "/", path).rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    below = F.substr(F.col("path"), F.locate(root, "path") + F.lit(len(root) + 1))
+    files = found.select(below.alias("path"), F.lit("file").alias("type"), F.col("length").alias("size"), "modificationTime").where(~X.ignored(F.col("path")))
+    dirs = X.folders(files).select("path", F.lit("dir").alias("type"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    both = files.unionByName(dirs)
+    return both if recursive else both.where(~F.contains("path", F.lit("/")))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
