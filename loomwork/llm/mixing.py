@@ -53,9 +53,11 @@ def poisson_mix(docs: DataFrame, *, weights: dict[str, float] | None = None, alp
     rates = source_rates(docs, weights=weights, alpha=alpha, epochs=epochs, text_col=text_col, source_col=source_col).select(F.col("src").alias("lw_src"), F.col("rate").alias("lw_rate"), F.col("cdf").alias("lw_cdf"))
     few = rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    counted = docs.withColumn("lw_src", F.coalesce(F.col(source_col), F.lit(""))).join(F.broadcast(rates) if few else rates, "lw_src")
-    counted = counted.withColumn("lw_row", key)
-    counted = counted.withColumn("lw_u", uniform(F.lit(str(seed)), F.col("lw_row"))).withColumn("lw_copies", F.size(F.filter("lw_cdf", lambda c: c <= F.col("lw_u")))).drop("lw_cdf", "lw_u", "lw_src")
+    named = docs.withColumn("lw_src", F.coalesce(F.col(source_col), F.lit(""))).withColumn("lw_row", key)
+    counted = named.join(F.broadcast(rates) if few else rates, "lw_src")
+    # the array of one number binds it: written straight into the filter it would be hashed again for each step of the distribution
+    below = F.transform(F.array(uniform(F.lit(str(seed)), F.col("lw_row"))), lambda u: F.size(F.filter("lw_cdf", lambda c: c <= u)))
+    counted = counted.withColumn("lw_copies", F.element_at(below, 1)).drop("lw_cdf", "lw_src")
     copies = counted.where(F.col("lw_copies") > 0).withColumn("lw_copy", F.explode(F.sequence(F.lit(0), F.col("lw_copies") - 1)))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("lw_row"), F.col("lw_copy"))), 1, 15), 16, 10).cast("long")
     return copies.withColumn("lw_key", order).drop("lw_row").repartition("lw_key").sortWithinPartitions("lw_key")
