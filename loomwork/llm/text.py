@@ -84,12 +84,12 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs that are free of ASCII white space, and the row offsets into them."""
+def words(buf: np.ndarray, off: np.ndarray, marks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs that are free of ``marks`` (ASCII white space), and the row offsets into them."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    ink = ~SPACE[buf]
+    ink = ~marks[buf]
     edge = np.zeros(len(buf) + 1, dtype=bool)
     edge[off] = True
     begin = ink.copy()
