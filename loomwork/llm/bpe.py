@@ -55,8 +55,11 @@ def code_point_classes() -> np.ndarray:
     return out
 
 
-def load_spec(path: str) -> bytes:
-    """What workers need of a tokenizer file, read where the path is valid (the driver): about a megabyte."""
+def load_spec(path: str, *, special: bool = True) -> bytes:
+    """What workers need of a tokenizer file, read where the path is valid (the driver): about a megabyte.
+
+    Without ``special``, the strings of special tokens are text like any other.
+    """
     with open(path, encoding="utf-8") as f:
         t = json.load(f)
     if t["model"]["type"] != "BPE" or (t["pre_tokenizer"] or {}).get("type") != "ByteLevel" or t["pre_tokenizer"]["add_prefix_space"] or not t["pre_tokenizer"].get("use_regex", True) or t["normalizer"]:
@@ -64,7 +67,7 @@ def load_spec(path: str) -> bytes:
     if any(a.get(k) for a in t["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
         raise ValueError("added tokens that depend on what stands around them aren't supported")
     merges = [m if isinstance(m, str) else " ".join(m) for m in t["model"]["merges"]]
-    spec = {"vocab": t["model"]["vocab"], "merges": merges, "special": {a["content"]: a["id"] for a in t["added_tokens"]}}
+    spec = {"vocab": t["model"]["vocab"], "merges": merges, "special": {a["content"]: a["id"] for a in t["added_tokens"] if special}}
     return zlib.compress(json.dumps(spec).encode()) + b"|classes|" + zlib.compress(code_point_classes().tobytes())
 
 
@@ -235,9 +238,14 @@ class Codec:
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[list[int], np.ndarray]:
         """The place in the table of every word of all rows, and the row offsets into them."""
+        place, which, rows = self.distinct(buf, off)
+        return place[which].tolist(), rows
+
+    def distinct(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place in the table of every distinct word, which of them each word of all rows is, and the row offsets into the words."""
         bounds, rows = self.split(buf, off)
         if len(bounds) < 2:
-            return [], rows
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), rows
         h = T.range_hashes(buf, bounds[:-1], bounds[1:])
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
         raw = buf.tobytes()
@@ -249,8 +257,7 @@ class Codec:
             if w in self.special:
                 self.put(w, (self.special[w],))
         self.learn([w for w in new if w not in self.special])
-        place = np.array([self.table[w] for w in distinct], dtype=np.int64)
-        return place[which].tolist(), rows
+        return np.array([self.table[w] for w in distinct], dtype=np.int64), which, rows
 
     def encode_one(self, text: bytes) -> list[int]:
         """The ids of one text, word by word; for texts where two words share a hash."""
