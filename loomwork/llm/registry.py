@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import alignment, bpe, divergence, fingerprints, jaccard, language, mixing, sharding, substrings, suffixes, topk, toxicity
+from loomwork.llm import alignment, bpe, divergence, fingerprints, jaccard, language, mixing, quality, sharding, substrings, suffixes, topk, toxicity
 
-_MODULES = (language, mixing, jaccard, bpe, topk, toxicity, substrings, suffixes, sharding, fingerprints, alignment, divergence)
+_MODULES = (language, mixing, jaccard, bpe, topk, toxicity, substrings, suffixes, sharding, fingerprints, alignment, divergence, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -182,12 +182,13 @@ def boost(x: np.ndarray, y: np.ndarray, *, rate: float = 0.15, smooth: float = 1
     return model
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: margins and the nondecreasing rates at them."""
     order = np.argsort(margin, kind="stable")
-    blocks: list[list[float]] = []  # sum, count, first margin, last margin
-    for m, v in zip(margin[order], y[order], strict=True):
-        blocks.append([float(v), 1.0, float(m), float(m)])
+    weight = np.ones(len(y)) if weight is None else weight
+    blocks: list[list[float]] = []  # sum, weight, first margin, last margin
+    for m, v, n in zip(margin[order], y[order], weight[order], strict=True):
+        blocks.append([float(v * n), float(n), float(m), float(m)])
         while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
             s, c, _, last = blocks.pop()
             blocks[-1][0] += s
