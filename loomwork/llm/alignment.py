@@ -8,6 +8,7 @@ a group: no token reaches across it.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -21,7 +22,7 @@ from loomwork.llm import bpe, scratch
 from loomwork.llm import text as T
 
 #: Bytes of text that are aligned at a time, and distinct words that a worker remembers between them.
-TEXT_AT_ONCE, REMEMBERED = 4 << 20, 400_000
+TEXT_AT_ONCE, REMEMBERED = 2 << 20, 200_000
 #: Pairs of ids whose counts are sent to the workers at a time (13 bytes each). More take more rounds, with equal results.
 PAIRS_AT_ONCE = 4_000_000
 #: Distinct pairs that a task adds up before it hands them on.
@@ -43,36 +44,79 @@ class Vocabulary:
         return self.data[T.take_ranges(self.start[ids], self.length[ids])]
 
 
-class ByteWords:
-    """Ids of a byte-level BPE file."""
+class Words:
+    """Ids of texts by way of their distinct words, each of which a library encodes once and a table remembers."""
 
-    def __init__(self, spec: bytes) -> None:
-        self.codec = bpe.Codec(spec)
-        self.vocabulary = Vocabulary(self.codec.bytes_of)
+    vocabulary: Vocabulary
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.table: dict[bytes, tuple[int, ...]] = {}
+
+    def bounds(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the words of all rows (then the end), and the row offsets into them."""
+        raise NotImplementedError
+
+    def spelled(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each word."""
+        raise NotImplementedError
+
+    def encode_one(self, text: bytes) -> list[int]:
+        """The ids of a whole text."""
+        raise NotImplementedError
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and the row offsets into them."""
-        place, which, rows = self.codec.distinct(buf, off)
-        known = self.codec.ids
-        return _spread([known[p] for p in place.tolist()], which, rows)
+        bounds, rows = self.bounds(buf, off)
+        if len(bounds) < 2:
+            return np.zeros(0, np.int64), rows
+        _, first, which = np.unique(T.range_hashes(buf, bounds[:-1], bounds[1:]), return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        distinct = [raw[a:b] for a, b in zip(bounds[first].tolist(), bounds[first + 1].tolist(), strict=True)]
+        if len(self.table) > REMEMBERED:
+            self.forget()
+        new = [w for w in distinct if w not in self.table]
+        self.table.update(zip(new, self.spelled(new), strict=True))
+        return _spread([self.table[w] for w in distinct], which, rows)
 
-    def encode_one(self, text: bytes) -> list[int]:
-        return self.codec.encode_one(text)
 
-    def forget(self) -> None:
-        self.codec.forget()
+class ByteWords(Words):
+    """A byte-level BPE file: its words are what its regular expression splits a text into."""
 
+    def __init__(self, spec: bytes, file: bytes) -> None:
+        from tokenizers import Tokenizer
 
-class PieceWords:
-    """Ids of a sentencepiece BPE model that puts a space before a text and whose pieces hold none but at their start.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine
+        super().__init__()
+        self.codec = bpe.Codec(spec)
+        self.vocabulary = Vocabulary(self.codec.bytes_of)
+        self.model = Tokenizer.from_buffer(file)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.model.encode_special_tokens = True
 
-    So no merge crosses the border before a space that follows another character, and the words between such borders are
-    encoded each by itself, once.
+    def bounds(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.codec.split(buf, off)
+
+    def spelled(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        return [tuple(e.ids) for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def encode_one(self, text: bytes) -> list[int]:
+        return self.model.encode(text.decode(), add_special_tokens=False).ids
+
+
+class PieceWords(Words):
+    """A sentencepiece BPE model that puts a space before a text and whose pieces hold none but at their start.
+
+    So no merge crosses the border before a space that follows another character, and words lie between such borders.
     """
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
 
+        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(size)]
@@ -81,33 +125,18 @@ class PieceWords:
         plain = lambda i, p: bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
         self.vocabulary = Vocabulary({i: plain(i, p) for i, p in enumerate(pieces)})
         self.alone = (self.model.piece_to_id("▁"),)
-        self.forget()
-
-    def forget(self) -> None:
-        self.table: dict[bytes, int] = {}
-        self.ids: list[tuple[int, ...]] = []
 
-    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all rows, each of which starts with a space, and the row offsets into them."""
-        if not len(buf):
-            return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    def bounds(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         blank = buf == SPACE
         begin = blank.copy()
         begin[1:] &= ~blank[:-1]
-        begin[off[:-1][np.diff(off) > 0]] = True
+        begin[off[:-1][np.diff(off) > 0]] = True  # each row starts with a space
         starts = np.flatnonzero(begin)
-        bounds = np.append(starts, len(buf))
-        _, first, which = np.unique(T.range_hashes(buf, starts, bounds[1:]), return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        distinct = [raw[a:b] for a, b in zip(bounds[first].tolist(), bounds[first + 1].tolist(), strict=True)]
-        if len(self.table) > REMEMBERED:
-            self.forget()
-        new = [w for w in distinct if w not in self.table]
-        for w, ids in zip(new, self.model.encode([w[1:].decode() for w in new], num_threads=1), strict=True):
-            self.table[w] = len(self.ids)
-            self.ids.append(tuple(ids) if len(w) > 1 else self.alone)
-        known, table = self.ids, self.table
-        return _spread([known[table[w]] for w in distinct], which, np.searchsorted(starts, off))
+        return np.append(starts, len(buf)), np.searchsorted(starts, off)
+
+    def spelled(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        found = self.model.encode([w[1:].decode() for w in words], num_threads=1)
+        return [tuple(ids) if len(w) > 1 else self.alone for w, ids in zip(words, found, strict=True)]
 
     def encode_one(self, text: bytes) -> list[int]:
         return self.model.encode(text[1:].decode())
@@ -121,7 +150,7 @@ def _spread(words: list[tuple[int, ...]], which: np.ndarray, rows: np.ndarray) -
     return flat[T.take_ranges((np.cumsum(size) - size)[which], n)], np.concatenate([[0], np.cumsum(n)])[rows]
 
 
-def encoded(words: ByteWords | PieceWords, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encoded(words: Words, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, row offsets, and whether the bytes of a row's tokens are the row's. Rows where they aren't are encoded again as a whole, as two words may share a hash."""
     ids, rows = words.encode(buf, off)
     length = words.vocabulary.length
@@ -158,14 +187,21 @@ class Aligned:
     ends_b: np.ndarray
 
 
+def union1d(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """numpy.union1d of two ascending arrays, by a merge (a stable sort of two runs) instead of a hash table."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+
+
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each elementary interval its owner on either side, and whether both end there; the last ends must be equal."""
-    ends = np.union1d(ends_a, ends_b)
+    ends = union1d(ends_a, ends_b)
     a, b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     return a, b, (ends_a[a] == ends) & (ends_b[b] == ends)
 
 
-def align_rows(one: ByteWords, two: PieceWords, buf: np.ndarray, off: np.ndarray) -> Aligned:
+def align_rows(one: Words, two: Words, buf: np.ndarray, off: np.ndarray) -> Aligned:
     """The rows end to end: where texts join, both sides have an end, so no interval and no group crosses."""
     a, rows_a, ok_a = encoded(one, buf, off)
     b, rows_b, ok_b = encoded(two, buf, off)
@@ -217,11 +253,11 @@ def spelled_groups(x: Aligned, n: int) -> tuple[bytes, np.ndarray]:
 _WORDS: dict[bytes, tuple[ByteWords, PieceWords]] = {}
 
 
-def _words(spec: bytes, model: bytes) -> tuple[ByteWords, PieceWords]:
+def _words(spec: bytes, file: bytes, model: bytes) -> tuple[ByteWords, PieceWords]:
     key = hashlib.sha256(spec + model).digest()
     if key not in _WORDS:
         _WORDS.clear()
-        _WORDS[key] = ByteWords(spec), PieceWords(model)
+        _WORDS[key] = ByteWords(spec, file), PieceWords(model)
     return _WORDS[key]
 
 
@@ -230,12 +266,11 @@ _SHOWN = {"groups": "string", "groups_sha256": "string"}
 
 def _aligned(docs: DataFrame, a_file: str, b_file: str, outputs: tuple[str, ...], keep: tuple[str, ...], text_col: str) -> DataFrame:
     """The columns in ``keep``, n_a, n_b, n_groups, n_links, ``outputs``, and the distinct linked pairs of each row (b * 65536 + a) with how often each is."""
-    with open(b_file, "rb") as f:
-        model = f.read()
-    spec, model = bpe.load_spec(a_file, special=False), bytes(model)
-    if max(PieceWords(model).vocabulary.length.size, ByteWords(spec).vocabulary.length.size) > 1 << 16:
+    with open(a_file, "rb") as f, open(b_file, "rb") as g:
+        files = bpe.load_spec(a_file, special=False), f.read(), g.read()
+    if any(len(w.vocabulary.length) > 1 << 16 for w in _words(*files)):
         raise ValueError("vocabularies of up to 65,536 ids are supported")
-    shared = docs.sparkSession.sparkContext.broadcast((spec, model))
+    shared = docs.sparkSession.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _words(*shared.value)

@@ -93,7 +93,7 @@ def test_alignment_edges(spark):
 def test_colliding_words_are_encoded_whole(monkeypatch):
     from loomwork.llm import bpe
 
-    one, two = alignment.ByteWords(bpe.load_spec(A, special=False)), alignment.PieceWords(open(B, "rb").read())
+    one, two = alignment.ByteWords(bpe.load_spec(A, special=False), open(A, "rb").read()), alignment.PieceWords(open(B, "rb").read())
     monkeypatch.setattr(text, "range_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64))  # words of one length collide
     buf, off = text.utf8(pa.array([" the cat", " dog sat", " a"]))
     for words in (one, two):
