@@ -49,6 +49,22 @@ def cohesion(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return size.join(inside, "bucket", "left").select("bucket", "n", ratio.alias("cohesion"))
 
 
+def weighted_cohesion(edges: DataFrame, assignment: DataFrame) -> DataFrame:
+    """bucket, n and coh: the weight w of all edges inside over the C(n, 2) pairs of its nodes, either direction counting for the pair; a single node has 0."""
+    inside = assigned(edges.select("src", "dst", "w").where("src <> dst"), assignment).where("bs = bd").groupBy(F.col("bs").alias("bucket")).agg(F.sum("w").alias("w"))
+    size = assignment.groupBy("bucket").agg(F.count("*").alias("n"))
+    ratio = F.when(F.col("n") > 1, F.coalesce("w", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2)).otherwise(0.0)
+    return size.join(inside, "bucket", "left").select("bucket", "n", ratio.alias("coh"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """node and lead (the lowest node of its cycle) of every node that lies on a cycle of two nodes or more: nodes that reach each other."""
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    reach = closure(edges, ends).where("seed <> node").select("seed", "node")
+    both = reach.join(reach.select(F.col("node").alias("seed"), F.col("seed").alias("node")), ["seed", "node"])
+    return both.groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("least")).select("node", F.least("node", "least").alias("lead"))
+
+
 def contamination(tag: Column, path: Column) -> Column:
     """Sum of the weights of the levels at which a tag and a path differ."""
     return sum((F.when(tag[i] != path[i], BASE ** (DEPTH - 1 - i)).otherwise(0) for i in range(DEPTH)), F.lit(0))

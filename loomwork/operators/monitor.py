@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import vectors as V
+from loomwork.operators import scan as S
 
 
 def ewma(df: DataFrame, key: str, order: list[str], x: str, lam: float, start: float = 0.0) -> DataFrame:
     """z_t = lam * x_t + (1 - lam) * z_(t-1) within each key, from ``start``; null from a null x on.
 
-    Rows stream by in order and only the last z is kept, so a key of any length needs no memory.
+    An associative scan: a key with most of the rows spreads over many tasks.
     """
-    rows = df.select(key, *order, F.col(x).cast("double").alias("z")).repartition(key).sortWithinPartitions(key, *order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, z, fresh = None, start, True
-        for batch in batches:
-            out = []
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if fresh or k != now:
-                    now, z, fresh = k, start, False
-                z = None if v is None or z is None else lam * v + (1 - lam) * z
-                out.append(z)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], batch.schema.names)
-
-    return rows.mapInArrow(run, rows.schema)
+    rows = df.select(key, *order, F.col(x).cast("double").alias("__x"))
+    found = S.linear(rows, [key], order, 1 - lam, lam * F.col("__x"), start, "z")
+    return found.select(key, *order, F.nanvl("z", F.lit(None).cast("double")).alias("z"))
 
 
 def cusum(df: DataFrame, key: str, order: list[str], x: str, k: float) -> DataFrame:

@@ -58,9 +58,18 @@ def gra_cohesion(spark: SparkSession, sf: str) -> DataFrame:
     return G.cohesion(edges(spark, sf), assignment(spark)).select("bucket", "n", r("cohesion").alias("cohesion"))
 
 
-@query("gra_similarity_cohesion", f"SELECT bs AS bucket, round(avg(w / n), 6) AS similarity FROM {_EA} WHERE bs = bd AND src < dst GROUP BY 1")
+#: Edges between two units, in either direction, are one pair.
+_PAIR = f"(SELECT bs AS bucket, least(src, dst) AS x, greatest(src, dst) AS y, sum(w) AS w, sum(n) AS n FROM {_EA} WHERE bs = bd AND src <> dst GROUP BY ALL)"
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    e = _ea(spark, sf).where("bs = bd AND src <> dst")
+    return e.groupBy(F.col("bs").alias("bucket"), F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+
+
+@query("gra_similarity_cohesion", f"SELECT bucket, round(avg(w / n), 6) AS similarity FROM {_PAIR} GROUP BY 1")
 def gra_similarity_cohesion(spark: SparkSession, sf: str) -> DataFrame:
-    return _ea(spark, sf).where("bs = bd AND src < dst").groupBy(F.col("bs").alias("bucket")).agg(r(F.avg(F.col("w") / F.col("n"))).alias("similarity"))
+    return _pairs(spark, sf).groupBy("bucket").agg(r(F.avg(F.col("w") / F.col("n"))).alias("similarity"))
 
 
 @query("gra_service_count", f"SELECT count(DISTINCT bucket) AS n, abs(count(DISTINCT bucket) - 7) AS off FROM {_A}")
@@ -171,10 +180,14 @@ def gra_affinity(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(F.broadcast(top), "kind").groupBy("src", "dst").agg(r(F.sum(alpha * F.col("n") / F.col("m"))).alias("w"))  # three rows
 
 
-@query("gra_coh_weighted", f"SELECT bs AS bucket, round(sum(w) FILTER (bs = bd AND src < dst) / (11 * 10 / 2.0), 5) AS coh FROM {_EA} GROUP BY 1")
+_COHW = f"(SELECT bucket, CASE WHEN n > 1 THEN coalesce(w, 0) / (n * (n - 1) / 2.0) ELSE 0 END AS coh FROM (SELECT bucket, count(*) AS n FROM {_A} GROUP BY 1) LEFT JOIN (SELECT bucket, sum(w) AS w FROM {_PAIR} GROUP BY 1) USING (bucket))"
+
+
+@query("gra_coh_weighted", f"SELECT bucket, round(coh, 5) AS coh, round((SELECT avg(coh) FROM {_COHW}), 5) AS mean FROM {_COHW}")
 def gra_coh_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    inside = F.when((F.col("bs") == F.col("bd")) & (F.col("src") < F.col("dst")), F.col("w"))
-    return _ea(spark, sf).groupBy(F.col("bs").alias("bucket")).agg(r(F.sum(inside) / 55.0, 5).alias("coh"))
+    """Weight inside each service over its C(n, 2) pairs, and the mean over services."""
+    c = G.weighted_cohesion(edges(spark, sf), assignment(spark))
+    return c.join(F.broadcast(c.agg(r(F.avg("coh"), 5).alias("mean")))).select("bucket", r("coh", 5).alias("coh"), "mean")  # one row
 
 
 @query("gra_coup_weighted", f"SELECT round(sum(w) FILTER (bs <> bd) / sum(w), 6) AS coup FROM {_EA}")
@@ -214,14 +227,20 @@ def gra_api_stability(spark: SparkSession, sf: str) -> DataFrame:
     return edges(spark, sf).agg(r(1 - F.sum(F.expr("n * (w % 7) / 7")) / F.sum("n")).alias("api"))
 
 
-@query("gra_penalty", f"WITH b AS (SELECT DISTINCT bs, bd FROM {_EA} WHERE bs <> bd AND n > 3) SELECT (SELECT count(*) FROM b x JOIN b y ON x.bs = y.bd AND x.bd = y.bs AND x.bs < x.bd) AS cycles, (SELECT count(*) FROM {_A} a WHERE node NOT IN (SELECT src FROM {_E}) AND node NOT IN (SELECT dst FROM {_E})) AS orphans, 2 AS drift")
+@query("gra_penalty", f"""WITH RECURSIVE b AS (SELECT DISTINCT bs, bd FROM {_EA} WHERE bs <> bd AND n > 3), r AS (SELECT bs, bd FROM b UNION SELECT r.bs, b.bd FROM r JOIN b ON b.bs = r.bd),
+m AS (SELECT x.bs AS node, least(x.bs, min(x.bd)) AS lead FROM r x JOIN r y ON x.bs = y.bd AND x.bd = y.bs WHERE x.bs <> x.bd GROUP BY 1, x.bs)
+SELECT (SELECT count(DISTINCT lead) FROM m) AS cycles, (SELECT count(*) FROM m) AS in_cycles, (SELECT count(*) FROM (SELECT service FROM {_S} WHERE l2 LIKE 'PROMO%' OR l2 LIKE 'ECONOMY%' GROUP BY 1 HAVING count(DISTINCT left(l2, 2)) > 1)) AS mixed,
+(SELECT count(*) FROM {_A} a WHERE node NOT IN (SELECT src FROM {_E}) AND node NOT IN (SELECT dst FROM {_E})) AS orphans, (SELECT abs(count(DISTINCT bucket) - 7) FROM {_A}) AS drift""")
 def gra_penalty(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of buckets that depend on each other, units without edges, distance from seven buckets."""
-    b = _ea(spark, sf).where("bs <> bd AND n > 3").select("bs", "bd").distinct()
-    cyc = b.join(b.select(F.col("bd").alias("bs"), F.col("bs").alias("bd")), ["bs", "bd"]).where("bs < bd").agg(F.count("*").alias("cycles"))
+    """Cycles of services (of any length) and services in them, services that mix kinds which must not meet, units without edges, distance from seven services."""
+    b = _ea(spark, sf).where("bs <> bd AND n > 3").select(F.col("bs").alias("src"), F.col("bd").alias("dst")).distinct()
+    cyc = G.cycles(b).agg(F.count_distinct("lead").alias("cycles"), F.count("*").alias("in_cycles"))
+    bad = _services(spark, sf).where("l2 LIKE 'PROMO%' OR l2 LIKE 'ECONOMY%'").groupBy("service").agg(F.count_distinct(F.left("l2", F.lit(2))).alias("k"))
     e = edges(spark, sf)
     orphans = assignment(spark).join(e.select(F.col("src").alias("node")).union(e.select("dst")), "node", "left_anti").agg(F.count("*").alias("orphans"))
-    return cyc.join(F.broadcast(orphans)).select("cycles", "orphans", F.lit(2).alias("drift"))
+    drift = assignment(spark).agg(F.abs(F.count_distinct("bucket") - 7).alias("drift"))
+    one = cyc.join(F.broadcast(bad.agg(F.count_if(F.col("k") > 1).alias("mixed")))).join(F.broadcast(orphans)).join(F.broadcast(drift))  # one row each
+    return one.select("cycles", "in_cycles", "mixed", "orphans", "drift")
 
 
 _F = f"(SELECT service AS id, sum(d)::DOUBLE AS a, count(*)::DOUBLE AS b, avg(d) AS c FROM ({_CONT}) GROUP BY 1)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import vectors as V
 from loomwork.operators import monitor as M
+from loomwork.operators import scan
 from loomwork.operators import relational as R
 from loomwork.registry import query
 from loomwork.sources import sinks
@@ -438,12 +439,20 @@ def spm_conformal_ens(spark: SparkSession, sf: str) -> DataFrame:
     return _conformal(_ev(spark, sf)).groupBy("user_id").agg(r(-2 * F.sum(F.ln("p"))).alias("s"))
 
 
-@query("spm_filters", f"SELECT event_id, round((-3 * coalesce(lag(value, 2) {_W.format(frame='')}, value) + 12 * coalesce(lag(value) {_W.format(frame='')}, value) + 17 * value + 12 * coalesce(lead(value) {_W.format(frame='')}, value) - 3 * coalesce(lead(value, 2) {_W.format(frame='')}, value)) / 35, 4) AS sg, lag(value) {_W.format(frame='')} AS lag1 FROM events")
+_SG = f"(SELECT event_id, (-3 * coalesce(lag(value, 2) {_W.format(frame='')}, value) + 12 * coalesce(lag(value) {_W.format(frame='')}, value) + 17 * value + 12 * coalesce(lead(value) {_W.format(frame='')}, value) - 3 * coalesce(lead(value, 2) {_W.format(frame='')}, value)) / 35 AS sg, lag(value) {_W.format(frame='')} AS lag1 FROM events)"
+_KALMAN = """WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+k AS (SELECT user_id, event_id, i, 100 + 404.0::DOUBLE / 504 * (value - 100) AS x, 404.0::DOUBLE * 100 / 504 AS p FROM o WHERE i = 1
+      UNION ALL SELECT o.user_id, o.event_id, o.i, k.x + (k.p + 4) / (k.p + 104) * (o.value - k.x), (k.p + 4) * 100 / (k.p + 104) FROM k JOIN o ON o.user_id = k.user_id AND o.i = k.i + 1)"""
+
+
+@query("spm_filters", f"{_KALMAN} SELECT event_id, round(sg, 4) AS sg, lag1, round(x, 4) AS level, round(p, 4) AS var FROM k JOIN {_SG} USING (event_id)")
 def spm_filters(spark: SparkSession, sf: str) -> DataFrame:
-    """Savitzky-Golay of five points (the value itself beyond the ends), and the lag columns of dynamic PCA."""
+    """Savitzky-Golay of five points (the value itself beyond the ends), the lag columns of dynamic PCA, and a scalar Kalman filter of each user's level."""
     at = lambda k: F.coalesce((F.lag if k > 0 else F.lead)("value", abs(k)).over(_BY()), F.col("value"))
     sg = (-3 * at(2) + 12 * at(1) + 17 * F.col("value") + 12 * at(-1) - 3 * at(-2)) / 35
-    return _ev(spark, sf).select("event_id", r(sg).alias("sg"), F.lag("value").over(_BY()).alias("lag1"))
+    smooth = _ev(spark, sf).select("event_id", r(sg).alias("sg"), F.lag("value").over(_BY()).alias("lag1"))
+    level = scan.kalman(_ev(spark, sf).select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "value", q=4.0, r=100.0, start=100.0, start_var=400.0)
+    return smooth.join(level.select("event_id", r("level").alias("level"), r("var").alias("var")), "event_id")
 
 
 # streams: polls and logs run as streams to their end, windows by their batch twins; tests hold the streams against these
@@ -482,11 +491,19 @@ def stm_slide_monitor(spark: SparkSession, sf: str) -> DataFrame:
     return _ev(spark, sf).groupBy((F.col("user_id") % 5).alias("g"), w.alias("w")).agg(r(F.avg("value"), 8).alias("m")).select("g", F.col("w.start").cast(_ev(spark, sf).schema["ts"].dataType).alias("start"), "m")
 
 
-@query("stm_ewma_cusum", _EWMA.replace("SELECT event_id, round(z, 4) AS z FROM z", "SELECT user_id, round(arg_max(z, i), 4) AS z, count(*) AS n FROM z GROUP BY 1"))
+_LAST_CU = f"""s AS (SELECT user_id, ts, event_id, sum((value - 100) / 50 - 0.25) {_W.format(frame='')} AS u, sum((value - 100) / 50 + 0.25) {_W.format(frame='')} AS d FROM events),
+cu AS (SELECT user_id, ts, event_id, u - least(0, min(u) {_W.format(frame='')}) AS c_up, d - greatest(0, max(d) {_W.format(frame='')}) AS c_dn FROM s),
+l AS (SELECT user_id, round(arg_max(c_up, (ts, event_id)), 4) + 0.0 AS c_up, round(arg_max(c_dn, (ts, event_id)), 4) + 0.0 AS c_dn FROM cu GROUP BY 1)"""
+
+
+@query("stm_ewma_cusum", _EWMA.replace(" SELECT event_id, round(z, 4) AS z FROM z", f", {_LAST_CU}, e AS (SELECT user_id, round(arg_max(z, i), 4) AS z, count(*) AS n FROM z GROUP BY 1) SELECT user_id, z, c_up, c_dn, n FROM e JOIN l USING (user_id)"))
 def stm_ewma_cusum(spark: SparkSession, sf: str) -> DataFrame:
-    """The chart's last state for each key: what the stateful stream holds after all events."""
+    """The charts' last state for each key: what the stateful stream (streaming.charts.chart_stream) holds after all events."""
+    last = lambda c: r(F.max_by(c, F.struct("ts", "event_id")))
     z = M.ewma(_ev(spark, sf), "user_id", ["ts", "event_id"], "value", 0.2, 100.0)
-    return z.groupBy("user_id").agg(r(F.max_by("z", F.struct("ts", "event_id"))).alias("z"), F.count("*").alias("n"))
+    z = z.groupBy("user_id").agg(last("z").alias("z"), F.count("*").alias("n"))
+    c = _cusum(spark, sf).groupBy("user_id").agg((last("c_up") + 0.0).alias("c_up"), (last("c_dn") + 0.0).alias("c_dn"))
+    return z.join(c, "user_id").select("user_id", "z", "c_up", "c_dn", "n")
 
 
 @query("src_log_glob", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

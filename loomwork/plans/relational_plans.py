@@ -122,11 +122,10 @@ def join_tag_override(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").join(human, "p_partkey", "left").select("p_partkey", F.coalesce("tag", "p_type").alias("tag"))
 
 
-@query("join_semi_orphans", "SELECT p_partkey FROM part ANTI JOIN (SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_quantity > 45) USING (p_partkey)")
+@query("join_semi_orphans", "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
 def join_semi_orphans(spark: SparkSession, sf: str) -> DataFrame:
-    """Components that no assignment names."""
-    assigned = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf, "part").join(assigned, "p_partkey", "left_anti").select("p_partkey")
+    """Components that no assignment names: documents without a label."""
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "source")
 
 
 # aggregation
@@ -389,10 +388,13 @@ def set_cluster_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # reshaping
-@query("rsh_pivot", "SELECT n_regionkey, max(n_name) FILTER (n_nationkey % 5 = 0) AS \"0\", max(n_name) FILTER (n_nationkey % 5 = 1) AS \"1\" FROM (SELECT min(n_nationkey) AS n_nationkey, n_regionkey, min_by(n_name, n_nationkey) AS n_name FROM nation GROUP BY n_regionkey, n_nationkey % 5) GROUP BY 1")
+_SLOTS = ", ".join(f'max(n_name) FILTER (n_nationkey % 5 = {k}) AS "{k}"' for k in range(5))
+
+
+@query("rsh_pivot", f"SELECT n_regionkey, {_SLOTS} FROM (SELECT n_regionkey, min(n_nationkey) AS n_nationkey, min_by(n_name, n_nationkey) AS n_name FROM nation GROUP BY n_regionkey, n_nationkey % 5) GROUP BY 1")
 def rsh_pivot(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").groupBy("n_regionkey", F.expr("n_nationkey % 5").alias("slot")).agg(F.min_by("n_name", "n_nationkey").alias("n_name"))
-    return R.pivot_unique(n, "n_regionkey", "slot", [0, 1], "n_name")
+    return R.pivot_unique(n, "n_regionkey", "slot", [0, 1, 2, 3, 4], "n_name")
 
 
 @query("rsh_melt_vars", "SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) AS var, unnest([l_quantity, l_discount, l_tax]) AS x FROM lineitem")
