@@ -34,6 +34,11 @@ SMALL_GROUP = 4
 LEADS = 6
 #: Tokens of a frequent class that share a part of the universe are paired; a prefix has about so many in a part.
 PART = 6
+#: Groups of a member that its list names, so that pairs which share many groups are taken up once.
+LISTED = 64
+#: 64-bit words of the bitmap by which members of a large group are compared before their token sets are.
+SKETCH = 16
+BITMAP = [f"s{k}" for k in range(SKETCH)]
 
 
 def token_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -360,16 +365,29 @@ def _compared(pairs: DataFrame, sets: DataFrame, col: str, kind: type) -> DataFr
     return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def sketches(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A bitmap of SKETCH words for each set, with the bit of each of its tokens (rows x words).
+
+    Bits that differ belong to tokens that differ, so two sets differ in at least as many tokens as their bitmaps in bits.
+    """
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    bit = (T.mix(h) % np.uint64(64 * SKETCH)).astype(np.int64)
+    out = np.zeros((len(offsets) - 1) * SKETCH, np.uint64)
+    np.bitwise_or.at(out, row * SKETCH + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out.reshape(-1, SKETCH).view(np.int64)
+
+
 def _token_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The token sets of the documents that have candidates."""
-    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary()), ("bits", pa.binary())])
+    """The token sets of the documents that have candidates, and their bitmaps."""
+    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary()), ("bits", pa.binary()), *[(c, pa.int64()) for c in BITMAP]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, buf, off in X.each_piece(batches):
             h, offsets = token_sets(buf, off)
-            yield from X.batches_of([(int(i), h[a:b].tobytes(), (h[a:b] >> np.uint64(48)).astype(np.uint16).tobytes()) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)], schema)
+            seen = sketches(h, offsets).tolist()
+            yield from X.batches_of([(int(i), h[a:b].tobytes(), (h[a:b] >> np.uint64(48)).astype(np.uint16).tobytes(), *s) for i, a, b, s in zip(ids, offsets[:-1], offsets[1:], seen, strict=True)], schema)
 
-    return docs.join(nodes.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens binary, bits binary")
+    return docs.join(nodes.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, ", ".join(["id long, tokens binary, bits binary", *[f"{c} long" for c in BITMAP]]))
 
 
 def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,15 +442,19 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     grouped = scratch.table(labelled(members, label, "id", "label"), "members")
     mixed = scratch.table(grouped.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g"), "mixed")
-    open_ = scratch.table(grouped.join(mixed, "g"), "open")
+    open_ = scratch.table(grouped.join(mixed, "g").select("g", "id", "n", "label"), "open")
     scratch.drop(found, grouped, mixed)
-    x = open_.select("g", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "rare", "place", "role", "label")])
-    y = open_.select("g", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "rare", "place", "role", "label")])
-    # as in can_link
-    ahead = F.when(F.expr("(role_x & role_y & 4) > 0"), F.least(F.expr("place_x - rare_x"), F.expr("place_y - rare_y"))).otherwise(0)
-    most = ahead + F.least(F.expr("n_x - place_x"), F.expr("n_y - place_y"))
-    mixed_kinds = F.expr("(role_x & role_y & 4) > 0 and ((role_x | role_y) & 8) > 0")
-    fits = F.expr(f"label_x <> label_y and n_x <= n_y and (role_x & 1) > 0 and (role_y & 2) > 0 and {DEN} * n_x >= {NUM} * n_y") & (mixed_kinds | ((NUM + DEN) * most >= F.expr(f"{NUM} * (n_x + n_y)")))
+    # a pair is taken up in the lowest group that the lists of both name, by what doesn't depend on the group; without such a group, in each
+    lists = open_.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("g")), 1, LISTED).alias("gs"))
+    # a bitmap of several texts of one id tells nothing
+    bitmap = sets.groupBy("id").agg(*[F.expr(f"bit_or({c})").alias(c) for c in BITMAP], F.count("*").alias("texts"))
+    member = open_.join(lists.join(bitmap.hint("merge"), "id").hint("merge"), "id")
+    x, y = (member.select("g", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "label", "texts", "gs", *BITMAP)]) for k in "xy")
+    # overlap >= NUM / (NUM + DEN) * (n_x + n_y) leaves so many tokens that may differ
+    differ = " + ".join(f"bit_count({c}_x ^ {c}_y)" for c in BITMAP)
+    near = f"texts_x > 1 or texts_y > 1 or {NUM + DEN} * ({differ}) <= {DEN - NUM} * (n_x + n_y)"
+    first = "coalesce(array_min(array_intersect(gs_x, gs_y)), g) >= g"
+    fits = F.expr(f"(n_x < n_y or n_x = n_y and id_x < id_y) and label_x <> label_y and {DEN} * n_x >= {NUM} * n_y and ({near}) and {first}")
     more = x.join(y, "g").where(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     rest = scratch.table(more.distinct(), "apart")
     likely = scratch.table(_may_link(rest, sets), "likely")
