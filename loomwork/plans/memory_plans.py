@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.operators import index as I
 from loomwork.operators import memory as M
 from loomwork.operators import search as S
 from loomwork.registry import query
+from loomwork.sources import sinks
 from loomwork.sources.tables import MEMORIES_SQL, memories, table
 
 WORDS = r"""regexp_extract_all(lower(coalesce({t}, '')), '([\p{{L}}\p{{N}}_]+)', 1)"""
@@ -63,13 +65,20 @@ def flt_like_any(spark: SparkSession, sf: str) -> DataFrame:
     return S.like_any(memories(spark, sf), "idiot k12", ["key", "entity_type", "attributes", "content", "tags"]).select("id", "kind", "key")
 
 
-@query("fts_maintain", f"""WITH p AS (SELECT doc_id AS id, unnest({WORDS.format(t='text')}) AS term, len({WORDS.format(t='text')})::INT AS doc_len FROM documents WHERE doc_id % 5 <> 0)
+_KEPT = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' revised') ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"
+
+
+@query("fts_maintain", f"""WITH p AS (SELECT doc_id AS id, unnest({WORDS.format(t='text')}) AS term, len({WORDS.format(t='text')})::INT AS doc_len FROM {_KEPT})
 SELECT term, id, doc_len, count(*) AS tf FROM p GROUP BY ALL""")
 def fts_maintain(spark: SparkSession, sf: str) -> DataFrame:
-    """The postings after every fifth document has been deleted: postings of the rest stay as they are."""
-    docs = table(spark, sf, "documents")
-    gone = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"))
-    return S.postings(docs, "doc_id", "text").join(gone, "id", "left_anti").select("term", "id", "doc_len", "tf")
+    """The postings of an index that took three batches: all documents, new texts of every seventh, the end of every fifth."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = I.TextIndex(spark, sinks.scratch_path(spark, "index"))
+    change = lambda d, op: d.withColumn("op", F.lit(op)).withColumn("seq", F.lit(0))
+    index.apply(change(docs, "I"), 0)
+    index.apply(change(docs.where("id % 7 = 0").withColumn("text", F.concat("text", F.lit(" revised"))), "U"), 1)
+    index.apply(change(docs.where("id % 5 = 0"), "D"), 2)
+    return index.postings().select("term", "id", "doc_len", "tf")
 
 
 @query("join_rowid", f"WITH m AS ({MEMORIES_SQL}), f AS (SELECT doc_id + 1 AS id, strlen(text) AS n FROM documents WHERE text ILIKE '%tion%') SELECT m.id, m.key, f.n FROM m JOIN f USING (id)")
