@@ -68,7 +68,7 @@ def flt_like_any(spark: SparkSession, sf: str) -> DataFrame:
 _KEPT = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' revised') ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"
 
 
-@query("fts_maintain", f"""WITH p AS (SELECT doc_id AS id, unnest({WORDS.format(t='text')}) AS term, len({WORDS.format(t='text')})::INT AS doc_len FROM {_KEPT})
+@query("fts_maintain", f"""WITH b AS MATERIALIZED (SELECT doc_id AS id, {WORDS.format(t='text')} AS w FROM {_KEPT}), p AS (SELECT id, unnest(w) AS term, len(w)::INT AS doc_len FROM b)
 SELECT term, id, doc_len, count(*) AS tf FROM p GROUP BY ALL""")
 def fts_maintain(spark: SparkSession, sf: str) -> DataFrame:
     """The postings of an index that took three batches: all documents, new texts of every seventh, the end of every fifth."""
