@@ -86,25 +86,6 @@ def domination(points: DataFrame, better: dict[str, str]) -> DataFrame:
     return x.join(y, dominates(points, better)).select("winner", "loser")
 
 
-def fronts(points: DataFrame, better: dict[str, str]) -> DataFrame:
-    """id and front (from 1) by peeling: the front of a solution is one more than the longest chain of dominators.
-
-    The pairs are computed once; each round is an anti-join over them and cuts its lineage with a checkpoint.
-    """
-    shared_dir(points.sparkSession)
-    pairs = domination(points, better).checkpoint()
-    left, out, k = points.select("id").checkpoint(), None, 1
-    while True:
-        beaten = pairs.join(left.select(F.col("id").alias("winner")), "winner", "left_semi").select(F.col("loser").alias("id"))
-        front = left.join(beaten, "id", "left_anti").select("id", F.lit(k).alias("front")).checkpoint()
-        if front.isEmpty():
-            break
-        out = front if out is None else out.unionByName(front)
-        left = left.join(front, "id", "left_anti").checkpoint()
-        k += 1
-    return points.select("id", F.lit(0).alias("front")).limit(0) if out is None else out
-
-
 def agreement(df: DataFrame, group: str, tag: str) -> DataFrame:
     """Share of a group's most common tag."""
     n = df.groupBy(group, tag).agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.operators import graph as G
+from loomwork.operators import pareto as P
 from loomwork.operators import relational as R
 from loomwork.registry import query
 from loomwork.sources.tables import table
@@ -282,14 +283,16 @@ _FR = f"WITH RECURSIVE d AS ({_DOM}), c AS (SELECT id, 1 AS front FROM {_F} UNIO
 
 @query("gra_fronts", _FR + " SELECT id, max(front)::INT AS front FROM c GROUP BY 1")
 def gra_fronts(spark: SparkSession, sf: str) -> DataFrame:
-    return G.fronts(_points(spark, sf), _WAY)
+    return P.fronts(_points(spark, sf), _WAY).select("id", F.col("front").cast("int").alias("front"))
 
 
-@query("gra_trim", _FR + f", f AS (SELECT id, max(front) AS front FROM c GROUP BY 1) SELECT id, front::INT AS front FROM f JOIN {_F} USING (id) ORDER BY front, a, id LIMIT 8")
+_GAP = " + ".join(f"coalesce(lead({c}) OVER (PARTITION BY front ORDER BY {c}, id) - lag({c}) OVER (PARTITION BY front ORDER BY {c}, id), 'inf'::DOUBLE)" for c in "ab")
+
+
+@query("gra_trim", _FR + f", f AS (SELECT id, max(front)::INT AS front FROM c GROUP BY 1), w AS (SELECT id, front, {_GAP} AS crowding FROM f JOIN {_F} USING (id)) SELECT id, front, round(crowding, 6) AS crowding FROM w ORDER BY front, crowding DESC, id LIMIT 8")
 def gra_trim(spark: SparkSession, sf: str) -> DataFrame:
-    """The best eight: by front, then by spread (here the first objective)."""
-    p = _points(spark, sf)
-    return G.fronts(p, _WAY).join(p, "id").orderBy("front", "a", "id").limit(8).select("id", "front")
+    """The best eight: by front, then by the room around them."""
+    return P.trim(_points(spark, sf), _WAY, 8).select("id", F.col("front").cast("int").alias("front"), r("crowding").alias("crowding"))
 
 
 @query("gra_knee", f"WITH i AS (SELECT min(a) AS a0, max(b) AS b0 FROM {_F}) SELECT id, round(sqrt(pow(a - a0, 2) + pow(b - b0, 2)), 5) AS dist FROM {_F}, i ORDER BY sqrt(pow(a - a0, 2) + pow(b - b0, 2)), id LIMIT 1")

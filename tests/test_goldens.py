@@ -9,6 +9,7 @@ from loomwork.functions import vectors as V
 from loomwork.operators import graph as G
 from loomwork.operators import memory as M
 from loomwork.operators import monitor as P
+from loomwork.operators import pareto
 from loomwork.operators import relational as R
 from loomwork.operators import search as S
 from loomwork.operators import tokens as K
@@ -82,7 +83,7 @@ def test_closure_of_a_long_chain(spark):
 
 def test_fronts(spark):
     s = spark.createDataFrame([(1, 2.0, 0.17, 0.0), (2, 3.0, 0.5, 1.0), (3, 2.0, 0.25, 0.0), (4, 3.0, 0.4, 1.0)], "id int, a double, b double, c double")
-    got = {r.id: r.front for r in G.fronts(s, {"a": "min", "b": "max", "c": "min"}).collect()}
+    got = {r.id: r.front for r in pareto.fronts(s, {"a": "min", "b": "max", "c": "min"}).collect()}
     assert got == {2: 1, 3: 1, 1: 2, 4: 2}
 
 
