@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 from functools import reduce
 
@@ -90,3 +92,41 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 def or_all(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols)
+
+
+def poisson_weight(row_id: Column, replicate: int) -> Column:
+    """A Poisson count of mean 1, hashed from row and replicate: the inverse of its distribution function at 16 bits of an md5, eight replicates to a hash."""
+    digest = F.md5(F.concat_ws(":", row_id.cast("string"), F.lit(replicate // 8)).cast("binary"))
+    u = F.conv(F.substring(digest, 1 + 4 * (replicate % 8), 4), 16, 10).cast("long")
+    total, term, out = 0.0, math.exp(-1), F.lit(0)
+    for k in range(8):
+        total += term
+        out = out + (u >= round(total * 65536)).cast("int")
+        term /= k + 1
+    return out
+
+
+def bootstrap_means(df: DataFrame, keys: list[str], row_id: str, x: str, replicates: int = 32) -> DataFrame:
+    """keys, replicate and mean of each Poisson bootstrap replicate: every row counts as often as hashed from its id, in one pass, and no row is repeated.
+
+    Sums are added up before anything moves. A replicate without rows has a null mean; rows with a null x play no part.
+    """
+    held = df.where(F.col(x).isNotNull())
+    sums = []
+    for b in range(replicates):
+        w = poisson_weight(F.col(row_id), b)
+        sums += [F.sum(w * F.col(x)).alias(f"s{b}"), F.sum(w).alias(f"w{b}")]
+    wide = held.groupBy(*keys).agg(*sums)
+    each = F.inline(F.array(*[F.struct(F.lit(b).alias("replicate"), F.when(F.col(f"w{b}") > 0, F.col(f"s{b}") / F.col(f"w{b}")).alias("mean")) for b in range(replicates)]))
+    return wide.select(*keys, each)
+
+
+def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
+    """chi2, degrees of freedom and rows of the contingency table of two columns; pairs that don't occur count through the margins.
+
+    The sum of n^2 / (row * column) over occurring pairs is enough, so the table is never filled up. Rows with a null in either play no part.
+    """
+    n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    ra, rb = n.groupBy("a").agg(F.sum("n").alias("na")), n.groupBy("b").agg(F.sum("n").alias("nb"))
+    part = n.join(ra, "a").join(rb, "b").agg(F.sum(F.expr("n * (n / na) / nb")).alias("q"), F.sum("n").alias("n"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
+    return part.select((F.col("n") * (F.col("q") - 1)).alias("chi2"), F.expr("(ka - 1) * (kb - 1)").alias("dof"), "n")

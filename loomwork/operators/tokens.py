@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +31,40 @@ def vocabulary(docs: DataFrame, text: str, size: int) -> DataFrame:
     return ranked.unionByName(docs.sparkSession.createDataFrame(list(enumerate(SPECIAL)), "id long, piece string"))
 
 
+#: Pieces that are sent to every task (some 100 bytes each); a larger vocabulary is joined by a shuffle.
+MOST_SENT = 1_000_000
+
+
 def encode(docs: DataFrame, keys: list[str], text: str, vocab: DataFrame) -> DataFrame:
     """The ids of each row's words, in order; words that the vocabulary lacks are <unk>, a text without words has no ids.
 
-    The vocabulary has a fixed size and travels as one row, so no row of docs moves.
+    A task looks each of its distinct words up once, in a hash table: the cost doesn't grow with the vocabulary, and no row of docs
+    moves. Beyond MOST_SENT pieces distinct words are joined with the vocabulary, and the words of a row gathered again.
     """
-    known = vocab.agg(F.map_from_entries(F.collect_list(F.struct("piece", F.col("id").cast("long")))).alias("__lw_known"))
-    lookup = lambda w: F.coalesce(F.try_element_at("__lw_known", w), F.lit(SPECIAL.index("<unk>")).cast("long"))
-    return docs.join(F.broadcast(known), how="cross").select(*keys, F.transform(tokens(F.col(text)), lookup).alias("ids"))
+    spark, unknown = docs.sparkSession, SPECIAL.index("<unk>")
+    split = docs.select(*keys, tokens(F.col(text)).alias("w"))
+    known = vocab.select("piece", F.col("id").cast("long")).limit(MOST_SENT + 1).toArrow()
+    if known.num_rows > MOST_SENT:
+        each = split.withColumn("__row", F.monotonically_increasing_id()).select("__row", *keys, F.posexplode_outer("w").alias("pos", "piece"))
+        found = each.join(vocab.select("piece", F.col("id").cast("long").alias("id")), "piece", "left")
+        held = found.groupBy("__row", *keys).agg(F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown).cast("long")).alias("id"))))).alias("r"))
+        return held.select(*keys, F.col("r.id").alias("ids"))
+    shared = spark.sparkContext.broadcast((known.column("piece").to_pylist(), np.asarray(known.column("id"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, ids = shared.value
+        table = dict(zip(pieces, ids.tolist(), strict=True))
+        for batch in batches:
+            words = batch.column(len(keys))
+            coded = words.flatten().dictionary_encode()
+            of = np.array([table.get(w, unknown) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+            flat = of[np.asarray(coded.indices)] if len(coded) else of
+            size = np.asarray(pc.list_value_length(words))
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.ListArray.from_arrays(ends, pa.array(flat))], [*keys, "ids"])
+
+    fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys]
+    return split.mapInArrow(run, ", ".join([*fields, "ids array<long>"]))
 
 
 def pack(docs: DataFrame, key: str, ids: str, length: int) -> DataFrame:

@@ -485,10 +485,17 @@ def stm_debounce(spark: SparkSession, sf: str) -> DataFrame:
     return charts.bursts(_ev(spark, sf), "6 hours")
 
 
-@query("stm_slide_monitor", "SELECT user_id % 5 AS g, time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours' * k AS start, round(avg(value), 8) AS m FROM (SELECT *, unnest([0, 1]) AS k FROM events) GROUP BY ALL")
+_SLIDE = """WITH o AS (SELECT user_id, event_id, value, row_number() OVER w AS i, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 9 PRECEDING) AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT user_id, avg(value) AS ref FROM o WHERE i <= 20 GROUP BY 1)
+SELECT user_id, event_id, round(m, 6) AS m, round(m - ref, 6) + 0.0 AS gap FROM o JOIN f USING (user_id) WHERE i >= 30 AND (i - 30) % 5 = 0"""
+
+
+@query("stm_slide_monitor", _SLIDE)
 def stm_slide_monitor(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.window("ts", "24 hours", "12 hours")
-    return _ev(spark, sf).groupBy((F.col("user_id") % 5).alias("g"), w.alias("w")).agg(r(F.avg("value"), 8).alias("m")).select("g", F.col("w.start").cast(_ev(spark, sf).schema["ts"].dataType).alias("start"), "m")
+    """Each sliding window of ten values less the user's reference, the first twenty: what the stream streaming.state.monitor_stream emits."""
+    o = _ev(spark, sf).select("user_id", "event_id", "value", F.row_number().over(_BY()).alias("i"), F.avg("value").over(_BY((-9, 0))).alias("m"))
+    ref = o.where("i <= 20").groupBy("user_id").agg(F.avg("value").alias("ref"))
+    return o.where("i >= 30 AND (i - 30) % 5 = 0").join(ref, "user_id").select("user_id", "event_id", r("m", 6).alias("m"), (r(F.expr("m - ref"), 6) + 0.0).alias("gap"))
 
 
 _LAST_CU = f"""s AS (SELECT user_id, ts, event_id, sum((value - 100) / 50 - 0.25) {_W.format(frame='')} AS u, sum((value - 100) / 50 + 0.25) {_W.format(frame='')} AS d FROM events),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -273,16 +275,35 @@ def agg_regression(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(r(F.regr_slope(y, x), 3).alias("slope"), r(F.regr_intercept(y, x), 1).alias("intercept"), r(F.regr_r2(y, x), 6).alias("r2"))
 
 
-@query("agg_inference", """WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1), t AS (SELECT sum(n) AS nn, sum(n * m) / sum(n) AS mm, count(*) AS k, sum((n - 1) * v) AS within FROM g),
-b AS (SELECT sum(n * pow(m - mm, 2)) AS between_ FROM g, t)
-SELECT event_type, round((m - mm) / sqrt(v / n), 5) AS t, round(m - 1.96 * sqrt(v / n), 4) AS ci_low, round(m + 1.96 * sqrt(v / n), 4) AS ci_high, round((between_ / (k - 1)) / (within / (nn - k)), 5) AS f FROM g, t, b""")
+def _weight_sql(b: int) -> str:
+    """The Poisson weight of a row in a replicate: how many steps of the distribution function its 16 bits reach."""
+    steps, total, term = [], 0.0, math.exp(-1)
+    for k in range(8):
+        total += term
+        steps.append(str(round(total * 65536)))
+        term /= k + 1
+    u = f"('0x' || substr(md5(concat(event_id, ':{b // 8}')), {1 + 4 * (b % 8)}, 4))::BIGINT"
+    return f"len(list_filter([{', '.join(steps)}], lambda x: {u} >= x))"
+
+
+_BOOT = ", ".join(f"sum({_weight_sql(b)} * value) / sum({_weight_sql(b)})" for b in range(16))
+
+
+@query("agg_inference", f"""WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1), t AS (SELECT sum(n) AS nn, sum(n * m) / sum(n) AS mm, count(*) AS k, sum((n - 1) * v) AS within FROM g),
+b AS (SELECT sum(n * pow(m - mm, 2)) AS between_ FROM g, t), bt AS (SELECT event_type, unnest([{_BOOT}]) AS mean FROM events GROUP BY 1), bs AS (SELECT event_type, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM bt GROUP BY 1),
+c AS (SELECT event_type, user_id % 7 AS u, count(*)::DOUBLE AS n FROM events GROUP BY ALL), e AS (SELECT *, sum(n) OVER (PARTITION BY event_type) * sum(n) OVER (PARTITION BY u) / sum(n) OVER () AS x FROM c), h AS (SELECT sum(pow(n - x, 2) / x) AS chi2, (count(DISTINCT event_type) - 1) * (count(DISTINCT u) - 1) AS dof FROM e)
+SELECT event_type, round((m - mm) / sqrt(v / n), 5) AS t, round(m - 1.96 * sqrt(v / n), 4) AS ci_low, round(m + 1.96 * sqrt(v / n), 4) AS ci_high, round((between_ / (k - 1)) / (within / (nn - k)), 5) AS f, round(lo, 4) AS boot_low, round(hi, 4) AS boot_high, round(chi2, 5) AS chi2, dof FROM g JOIN bs USING (event_type), t, b, h""")
 def agg_inference(spark: SparkSession, sf: str) -> DataFrame:
-    """t against the overall mean, a 95 % interval and the F of a one-way analysis; no p-values."""
-    g = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
+    """t against the overall mean, a 95 % interval by the normal and by a Poisson bootstrap, the F of a one-way analysis, chi-square of type and user group; no p-values."""
+    e = table(spark, sf, "events")
+    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     t = g.agg(F.sum("n").alias("nn"), F.expr("sum(n * m) / sum(n)").alias("mm"), F.count("*").alias("k"), F.expr("sum((n - 1) * v)").alias("within"), F.expr("sum(n * m * m)").alias("sq"))
-    j = g.join(F.broadcast(t))  # one row
+    h = R.chi_square(e.withColumn("u", F.expr("user_id % 7")), "event_type", "u").select("chi2", "dof")
+    boot = R.bootstrap_means(e, ["event_type"], "event_id", "value", 16).groupBy("event_type").agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
+    j = g.join(boot, "event_type").join(F.broadcast(t)).join(F.broadcast(h))  # one row each
     se = F.sqrt(F.expr("v / n"))
-    return j.select("event_type", r((F.col("m") - F.col("mm")) / se, 5).alias("t"), r(F.col("m") - 1.96 * se).alias("ci_low"), r(F.col("m") + 1.96 * se).alias("ci_high"), r(F.expr("((sq - nn * mm * mm) / (k - 1)) / (within / (nn - k))"), 5).alias("f"))
+    kept = [r(F.col("lo")).alias("boot_low"), r(F.col("hi")).alias("boot_high"), r(F.col("chi2"), 5).alias("chi2"), "dof"]
+    return j.select("event_type", r((F.col("m") - F.col("mm")) / se, 5).alias("t"), r(F.col("m") - 1.96 * se).alias("ci_low"), r(F.col("m") + 1.96 * se).alias("ci_high"), r(F.expr("((sq - nn * mm * mm) / (k - 1)) / (within / (nn - k))"), 5).alias("f"), *kept)
 
 
 @query("agg_clean_prep", """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)

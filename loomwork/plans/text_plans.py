@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions import diff as D
 from loomwork.functions import text as X
 from loomwork.registry import query
 from loomwork.sources import sinks
@@ -67,13 +68,24 @@ def src_git_status(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).select(line.alias("l")).select(F.substring("l", 1, 2).alias("code"), F.expr("substring(l, 4)").alias("path"))
 
 
-@query("src_git_diff", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: doc_id % 2 = 0))::INT AS added, len(list_filter(string_split(text, chr(10)), lambda x: doc_id % 2 = 1))::INT AS removed FROM documents")
+_SIDES = "SELECT a.doc_id, string_split(a.text, chr(10)) AS o, string_split(b.text, chr(10)) AS n FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
+
+
+@query("src_git_diff", f"""WITH s AS MATERIALIZED ({_SIDES}), e AS (SELECT doc_id, '-' AS kind, unnest(o) AS text, unnest(range(1, len(o) + 1))::INT AS old_line, 0 AS new_line FROM s
+UNION ALL SELECT doc_id, '+', unnest(n), 0, unnest(range(1, len(n) + 1))::INT FROM s) SELECT doc_id, concat('src/', doc_id, '.md') AS file, CASE WHEN old_line + new_line = 1 THEN 1 ELSE 2 END::BIGINT AS hunk, kind, old_line, new_line, md5(text) AS line FROM e""")
 def src_git_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Added and removed lines of a raw diff."""
-    sign = F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")
-    d = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(sign, x)), "\n").alias("diff"))
-    count = lambda s: F.size(F.filter(F.split("diff", "\n"), lambda x: x.startswith(s)))
-    return d.select("doc_id", count("+").alias("added"), count("-").alias("removed"))
+    """Every line of raw diffs, with its file, hunk and line numbers. A diff turns a document into the next one: its first line in one hunk, the rest in another."""
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("o"))
+    pair = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("o").alias("n")), "doc_id")
+    signed = lambda c, sign, a, n: F.transform(F.slice(c, a, n), lambda x: F.concat(F.lit(sign), x))
+    rest = lambda c: F.size(c) - 1
+    span = lambda c: F.concat(F.when(rest(c) > 0, F.lit("2,")).otherwise(F.lit("1,")), rest(c).cast("string"))
+    name = F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    head = F.array(F.concat(F.lit("--- a/"), name), F.concat(F.lit("+++ b/"), name), F.lit("@@ -1 +1 @@ first"))
+    one, two = F.concat(signed("o", "-", 1, 1), signed("n", "+", 1, 1)), F.concat(signed("o", "-", 2, F.size("o")), signed("n", "+", 2, F.size("n")))
+    second = F.array(F.concat(F.lit("@@ -"), span("o"), F.lit(" +"), span("n"), F.lit(" @@")))
+    diffs = pair.select("doc_id", F.array_join(F.concat(head, one, second, two), "\n").alias("diff"))
+    return D.hunk_lines(diffs, "doc_id", "diff").select("doc_id", "file", "hunk", "kind", F.coalesce("old_line", F.lit(0)).alias("old_line"), F.coalesce("new_line", F.lit(0)).alias("new_line"), F.md5(F.col("text").cast("binary")).alias("line"))
 
 
 @query("src_git_log", "SELECT md5(event_id::VARCHAR) AS hash, 'u' || user_id AS author, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, event_type AS message FROM events WHERE event_id % 9 <> 0")

@@ -178,3 +178,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q = charts.tumbling(stream, "10 seconds").writeStream.outputMode("complete").format("memory").queryName("tumbling").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("tumbling").collect())) == sorted(map(tuple, charts.tumbling(df, "10 seconds").collect()))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_encode_by_table_or_join(spark, monkeypatch, most):
+    monkeypatch.setattr(K, "MOST_SENT", most)
+    docs = spark.createDataFrame([(1, "The cat, the dog"), (2, ""), (3, None), (1, "The cat, the dog"), (None, "owl")], "k int, text string")
+    vocab = spark.createDataFrame([(0, "<pad>"), (1, "<unk>"), (2, "the"), (3, "dog")], "id long, piece string")
+    got = sorted(((r.k or 0, r.ids) for r in K.encode(docs, ["k"], "text", vocab).collect()), key=str)
+    assert got == sorted([(1, [2, 1, 2, 3]), (1, [2, 1, 2, 3]), (2, []), (3, []), (0, [1])], key=str)
+    assert K.encode(docs.limit(0), ["k"], "text", vocab).count() == 0
