@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.operators import community as C
 from loomwork.operators import graph as G
 from loomwork.operators import pareto as P
 from loomwork.operators import relational as R
@@ -336,12 +337,19 @@ def gra_tournament(spark: SparkSession, sf: str) -> DataFrame:
     return x.withColumn("opp", (F.col("id") * 7 + 3) % 23).join(y, "opp").select("id", F.when(F.expr("a < b OR (a = b AND id < opp)"), F.col("id")).otherwise(F.col("opp")).alias("winner"))
 
 
-@query("gra_cluster_baselines")
+#: Suppliers have even node numbers, parts odd ones.
+_BIP = "SELECT 2 * l_suppkey AS node, 2 * l_partkey + 1 AS other, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL"
+_LPA = [f"k AS MATERIALIZED ({_BIP}), links AS MATERIALIZED (SELECT * FROM k UNION ALL SELECT other, node, w FROM k)", "l0 AS MATERIALIZED (SELECT DISTINCT node, node AS label FROM links)"]
+for _i in range(6):
+    _best = f"SELECT node, label AS new FROM (SELECT links.node, p.label, row_number() OVER (PARTITION BY links.node ORDER BY sum(w) DESC, p.label) AS rk FROM links JOIN l{_i} p ON p.node = other GROUP BY links.node, p.label) WHERE rk = 1"
+    _LPA.append(f"l{_i + 1} AS MATERIALIZED (SELECT node, CASE WHEN node % 2 = {_i % 2} THEN new ELSE label END AS label FROM l{_i} JOIN ({_best}) USING (node))")
+
+
+@query("gra_cluster_baselines", f"WITH {', '.join(_LPA)} SELECT node, label FROM l6")
 def gra_cluster_baselines(spark: SparkSession, sf: str) -> DataFrame:
-    """Agglomerative clustering of the 97 units by edge weight, to nine clusters."""
-    w = edges(spark, sf).where("src < dst").groupBy("src", "dst").agg(F.sum("n").alias("n")).collect()  # at most 97 * 96 / 2 rows
-    label = G.agglomerate({(x["src"], x["dst"]): float(x["n"]) for x in w}, 9)
-    return spark.createDataFrame(sorted((int(a), int(b)) for a, b in label.items()), "node long, cluster long")
+    """Communities of the whole graph of suppliers and parts after three rounds of label propagation."""
+    e = table(spark, sf, "lineitem").groupBy((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")).agg(F.count("*").cast("double").alias("w"))
+    return C.label_propagation(e, 3, F.col("node") % 2)
 
 
 _P = "CASE WHEN x.l1 <> y.l1 THEN 0 WHEN x.l2 <> y.l2 THEN 1 WHEN x.l3 <> y.l3 THEN 2 ELSE 3 END"
