@@ -24,6 +24,8 @@ _LOW = (1 << 56) - 1
 #: The value above all hashes of a bin; in the order of signed numbers, as hashes are sorted.
 _LAST = [(b << 56) | _LOW for b in range(-BINS // 2, BINS // 2)]
 _rng = random.Random(20)
+#: Places with several equal rows that are broadcast, and copies of a row that one task writes.
+MOST_REPEATED, COPIES_A_TASK = 50_000, 2000
 _TRIES = [[_rng.randrange(BINS) for _ in range(BINS)] for _ in range(ATTEMPTS)]
 _HEX = [f"{b:02x}" for b in range(256)]
 
@@ -84,16 +86,16 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "fingerprint").select("doc_id", "fingerprint")
 
 
-def _ranges(bare: DataFrame) -> DataFrame:
+def _ranges(places: DataFrame) -> DataFrame:
     """One row: the lowest places of the ranges, in blocks of equal length, and the lowest place of each block.
 
-    Ranges hold about as many rows each, whatever the keys are: their bounds come from a sample of the places that is
+    Ranges hold about as many places each, whatever the keys are: their bounds come from a sample of the distinct places that is
     picked by hash. Their number follows the shuffle partitions, so a range is what a task is meant to hold.
     """
-    n = RANGES * int(bare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = RANGES * int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = math.isqrt(n) + 1
-    share = min(1.0, SAMPLED * n / max(1, bare.count()))
-    sample = bare.where(F.pmod(F.xxhash64(F.lit(31), "__lw_o"), F.lit(1 << 20)) < share * (1 << 20))
+    share = min(1.0, SAMPLED * n / max(1, places.count()))
+    sample = places.where(F.pmod(F.xxhash64(F.lit(31), "__lw_o"), F.lit(1 << 20)) < share * (1 << 20))
     a = F.col("a")
     bounds = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(a, F.floor(i.cast("long") * F.size(a) / n).cast("int")))
     blocks = F.transform(F.sequence(F.lit(0), F.lit(-(-n // block) - 1)), lambda i: F.slice("b", i * block + 1, F.lit(block)))
@@ -101,25 +103,61 @@ def _ranges(bare: DataFrame) -> DataFrame:
     return scratch.table(row.select("__lw_blocks", F.transform("__lw_blocks", lambda x: F.get(x, 0)).alias("__lw_lows")), "ranges")
 
 
+def _once(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows that are equal in every column as one, with their number __lw_times; they are put together before anything moves."""
+    repeated = places.where("__lw_times > 1")
+    n = repeated.limit(MOST_REPEATED + 1).count()
+    if not n:
+        return rows.withColumn("__lw_times", F.lit(1).cast("long"))
+    kept = [F.first(f"`{c}`").alias(c) for c in rows.columns if c != "__lw_o"]
+    names = [f"`{c}`" for c in rows.columns]
+    if n > MOST_REPEATED:
+        return rows.groupBy("__lw_o").agg(*kept, F.count("*").alias("__lw_times")).select(*names, "__lw_times")
+    few = F.broadcast(repeated)  # MOST_REPEATED rows at most
+    single = rows.join(few, "__lw_o", "left_anti").withColumn("__lw_times", F.lit(1).cast("long"))
+    several = rows.join(few.select("__lw_o"), "__lw_o", "left_semi").groupBy("__lw_o").agg(*kept, F.count("*").alias("__lw_times"))
+    return single.unionByName(several.select(*single.columns))
+
+
+def _each(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Every row __lw_times times: each is followed by an equal one, the last by what follows them all. Many copies spread over tasks."""
+    final = F.col("__lw_copy") == F.col("__lw_times")
+    shown = [F.when(final, F.col(f"next_{c}")).otherwise(F.col(f"`{c}`")).alias(f"next_{c}") for c in cols]
+    kept = [f"`{c}`" for c in rows.columns if c != "__lw_times" and c not in {f"next_{x}" for x in cols}]
+    few = rows.where(F.col("__lw_times") <= COPIES_A_TASK).withColumn("__lw_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__lw_times"))))
+    many = rows.where(F.col("__lw_times") > COPIES_A_TASK).withColumn("__lw_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__lw_times") - 1) / COPIES_A_TASK))))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of their own: what grows afterwards isn't put together
+    many = many.repartition(tasks, "__lw_part", *[f"`{c}`" for c in cols])
+    first = F.col("__lw_part") * COPIES_A_TASK
+    many = many.withColumn("__lw_copy", F.explode(F.sequence(first + 1, F.least(first + COPIES_A_TASK, F.col("__lw_times"))))).drop("__lw_part")
+    return few.unionByName(many).select(*kept, *shown)
+
+
 def with_next(rows: DataFrame, cols: list[str], *, key: str = "doc_id", derive: list | None = None) -> DataFrame:
     """Each row with next_<c> for c in cols: the values of the row with the next lower key; after the last, the first.
 
     Rows that share a key are ordered by the hash of the columns in rows; null keys come last. ``derive`` are functions from
     a DataFrame to one with more columns, which may be in cols too; they run once a row. Rows are cut into key
-    ranges, and the top row of a range is also put at the end of the range above, so each range is ordered by itself. Other
-    columns are kept, whatever their names; an empty table gives an empty table.
+    ranges, and the top row of a range is also put at the end of the range above, so each range is ordered by itself. Rows that
+    are equal in every column go through this as one and follow one another, so a million of them are no hot range.
+    Other columns are kept, whatever their names, but a column next_<c> would be given twice and raises ValueError; an empty
+    table gives an empty table.
     """
+    if clash := {f"next_{c}" for c in cols} & {*rows.columns}:
+        raise ValueError(f"rows have columns that the result adds: {sorted(clash)}")
     names = [f"`{c}`" for c in rows.columns]
     place = F.struct(F.col(key).isNotNull().alias("named"), F.coalesce(F.col(key), F.lit(0).cast(rows.schema[key].dataType)).alias("key"), F.xxhash64(*names).alias("h"))
     rows = rows.withColumn("__lw_o", place)
-    bounds, o = F.broadcast(_ranges(rows.select("__lw_o"))), F.col("__lw_o")  # one row
+    places = scratch.table(rows.groupBy("__lw_o").agg(F.count("*").alias("__lw_times")), "places")
+    bounds, o = F.broadcast(_ranges(places)), F.col("__lw_o")  # one row
     at = F.greatest(F.size(F.filter("__lw_lows", lambda x: x <= o)) - 1, F.lit(0))
     r = at * F.size(F.get("__lw_blocks", 0)) + F.size(F.filter(F.get("__lw_blocks", at), lambda x: x <= o))
     ranged = lambda df: df.join(bounds, how="cross").withColumn("__lw_r", r).drop("__lw_blocks", "__lw_lows")
-    tops = ranged(rows.select("__lw_o")).groupBy("__lw_r").agg(F.max("__lw_o").alias("__lw_top"))
+    tops = ranged(places.select("__lw_o")).groupBy("__lw_r").agg(F.max("__lw_o").alias("__lw_top"))
     whole = Window.orderBy("__lw_r")
     above = F.coalesce(F.lead("__lw_r").over(whole), F.min("__lw_r").over(Window.partitionBy()))
     plan = scratch.table(tops.withColumn("__lw_above", above), "tops")  # one row a range
+    rows = _once(rows, places)
     for f in derive or []:
         rows = f(rows)
     kept = [c for c in rows.columns if c != "__lw_o"]
@@ -129,7 +167,8 @@ def with_next(rows: DataFrame, cols: list[str], *, key: str = "doc_id", derive:
     held = held.select(*[f"`{c}`" for c in kept], "__lw_o", F.inline(F.when(o == F.col("__lw_top"), F.array(here, ghost)).otherwise(F.array(here))))
     order = Window.partitionBy("__lw_at").orderBy("__lw_ghost", F.desc("__lw_o"))
     found = held.select(*[f"`{c}`" for c in kept], "__lw_ghost", *[F.lead(c).over(order).alias(f"next_{c}") for c in cols])
-    return found.where(~F.col("__lw_ghost")).drop("__lw_ghost")
+    found = found.where(~F.col("__lw_ghost")).drop("__lw_ghost")
+    return _each(found, cols) if places.where("__lw_times > 1").limit(1).count() else found.drop("__lw_times")
 
 
 def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,33 @@ def test_next_of_repeated_and_missing_keys(spark):
     assert follows[1 << 60, "e"] in "ab" and {follows[None, "c"], follows[None, "d"]} & {"e"}
 
 
+@pytest.mark.parametrize("most", [50_000, 1])
+def test_next_of_very_many_equal_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(fingerprints, "MOST_REPEATED", most)
+    equal = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("hot").alias("text"))
+    rest = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "z")], "doc_id long, text string")
+    got = fingerprints.with_next(equal.unionByName(rest).repartition(4), ["text"])
+    pairs = Counter((r.doc_id, r.text, r.next_text) for r in got.collect())
+    assert sum(pairs.values()) == 20_004 and pairs[None, "hot", "hot"] == 19_999 and pairs[2, "b", "b"] == 1 and pairs[2, "b", "a"] == 1
+    assert Counter(k[2] for k in pairs.elements()) == Counter({"hot": 20_000, "b": 2, "a": 1, "z": 1})
+    spread = got.groupBy(F.spark_partition_id()).count().orderBy(F.desc("count")).collect()
+    assert len(spread) > 2 and spread[0]["count"] < 15_000
+    with pytest.raises(ValueError, match="next_text"):
+        fingerprints.with_next(rest.withColumn("next_text", F.lit("x")), ["text"])
+
+
+def test_language_learns_from_the_end_of_long_texts(spark):
+    """The languages differ only beyond the first 8000 characters, so only stretches from there can tell them apart."""
+    rng = random.Random(4)
+    same = " ".join(rng.choice(["ka", "lo", "mi"]) for _ in range(3000))
+    tail = {"aa": "thing", "bb": "oiseau"}
+    rows = [(i, lang, " ".join([same, *[f"{tail[lang]}{rng.choice('xyz')}" for _ in range(3000)]])) for i in range(60) for lang in tail]
+    docs = spark.createDataFrame([(2 * i + (lang == "bb"), t, lang) for i, lang, t in rows], "doc_id long, text string, lang string")
+    short = spark.createDataFrame([(-1, "thingx thingy thingz", None), (-2, "oiseaux oiseauy oiseauz", None)], docs.schema)
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs.unionByName(short)).collect()}
+    assert got[-1] == "aa" and got[-2] == "bb"
+
+
 def test_code_switched_words(spark):
     """Words of a text that changes its language halfway are labelled each with its own."""
     rng = random.Random(2)
