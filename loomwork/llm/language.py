@@ -210,7 +210,7 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
 
 
 def sample_texts(docs: DataFrame, usable: F.Column, *, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """A sample of labelled texts, about as many of each language, picked by a hash of the id; of a long text its first stretch.
+    """A sample of labelled texts, about as many of each language, picked by a hash of the id; of a long text a stretch from a hashed place.
 
     Every language counts, so the sample and the model grow with their number.
     """
@@ -222,7 +222,9 @@ def sample_texts(docs: DataFrame, usable: F.Column, *, id_col: str, text_col: st
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))])
     o = F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col))
     u = F.pmod(o, F.lit(1_000_003)) / 1_000_003
-    picked = rows.where(u < F.try_element_at(share, F.col(lang_col))).select(F.substring(text_col, 1, SAMPLE_CHARS), lang_col, o.alias("lw_o"))
+    # of a long text a stretch from a hashed place, so that what is said late is learned too
+    from_ = F.pmod(F.shiftright(o, 21), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    picked = rows.where(u < F.try_element_at(share, F.col(lang_col))).select(F.substr(F.col(text_col), from_.cast("int"), F.lit(SAMPLE_CHARS)), lang_col, o.alias("lw_o"))
     # about half as many are expected; the limit holds where rows repeat
     got = picked.orderBy("lw_o", lang_col).limit(2 * max(SAMPLE, each * len(sizes)) + 2000).collect()
     got = sorted((r[1], r[0]) for r in got)
