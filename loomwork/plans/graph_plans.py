@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import community as C
 from loomwork.operators import graph as G
+from loomwork.operators import mojo as J
 from loomwork.operators import pareto as P
 from loomwork.operators import relational as R
 from loomwork.registry import query
@@ -403,15 +404,17 @@ def gra_constraints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CM = """WITH n AS (SELECT l_suppkey % 5 AS a, l_partkey % 4 AS b, count(*) AS n FROM lineitem GROUP BY ALL), ra AS (SELECT a, sum(n) AS na FROM n GROUP BY 1), rb AS (SELECT b, sum(n) AS nb FROM n GROUP BY 1),
+tg AS (SELECT a, max(n) AS m, arg_max(b, n) AS tag FROM n GROUP BY 1),
 s AS (SELECT (SELECT sum(n)::DOUBLE FROM n) AS t, (SELECT sum(n * (n - 1) / 2)::DOUBLE FROM n) AS both_, (SELECT sum(na * (na - 1) / 2)::DOUBLE FROM ra) AS pa, (SELECT sum(nb * (nb - 1) / 2)::DOUBLE FROM rb) AS pb),
 i AS (SELECT sum(n / t * ln(n * t / (na::DOUBLE * nb))) AS mi FROM n JOIN ra USING (a) JOIN rb USING (b), s), h AS (SELECT (SELECT -sum(na / t * ln(na / t)) FROM ra, s) AS ha, (SELECT -sum(nb / t * ln(nb / t)) FROM rb, s) AS hb)
-SELECT round(both_ / pa, 6) AS precision, round(both_ / pb, 6) AS recall, round((both_ - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 8) AS ari, round(2 * mi / (ha + hb), 8) AS nmi FROM s, i, h"""
+SELECT round(100 * (1 - ((SELECT sum(n) - (SELECT sum(m) FROM tg) FROM n) + (SELECT count(*) - count(DISTINCT tag) FROM tg)) / (t - (SELECT list_reduce(list_prepend(0, list_sort(list(nb::BIGINT))), lambda g, s: CASE WHEN s > g THEN g + 1 ELSE g END) FROM rb))), 6) AS mojofm, round(both_ / pa, 6) AS precision, round(both_ / pb, 6) AS recall, round((both_ - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 8) AS ari, round(2 * mi / (ha + hb), 8) AS nmi FROM s, i, h"""
 
 
 @query("gra_cluster_metrics", _CM)
 def gra_cluster_metrics(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "lineitem").select(F.expr("l_suppkey % 5").alias("a"), F.expr("l_partkey % 4").alias("b"))
-    return G.pair_scores(d, "a", "b").select(r("precision").alias("precision"), r("recall").alias("recall"), r("ari", 8).alias("ari"), r("nmi", 8).alias("nmi"))
+    both = G.pair_scores(d, "a", "b").join(F.broadcast(J.mojofm(d, "a", "b")))  # one row each
+    return both.select(r("mojofm").alias("mojofm"), r("precision").alias("precision"), r("recall").alias("recall"), r("ari", 8).alias("ari"), r("nmi", 8).alias("nmi"))
 
 
 _ABL = f"SELECT alpha, id, round(alpha * a - (1 - alpha) * b, 5) AS score FROM {_F}, (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS alpha)"
