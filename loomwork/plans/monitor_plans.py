@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import vectors as V
 from loomwork.operators import monitor as M
-from loomwork.operators import scan
+from loomwork.operators import scan, sparse
 from loomwork.operators import relational as R
 from loomwork.registry import query
 from loomwork.sources import sinks
@@ -258,11 +258,8 @@ def spm_knn_resid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("spm_glasso_edges")
 def spm_glasso_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges where the inverse covariance, scaled to partial correlations, is not near zero; no L1 estimator."""
-    _, cov = M.moments(_wide(spark, sf), _X)
-    o = np.linalg.inv(cov)
-    part = -o / np.sqrt(np.outer(np.diag(o), np.diag(o)))
-    return spark.createDataFrame([(i, j, float(round(part[i, j], 6))) for i in range(5) for j in range(i + 1, 5) if abs(part[i, j]) > 0.005], "i int, j int, partial double")
+    """Edges of each user group: partial correlations that an L1 penalty on the inverse correlations leaves."""
+    return sparse.edges(_wide(spark, sf).withColumn("g", F.col("u") % 10), "g", _X, 0.02).select("g", "i", "j", r("partial", 6).alias("partial"))
 
 
 _EC = "WITH c AS (SELECT value AS x, count(*) FILTER (event_id % 2 = 0) AS a, count(*) FILTER (event_id % 2 = 1) AS b FROM events GROUP BY 1), n AS (SELECT sum(a) AS na, sum(b) AS nb FROM c), f AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(a) OVER (ORDER BY x) / na AS fa, sum(b) OVER (ORDER BY x) / nb AS fb FROM c, n)"
