@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import vectors as V
+from loomwork.operators import ensemble, scan, sparse
 from loomwork.operators import monitor as M
-from loomwork.operators import scan, sparse
 from loomwork.operators import relational as R
 from loomwork.registry import query
 from loomwork.sources import sinks
@@ -430,10 +430,14 @@ def spm_fdp_cusum(spark: SparkSession, sf: str) -> DataFrame:
     return M.cusum(p, "u", ["d"], "z", 0.25).select("u", "d", r("z").alias("z"), r("c_up").alias("c_up"))
 
 
-@query("spm_conformal_ens", _CP.replace("SELECT event_id, round(", "SELECT user_id, -2 * sum(ln(").replace(" / (n + 1), 6) AS p", " / (n + 1)))::DOUBLE AS s").replace("WHERE event_id % 2 = 1", "WHERE event_id % 2 = 1 GROUP BY user_id").replace("SELECT user_id, -2 * sum(ln(", "SELECT user_id, round(-2 * sum(ln(").replace(")))::DOUBLE AS s", "))), 4) AS s"))
+@query("spm_conformal_ens")
 def spm_conformal_ens(spark: SparkSession, sf: str) -> DataFrame:
-    """Fisher's combination of conformal p-values of each user."""
-    return _conformal(_ev(spark, sf)).groupBy("user_id").agg(r(-2 * F.sum(F.ln("p"))).alias("s"))
+    """Four scores of each user's days against reference days, conformal p-values, Fisher's combination and its EWMA."""
+    days = _wide(spark, sf)
+    kind = F.pmod(F.xxhash64("u", "d"), F.lit(4))
+    found = ensemble.conformal(days, ["u", "d"], _X, kind == 0, kind == 1)
+    done = ensemble.monitored(found, "u", ["d"])
+    return done.select("u", "d", *[r(f"p_{s}", 6).alias(f"p_{s}") for s in ensemble.SCORES], r("fisher").alias("fisher"), r("ewma").alias("ewma"))
 
 
 _SG = f"(SELECT event_id, (-3 * coalesce(lag(value, 2) {_W.format(frame='')}, value) + 12 * coalesce(lag(value) {_W.format(frame='')}, value) + 17 * value + 12 * coalesce(lead(value) {_W.format(frame='')}, value) - 3 * coalesce(lead(value, 2) {_W.format(frame='')}, value)) / 35 AS sg, lag(value) {_W.format(frame='')} AS lag1 FROM events)"
