@@ -174,13 +174,20 @@ def gra_objective(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("service", r(F.expr("0.5D * total - 0.3D * n + 0.2D * worst")).alias("objective"))
 
 
-@query("gra_affinity", f"SELECT src, dst, round(sum(CASE kind WHEN 'call' THEN 0.5 WHEN 'data' THEN 0.3 ELSE 0.2 END * n / m), 6) AS w FROM {_E} JOIN (SELECT kind, max(n) AS m FROM {_E} GROUP BY 1) USING (kind) GROUP BY ALL")
+#: What links two units, and how much each kind counts: calls in the code, calls seen at run time, shared tables, changes made together, like names.
+_ALPHA = {"static": 0.3, "trace": 0.25, "db": 0.2, "change": 0.15, "semantic": 0.1}
+_FIVE = "CASE l_linenumber % 5 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_ALPHA)) + " END"
+_E5 = f"(SELECT l_suppkey % 97 AS src, l_partkey % 89 AS dst, {_FIVE} AS kind, count(*) AS n FROM lineitem GROUP BY ALL)"
+_W5 = "CASE kind " + " ".join(f"WHEN '{k}' THEN {a}" for k, a in _ALPHA.items()) + " END"
+
+
+@query("gra_affinity", f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(sum({_W5} * n / m), 6) AS w FROM (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, kind, sum(n) AS n FROM {_E5} WHERE src <> dst GROUP BY ALL) JOIN (SELECT kind, max(n) AS m FROM (SELECT kind, sum(n) AS n FROM {_E5} WHERE src <> dst GROUP BY kind, least(src, dst), greatest(src, dst)) GROUP BY 1) USING (kind) GROUP BY ALL")
 def gra_affinity(spark: SparkSession, sf: str) -> DataFrame:
-    """Normalised weights of the kinds of edges, summed with weights that sum to one."""
-    e = edges(spark, sf)
+    """Pairs of units with the weights of five kinds of links, each over the highest of its kind, summed with shares that sum to one."""
+    e = table(spark, sf, "lineitem").select(F.expr("l_suppkey % 97").alias("src"), F.expr("l_partkey % 89").alias("dst"), F.expr(_FIVE).alias("kind"))
+    e = e.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "kind").agg(F.count("*").alias("n"))
     top = e.groupBy("kind").agg(F.max("n").alias("m"))
-    alpha = F.when(F.col("kind") == "call", 0.5).when(F.col("kind") == "data", 0.3).otherwise(0.2)
-    return e.join(F.broadcast(top), "kind").groupBy("src", "dst").agg(r(F.sum(alpha * F.col("n") / F.col("m"))).alias("w"))  # three rows
+    return e.join(F.broadcast(top), "kind").groupBy("a", "b").agg(r(F.sum(F.expr(_W5).cast("double") * F.col("n") / F.col("m"))).alias("w"))  # five rows
 
 
 _COHW = f"(SELECT bucket, CASE WHEN n > 1 THEN coalesce(w, 0) / (n * (n - 1) / 2.0) ELSE 0 END AS coh FROM (SELECT bucket, count(*) AS n FROM {_A} GROUP BY 1) LEFT JOIN (SELECT bucket, sum(w) AS w FROM {_PAIR} GROUP BY 1) USING (bucket))"
@@ -366,10 +373,19 @@ def gra_lca_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.top_by_group(j, ["a"], [F.desc("depth"), F.col("b")], 2).select("a", "b", "depth")
 
 
-@query("gra_cascade", f"SELECT service, coalesce(max(l1) FILTER (p_size > 48), max(l2) FILTER (p_size > 30), min(l3)) AS home FROM {_S} GROUP BY 1")
+@query("gra_cascade", f"""WITH n AS (SELECT s.id, arg_min(m.service, (CASE WHEN l1 <> m1 THEN 9 ELSE 0 END + CASE WHEN l2 <> m2 THEN 3 ELSE 0 END + CASE WHEN l3 <> m3 THEN 1 ELSE 0 END) * 1000 + m.service) AS near
+FROM {_S} s, (SELECT service, max(l1) AS m1, max(l2) AS m2, max(l3) AS m3 FROM {_S} GROUP BY 1) m GROUP BY 1)
+SELECT id, CASE WHEN p_size > 40 THEN concat('package ', l1) WHEN p_size > 30 THEN concat('tag ', l2) WHEN p_size > 20 THEN concat('data ', l3) ELSE concat('node ', near) END AS home FROM {_S} JOIN n USING (id)""")
 def gra_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """The first of three passes that names a home: package, service tags, data-source tags."""
-    return _services(spark, sf).groupBy("service").agg(F.coalesce(F.max(F.when(F.col("p_size") > 48, F.col("l1"))), F.max(F.when(F.col("p_size") > 30, F.col("l2"))), F.min("l3")).alias("home"))
+    """The first of four steps that names a home: package, service tags, data-source tags, the service that a part contaminates least (ties: the lowest)."""
+    s = _services(spark, sf)
+    paths = s.groupBy("service").agg(F.array(F.max("l1"), F.max("l2"), F.max("l3")).alias("path"))
+    every = paths.agg(F.collect_list(F.struct("service", "path")).alias("nodes"))  # as many as there are services
+    own = F.array("l1", "l2", "l3")
+    near = F.array_min(F.transform("nodes", lambda x: F.struct(G.contamination(own, x["path"]).alias("d"), x["service"].alias("service"))))["service"]
+    named = lambda kind, c: F.concat(F.lit(kind + " "), c.cast("string"))
+    home = F.when(F.col("p_size") > 40, named("package", F.col("l1"))).when(F.col("p_size") > 30, named("tag", F.col("l2"))).when(F.col("p_size") > 20, named("data", F.col("l3"))).otherwise(named("node", near))
+    return s.join(F.broadcast(every)).select("id", home.alias("home"))  # one row
 
 
 @query("gra_move_loop")

@@ -22,10 +22,15 @@ def _listed(spark: SparkSession, sf: str) -> DataFrame:
 _DIRS = f"(SELECT DISTINCT array_to_string(s[1:k], '/') AS path, k AS depth FROM (SELECT s, unnest(range(1, len(s))) AS k FROM (SELECT string_split(path, '/') AS s FROM f WHERE {_OK})))"
 
 
-@query("src_list_files", f"WITH f AS ({FILES_SQL}) SELECT path, 'file' AS type, size::BIGINT AS size FROM f WHERE {_OK} UNION ALL SELECT path, 'dir', NULL FROM {_DIRS}")
+@query("src_list_files", """SELECT concat('source=', source, '/lang=', lang) AS path, 'files' AS type, sum(strlen(text) + 1)::BIGINT AS size, true AS timed FROM documents GROUP BY source, lang
+UNION ALL SELECT DISTINCT concat('source=', source), 'dir', 0, false FROM documents UNION ALL SELECT DISTINCT concat('source=', source, '/lang=', lang), 'dir', 0, false FROM documents""")
 def src_list_files(spark: SparkSession, sf: str) -> DataFrame:
-    f = _listed(spark, sf).select("path", F.lit("file").alias("type"), F.col("size").cast("long").alias("size"))
-    return f.unionByName(X.folders(f).select("path", F.lit("dir").alias("type"), F.lit(None).cast("long").alias("size")))
+    """Documents written as files below folders, and listed by the reader of files: bytes of each folder's files, whether all have a time, and the folders."""
+    tree = sinks.scratch_path(spark, "tree")
+    table(spark, sf, "documents").select("source", "lang", "text").write.partitionBy("source", "lang").option("lineSep", "\u0000").text(tree)
+    found = sinks.list_files(spark, tree)
+    held = found.where("type = 'file'").groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path")).agg(F.lit("files").alias("type"), F.sum("size").alias("size"), (F.count("modificationTime") == F.count("*")).alias("timed"))
+    return held.unionByName(found.where("type = 'dir'").select("path", "type", F.lit(0).cast("long").alias("size"), F.lit(False).alias("timed")))
 
 
 @query("src_ignore_dirs", f"WITH f AS ({FILES_SQL}) SELECT path FROM f WHERE NOT {_OK}")
