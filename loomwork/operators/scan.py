@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from loomwork.sources.sinks import scratch_path
 
@@ -120,3 +120,53 @@ def kalman(df: DataFrame, keys: list[str], order: list[str], x: str, *, q: float
     df = scan(df, keys, order, step, start_var, var)
     gain = F.when(seen, F.col(var) / r).otherwise(F.lit(0.0))
     return linear(df, keys, order, 1 - gain, gain * F.coalesce(F.col(x).cast("double"), F.lit(0.0)), start, level)
+
+
+def _pieces(df: DataFrame, order: list[str], x: str | None) -> tuple[DataFrame, list[str]]:
+    """Rows of df in ranges of order, written: with their place in their range (and, of x, its running sum and its running excess over 0)."""
+    spark = df.sparkSession
+    extra = ["__piece", "__at", *([] if x is None else ["__sum", "__over"])]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kinds = [StructField("__piece", LongType()), StructField("__at", LongType()), *[StructField(c, DoubleType()) for c in extra[2:]]]
+    schema = StructType([*df.schema.fields, *kinds])
+    names = df.columns
+    column = names.index(x) if x is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        piece, at, total, low = TaskContext.get().partitionId(), 0, 0.0, 0.0
+        for batch in batches:
+            n = len(batch)
+            cols = [pa.array(np.full(n, piece)), pa.array(np.arange(at + 1, at + n + 1))]
+            if column is not None and n:
+                s = total + np.cumsum(np.asarray(batch.column(column).cast(pa.float64()).fill_null(0.0)))
+                lows = np.minimum(np.minimum.accumulate(s), low)
+                cols += [pa.array(s), pa.array(s - lows)]
+                total, low = float(s[-1]), float(lows[-1])
+            elif column is not None:
+                cols += [pa.array([], pa.float64())] * 2
+            at += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*names, *extra])
+
+    path = scratch_path(spark, "pieces")
+    ranged.mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path), extra
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds out, a row's number (from 1) in the order of all rows: counts of whole ranges are carried, so no task sees all rows."""
+    held, extra = _pieces(df, order, None)
+    sizes = held.groupBy("__piece").agg(F.count("*").alias("n"))  # one row a range
+    before = sizes.select("__piece", (F.sum("n").over(Window.orderBy("__piece")) - F.col("n")).alias("__before"))
+    return held.join(F.broadcast(before), "__piece").select(*df.columns, (F.col("__before") + F.col("__at")).alias(out))
+
+
+def rising_sum(df: DataFrame, order: list[str], x: str, out: str) -> DataFrame:
+    """Adds out, c = max(0, c + x) along all rows from 0 (a null x counts as 0): a range does max(m, c + s) to what comes before it, and such steps compose."""
+    held, extra = _pieces(df, order, x)
+    last = held.groupBy("__piece").agg(F.max_by(F.struct(F.col("__sum").alias("s"), F.col("__over").alias("m")), "__at").alias("v"))  # one row a range
+    w = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.aggregate(F.collect_list("v").over(w), F.lit(0.0), lambda c, v: F.greatest(v["m"], c + v["s"]))
+    begun = last.select("__piece", start.alias("__start"))
+    return held.join(F.broadcast(begun), "__piece").select(*df.columns, F.greatest("__over", F.col("__start") + F.col("__sum")).alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import vectors as V
-from loomwork.operators import ensemble, scan, sparse
+from loomwork.operators import ensemble, scan, sparse, structure
 from loomwork.operators import monitor as M
 from loomwork.operators import relational as R
 from loomwork.registry import query
@@ -390,33 +390,22 @@ def spm_ridge_cusum(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("u", "d", r("c_up").alias("c_up"), r("c_dn").alias("c_dn"), ((F.col("c_up") > 5) | (F.col("c_dn") < -5)).alias("alarm"))
 
 
-_PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
+_OFF = [(i, j) for i in range(5) for j in range(i + 1, 5)]
 _DRIFT = (
-    f"WITH w AS ({_WIDE}), k AS (SELECT u, " + ", ".join(f"rank() OVER (PARTITION BY u ORDER BY {x}) + (count(*) OVER (PARTITION BY u, {x}) - 1) / 2.0::DOUBLE AS {x}" for x in _X) + " FROM w), "
-    "v AS (SELECT u AS win, " + ", ".join(f"CASE WHEN min({_X[i]}) < max({_X[i]}) AND min({_X[j]}) < max({_X[j]}) THEN corr({_X[i]}, {_X[j]}) ELSE 0 END AS c{i}_{j}" for i, j in _PAIRS) + " FROM k GROUP BY u), "
-    "m AS (SELECT " + ", ".join(f"avg(c{i}_{j}) AS m{i}_{j}" for i, j in _PAIRS) + " FROM v), "
-    "d AS (SELECT win, sqrt(" + " + ".join(f"{1 if i == j else 2} * pow(c{i}_{j} - m{i}_{j}, 2)" for i, j in _PAIRS) + ") AS dist FROM v, m), "
-    "s AS (SELECT win, dist, sum(dist - 1) OVER o AS t FROM d WINDOW o AS (ORDER BY win ROWS UNBOUNDED PRECEDING)) "
-    "SELECT win, round(dist, 4) AS dist, round(t - least(0, min(t) OVER (ORDER BY win ROWS UNBOUNDED PRECEDING)), 4) + 0.0::DOUBLE AS c_up FROM s"
+    f"WITH w AS (SELECT *, (row_number() OVER (ORDER BY d, u) - 1) // 100 AS block FROM ({_WIDE})), k AS (SELECT block, " + ", ".join(f"rank() OVER (PARTITION BY block ORDER BY {x}) + (count(*) OVER (PARTITION BY block, {x}) - 1) / 2.0::DOUBLE AS {x}" for x in _X) + " FROM w), "
+    "v AS (SELECT block, " + ", ".join(f"CASE WHEN min({_X[i]}) < max({_X[i]}) AND min({_X[j]}) < max({_X[j]}) THEN corr({_X[i]}, {_X[j]}) ELSE 0 END AS c{i}_{j}" for i, j in _OFF) + " FROM k GROUP BY block HAVING count(*) = 100), "
+    "m AS (SELECT " + ", ".join(f"avg(c{i}_{j}) AS m{i}_{j}" for i, j in _OFF) + " FROM v), "
+    "d AS (SELECT block, sqrt(" + " + ".join(f"2 * pow(c{i}_{j} - m{i}_{j}, 2)" for i, j in _OFF) + ") AS dist FROM v, m), "
+    "s AS (SELECT block, dist, sum(dist - 0.4) OVER o AS t FROM d WINDOW o AS (ORDER BY block ROWS UNBOUNDED PRECEDING)) "
+    "SELECT block, round(dist, 4) AS dist, round(t - least(0, min(t) OVER (ORDER BY block ROWS UNBOUNDED PRECEDING)), 4) + 0.0::DOUBLE AS c_up FROM s"
 )
 
 
 @query("spm_structure_drift", _DRIFT)
 def spm_structure_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """Frobenius distance of each window's rank correlations from those of all windows, then a CUSUM over windows.
-
-    Ties have their mean rank; a variable that doesn't vary in a window correlates with nothing.
-    """
-    win = Window.partitionBy("u")
-    mean_rank = lambda x: F.rank().over(win.orderBy(x)) + (F.count("*").over(Window.partitionBy("u", x)) - 1) / 2.0
-    ranks = _wide(spark, sf).select("u", *[mean_rank(x).alias(x) for x in _X])
-    varies = lambda x: F.min(x) < F.max(x)
-    c = [F.when(varies(_X[i]) & varies(_X[j]), F.corr(_X[i], _X[j])).otherwise(0.0).alias(f"c{i}_{j}") for i, j in _PAIRS]
-    v = ranks.groupBy(F.col("u").alias("win")).agg(*c)
-    m = v.agg(*[F.avg(f"c{i}_{j}").alias(f"m{i}_{j}") for i, j in _PAIRS])
-    off = sum((F.lit(1.0 if i == j else 2.0) * F.pow(F.col(f"c{i}_{j}") - F.col(f"m{i}_{j}"), F.lit(2.0)) for i, j in _PAIRS), F.lit(0.0))
-    d = v.join(F.broadcast(m)).select("win", F.sqrt(off).alias("dist"))  # one row
-    return M.cusum(d.withColumn("all", F.lit(0)), "all", ["win"], "dist", 1.0).select("win", r("dist").alias("dist"), (r("c_up") + 0.0).alias("c_up"))
+    """Blocks of 100 user days in order: how far their rank correlations are from the mean block's, and a CUSUM over blocks."""
+    blocks = structure.block_structure(_wide(spark, sf), ["d", "u"], _X, 100)
+    return structure.drift(blocks, len(_OFF), 0.4).select("block", r("rank_dist").alias("dist"), (r("c_up") + 0.0).alias("c_up"))
 
 
 @query("spm_fdp_cusum")
