@@ -20,7 +20,7 @@ def ewma(df: DataFrame, key: str, order: list[str], x: str, lam: float, start: f
     return found.select(key, *order, F.nanvl("z", F.lit(None).cast("double")).alias("z"))
 
 
-def cusum(df: DataFrame, key: str, order: list[str], x: str, k: float) -> DataFrame:
+def cusum(df: DataFrame, key: str | list[str], order: list[str], x: str, k: float) -> DataFrame:
     """c_up = max(0, c_up + x - k) and c_dn = min(0, c_dn + x + k), without recursion.
 
     With S the running sum of x - k, c_up is S less the lowest S so far (0 included); c_dn mirrors it.
@@ -100,3 +100,34 @@ def protected_update(values: list[float], reference: float, limit: float, eta: f
             reference = (1 - eta) * reference + eta * x
         out.append((d, reference, d <= limit))
     return out
+
+
+def ridge_cusum(df: DataFrame, key: str, order: str, cols: list[str], *, alpha: float = 1.0, k: float = 0.25, h: float = 5.0) -> DataFrame:
+    """key, order, worst and alarm: every column is predicted from the others and from all columns one row earlier of its key, by ridge
+    regression with an intercept; standardised residuals go to two-sided CUSUMs, and a row alarms if any of them is beyond h.
+
+    ``worst`` is the largest size of a CUSUM at the row. The first row of a key has nothing before it and is left out. Only second
+    moments reach the driver; a residual that doesn't vary stays at 0. Rows with a null in cols play no part.
+    """
+    before = [f"__b_{c}" for c in cols]
+    w = Window.partitionBy(key).orderBy(order)
+    rows = df.na.drop(subset=cols).select(key, order, *[F.col(c).cast("double").alias(c) for c in cols])
+    rows = rows.select("*", *[F.lag(c).over(w).alias(b) for c, b in zip(cols, before, strict=True)]).where(F.col(before[0]).isNotNull())
+    every = [*cols, *before]
+    got = rows.agg(F.count("*"), *[F.avg(c) for c in every], *[F.covar_pop(a, b) for i, a in enumerate(every) for b in every[: i + 1]]).first()
+    n, mean = got[0], [x or 0.0 for x in got[1 : 1 + len(every)]]
+    s = np.zeros((len(every), len(every)))
+    for v, (i, j) in zip(got[1 + len(every) :], [(i, j) for i in range(len(every)) for j in range(i + 1)], strict=True):
+        s[i, j] = s[j, i] = (v or 0.0) * n
+    each = []
+    for y in range(len(cols)):
+        x = [i for i in range(len(every)) if i != y]
+        beta = np.linalg.solve(s[np.ix_(x, x)] + alpha * np.eye(len(x)), s[x, y])
+        sd = float(np.sqrt(max(s[y, y] - 2 * beta @ s[x, y] + beta @ s[np.ix_(x, x)] @ beta, 0.0) / max(n - 1, 1)))
+        fit = sum((F.lit(float(b)) * (F.col(every[i]) - F.lit(float(mean[i]))) for b, i in zip(beta, x, strict=True)), F.lit(0.0))
+        e = F.col(every[y]) - F.lit(float(mean[y])) - fit
+        each.append(F.struct(F.lit(y).alias("y"), (e / sd if sd > 0 else F.lit(0.0)).alias("z")))
+    z = rows.select(key, order, F.inline(F.array(*each)))
+    c = cusum(z, [key, "y"], [order], "z", k)
+    size = F.greatest(F.col("c_up"), -F.col("c_dn"))
+    return c.groupBy(key, order).agg(F.max(size).alias("worst")).select(key, order, "worst", (F.col("worst") > h).alias("alarm"))

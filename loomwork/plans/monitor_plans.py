@@ -378,16 +378,8 @@ def spm_dual_ref(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("spm_ridge_cusum")
 def spm_ridge_cusum(spark: SparkSession, sf: str) -> DataFrame:
-    """Residuals of a ridge regression of one variable on the others, standardised, then a two-sided CUSUM."""
-    w, _, cov = _two(spark, sf)
-    n = w.count()
-    a = cov[1:, 1:] * (n - 1) + np.eye(4)
-    beta = np.linalg.solve(a, cov[1:, 0] * (n - 1))
-    fit = V.dot(F.slice("dev", 2, 4), F.array(*[F.lit(float(b)) for b in beta]))
-    e = w.select("u", "d", (F.col("dev")[0] - fit).alias("e"))
-    s = e.agg(F.stddev_samp("e").alias("s")).first()["s"]
-    c = M.cusum(e.withColumn("z", F.col("e") / float(s)), "u", ["d"], "z", 0.25)
-    return c.select("u", "d", r("c_up").alias("c_up"), r("c_dn").alias("c_dn"), ((F.col("c_up") > 5) | (F.col("c_dn") < -5)).alias("alarm"))
+    """Ridge residuals of each of five variables on the others and on all of the day before, two-sided CUSUMs, an alarm if any of the five is out."""
+    return M.ridge_cusum(_wide(spark, sf), "u", "d", _X).select("u", "d", r("worst").alias("worst"), "alarm")
 
 
 _OFF = [(i, j) for i in range(5) for j in range(i + 1, 5)]
