@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from loomwork.llm import text as T
 
 #: Distinct words that a worker remembers between batches; beyond that it starts anew, with equal results.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+#: Pairs of tokens of which a worker knows whether they stay apart.
+PAIRS_KNOWN = 500_000
 LETTER, NUMBER, BLANK, OTHER, EDGE = 1, 2, 3, 0, 9
 
 
@@ -129,7 +131,7 @@ class Codec:
         known = self.stable_pairs.get(key)
         if known is None:
             known = key not in self.rank and self._undisturbed(a, b, 1 << 60)
-            if len(self.stable_pairs) > 2_000_000:
+            if len(self.stable_pairs) > PAIRS_KNOWN:
                 self.stable_pairs.clear()
             self.stable_pairs[key] = known
         return known
@@ -330,6 +332,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("
                 own = [c.slice(at, to - at) for c in batch.columns[: len(keep)]]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.array(got[k], _KINDS[k][1]) for k in ask]], [*keep, *ask])
         c.forget()  # the worker process outlives the task and serves other steps next
+        T.give_back()
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return docs.select(*keep, F.col(text_col).alias("__lw_text")).mapInArrow(run, ", ".join([*fields, *[f"{k} {_KINDS[k][0]}" for k in ask]]))
