@@ -35,7 +35,7 @@ LEADS = 6
 #: Tokens of a frequent class that share a part of the universe are paired; a prefix has about so many in a part.
 PART = 6
 #: Groups of a member that its list names, so that pairs which share many groups are taken up once.
-LISTED = 64
+LISTED = 32
 #: 64-bit words of the bitmap by which members of a large group are compared before their token sets are.
 SKETCH = 16
 BITMAP = [f"s{k}" for k in range(SKETCH)]
@@ -359,6 +359,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, col: str, kind: type) -> DataFr
                 keep.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            del batch
+            T.give_back()
 
     a = sets.select(F.col("id").alias("a"), F.col(col).alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col(col).alias("sb"))
