@@ -68,6 +68,8 @@ def load_spec(path: str, *, special: bool = True) -> bytes:
         raise ValueError("a byte-level BPE file without a normalizer or a prefix space is needed")
     if any(a.get(k) for a in t["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
         raise ValueError("added tokens that depend on what stands around them aren't supported")
+    if any(t["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        raise ValueError("merges with dropout, subword prefixes or suffixes, or exceptions aren't supported")
     merges = [m if isinstance(m, str) else " ".join(m) for m in t["model"]["merges"]]
     spec = {"vocab": t["model"]["vocab"], "merges": merges, "special": {a["content"]: a["id"] for a in t["added_tokens"] if special}}
     return zlib.compress(json.dumps(spec).encode()) + b"|classes|" + zlib.compress(code_point_classes().tobytes())
@@ -294,8 +296,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("
     Returns the columns in ``keep``, then ``outputs``, which picks among n_tokens, ids, decoded and the SHA-256 of the last two (ids in decimal, joined by commas;
     decoded text in UTF-8). Nothing is added to a text; special tokens written in it get their ids. Null and empty
     texts have no token. Rows aren't moved or joined: repeated rows and null ids give rows like any other, an
-    empty table an empty table. The file is read by the driver only and sent to the workers (about 1 MB).
+    empty table an empty table. The file is read by the driver only and sent to the workers (about 1 MB). A column to keep that has
+    the name of an output raises ValueError; others aren't read.
     """
+    if clash := {*keep} & {*outputs}:
+        raise ValueError(f"columns to keep have names of outputs: {sorted(clash)}")
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(tokenizer))
     ask = tuple(outputs)
 

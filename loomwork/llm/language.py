@@ -235,8 +235,11 @@ def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",
     """The columns in ``keep``, then lang_pred and score (the mean posterior of that language over the words) of each whole text.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned.
-    Rows are neither moved nor joined, so repeated rows, null ids and empty tables need no care.
+    Rows are neither moved nor joined, so repeated rows, null ids and empty tables need no care. A column to keep that has a
+    name of the result raises ValueError; others aren't read. A very long text is labelled whole; its words take a step each.
     """
+    if clash := {*keep} & {"lang_pred", "score"}:
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +265,8 @@ def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",
             best = np.where(letters & (total > 0), sums.argmax(axis=1), len(m.langs))
             score = np.where(best < len(m.langs), sums.max(axis=1) / np.maximum(total, 1e-9), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], names.take(pa.array(best)), pa.array(np.clip(score, 0, 1))], [*keep, "lang_pred", "score"])
+            del batch, buf, off, held
+            T.give_back()
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     seen = docs.select(*keep, F.col(text_col).alias("__lw_text"), F.col(text_col).rlike(r"\p{L}").alias("__lw_letters"))

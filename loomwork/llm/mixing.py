@@ -48,8 +48,10 @@ def poisson_mix(docs: DataFrame, *, weights: dict[str, float] | None = None, alp
     lw_key, a hash of id, text and copy: rows are dealt out and sorted by it. Rows with count 0 go.
     A null id counts as the id '', a null text as ''; different texts with one id, or none, are drawn each by itself,
     rows equal in both get the same count. Null and empty texts weigh nothing but are repeated as others of their
-    source; an empty table gives an empty table.
+    source; an empty table gives an empty table. Other columns are kept; one with a name that is used here raises ValueError.
     """
+    if clash := {"lw_src", "lw_row", "lw_rate", "lw_cdf", "lw_copies", "lw_copy", "lw_key"} & {*docs.columns}:
+        raise ValueError(f"docs have columns that are used here: {sorted(clash)}")
     rates = source_rates(docs, weights=weights, alpha=alpha, epochs=epochs, text_col=text_col, source_col=source_col).select(F.col("src").alias("lw_src"), F.col("rate").alias("lw_rate"), F.col("cdf").alias("lw_cdf"))
     few = rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))

@@ -221,8 +221,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, outputs: tuple[str, ..
     only in the hash; lw_kept stays null). Rows with one id count as one document: of equal windows in them the
     earlier start stays, and those with the same start all stay, so a repeated row changes nothing. Each row loses words
     of its own repeated windows alone, whatever other rows have its id. Rows with a null id are such a document, before
-    all others. An empty table gives an empty table.
+    all others. An empty table gives an empty table. Other columns are kept; one with a name that is used here raises ValueError.
     """
+    if clash := {"lw_n_words", "lw_n_removed", "lw_kept", "lw_kept_sha256"} & {*docs.columns}:
+        raise ValueError(f"docs have columns that are used here: {sorted(clash)}")
     own, th = F.coalesce(F.col(id_col).cast("long"), F.lit(X.NO_ID)), F.xxhash64(text_col)
     spans = repeated_spans(docs.select(own.alias("id"), F.col(text_col).alias("text"), th.alias("th")), window)
     names = [f.name for f in docs.schema]

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.llm import fingerprints, jaccard, language, mixing, registry, sharding, substrings, suffixes, text, topk, toxicity
+from loomwork.llm import bpe, fingerprints, jaccard, language, mixing, registry, sharding, substrings, suffixes, text, topk, toxicity
 
 
 def words(t):
@@ -267,6 +267,18 @@ def test_next_of_repeated_and_missing_keys(spark):
     assert follows[1 << 60, "e"] in "ab" and {follows[None, "c"], follows[None, "d"]} & {"e"}
 
 
+def test_clashing_names_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1, 2)], "doc_id long, text string, source string, lw_rate int, lw_kept int")
+    with pytest.raises(ValueError, match="lw_rate"):
+        mixing.poisson_mix(docs)
+    with pytest.raises(ValueError, match="lw_kept"):
+        substrings.remove_repeats(docs)
+    with pytest.raises(ValueError, match="lang_pred"):
+        language.identify(docs.withColumn("lang", F.lit("en")).withColumn("lang_pred", F.lit("x")), keep=("doc_id", "lang_pred"))
+    with pytest.raises(ValueError, match="ids"):
+        bpe.encode_decode(docs.withColumn("ids", F.lit(1)), bpe.default_tokenizer(), ("ids",), keep=("doc_id", "ids"))
+
+
 @pytest.mark.parametrize("most", [50_000, 1])
 def test_next_of_very_many_equal_rows(spark, monkeypatch, most):
     monkeypatch.setattr(fingerprints, "MOST_REPEATED", most)

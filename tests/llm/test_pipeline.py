@@ -1,10 +1,13 @@
 """The pipeline's stages on a small corpus, each judged on its own input."""
 
+from collections import Counter
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import corpus_pipeline as P
+from loomwork.llm import mixing
 from tests.llm.test_operators import brute_components, brute_spans, corpus, words
 
 COLUMNS = list(P.COLUMNS)
@@ -76,3 +79,16 @@ def test_near_duplicates_judge_rows_not_ids(spark):
     assert sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in got.collect())) == [(False, 1, a), (False, 1, b), (False, 3, ""), (True, 0, c)]
     for name, stage in P.STAGES:
         assert stage(spark, docs.where("false"), "").count() == 0, name
+
+
+def test_source_mixing_copies(spark):
+    """Each row as often as the SQL of mixing says, and nothing else changed."""
+    rows = [(i, None if i == 3 else f"text {i} " * (i % 7), "en", ("big", "big", "small", None)[i % 4], i) for i in range(200)] + [(None, "no id", "en", "small", 5), (7, "text 7 ", "fr", "big", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter(map(tuple, P.source_mixing(spark, docs, "").collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE docs (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO docs VALUES (?, ?, ?, ?, ?)", rows)
+    want = Counter(con.execute(mixing.MIX_SQL.format(docs="docs") + "SELECT doc_id, text, lang, source, n_chars FROM mixed").fetchall())
+    assert got == want and len(got) < len(rows) and max(got.values()) > 1
+    assert P.source_mixing(spark, docs.limit(0), "").count() == 0
