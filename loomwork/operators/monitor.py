@@ -131,3 +131,16 @@ def ridge_cusum(df: DataFrame, key: str, order: str, cols: list[str], *, alpha:
     c = cusum(z, [key, "y"], [order], "z", k)
     size = F.greatest(F.col("c_up"), -F.col("c_dn"))
     return c.groupBy(key, order).agg(F.max(size).alias("worst")).select(key, order, "worst", (F.col("worst") > h).alias("alarm"))
+
+
+def kernel_means(hist: DataFrame, group: str, bin_: str, n: str, reach: int) -> DataFrame:
+    """a, b and e: the mean of the kernel max(0, 1 - distance / reach) over all pairs of a value of group a and one of b, from counts of bins.
+
+    Each bin meets only the bins within reach, so pairs are joined by equal bins and no bin meets all others. Groups that
+    share no near bins have no row.
+    """
+    total = hist.groupBy(group).agg(F.sum(n).alias("__t"))
+    p = hist.join(total, group).select(F.col(group).alias("a"), F.col(bin_).alias("bin"), (F.col(n) / F.col("__t")).alias("w"))
+    near = p.select("a", "w", F.explode(F.sequence(F.lit(1 - reach), F.lit(reach - 1))).alias("d"), "bin").select("a", "w", (1 - F.abs("d") / reach).alias("k"), (F.col("bin") + F.col("d")).alias("bin"))
+    other = p.select(F.col("a").alias("b"), "bin", F.col("w").alias("v"))
+    return near.join(other, "bin").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v") * F.col("k")).alias("e"))

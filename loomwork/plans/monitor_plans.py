@@ -301,7 +301,18 @@ def _mmd(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("spm_mmd", _MMD.replace(", 6) AS mmd2", ", 6) + 0.0 AS mmd2"))(_mmd)
-query("join_all_pairs_kernel", _MMD.replace(", 6) AS mmd2", ", 6) + 0.0 AS mmd2"))(_mmd)
+
+
+@query("join_all_pairs_kernel", """WITH h AS (SELECT event_type AS t, floor(value / 5)::BIGINT AS b, count(*)::DOUBLE AS n FROM events GROUP BY ALL), p AS (SELECT t, b, n / sum(n) OVER (PARTITION BY t) AS w FROM h),
+k AS (SELECT x.t AS a, y.t AS b, sum(x.w * y.w * (1 - abs(x.b - y.b) / 8.0::DOUBLE)) AS e FROM p x JOIN p y ON abs(x.b - y.b) < 8 GROUP BY ALL)
+SELECT k.a, k.b, round(k.e, 8) AS kernel, round(aa.e + bb.e - 2 * k.e, 8) + 0.0 AS mmd2 FROM k JOIN k aa ON aa.a = k.a AND aa.b = k.a JOIN k bb ON bb.a = k.b AND bb.b = k.b WHERE k.a < k.b""")
+def join_all_pairs_kernel(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean of a triangular kernel over all pairs of values of two event types, and their squared mean discrepancy: a join of bins with the bins near them."""
+    h = _ev(spark, sf).groupBy(F.col("event_type").alias("t"), F.floor(F.col("value") / 5).alias("bin")).agg(F.count("*").alias("n"))
+    e = M.kernel_means(h, "t", "bin", "n", 8)
+    own = e.where("a = b").select("a", F.col("e").alias("own"))
+    both = e.where("a < b").join(own.withColumnRenamed("own", "ea"), "a").join(own.select(F.col("a").alias("b"), F.col("own").alias("eb")), "b")
+    return both.select("a", "b", r("e", 8).alias("kernel"), (r(F.expr("ea + eb - 2 * e"), 8) + 0.0).alias("mmd2"))
 
 
 @query("spm_quantile_shift", "SELECT event_type, round(quantile_cont(value, 0.95) FILTER (ts >= TIMESTAMP '2024-01-15') - quantile_cont(value, 0.95) FILTER (ts < TIMESTAMP '2024-01-15'), 4) AS shift FROM events GROUP BY 1")
