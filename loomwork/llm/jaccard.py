@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import components as C
@@ -36,6 +37,8 @@ LEADS = 6
 PART = 6
 #: Groups of a member that its list names, so that pairs which share many groups are taken up once.
 LISTED = 32
+#: Bits for each id of the bitmap that leaves rows out before they are shuffled, and the most it has (8 MB, sent to all workers).
+ID_BITS, MOST_ID_BITS = 16, 1 << 26
 #: 64-bit words of the bitmap by which members of a large group are compared before their token sets are.
 SKETCH = 16
 BITMAP = [f"s{k}" for k in range(SKETCH)]
@@ -337,17 +340,53 @@ def _candidates(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches(parts, schema=_CAND)
 
 
+def _id_bit(bits: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")
+
+
+def _bitmap(ids: DataFrame) -> Broadcast:
+    """A bit for each hash of the ids that occur; what has no bit is none of them, so rows can be left out where they lie."""
+    bits = min(MOST_ID_BITS, max(1 << 15, 1 << (ids.count() * ID_BITS).bit_length()))
+    parts = ids.select(_id_bit(bits)).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << 15) - 1))).alias("held"))
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in parts.collect():  # MOST_ID_BITS bits at most
+        out[r["part"]] = np.frombuffer(r["held"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(out.reshape(-1))
+
+
+def _marked(rows: DataFrame, bitmap: Broadcast) -> DataFrame:
+    return rows.withColumn("bit", _id_bit(8 * len(bitmap.value)))
+
+
+def _held(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Of marked rows those that have their bit, in a task."""
+    for batch in batches:
+        at = np.asarray(batch.column("bit"))
+        yield batch.filter(pa.array((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+
 def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that 16 bits of each token don't rule out: tokens that are equal have equal bits, so no link is lost."""
-    return _compared(pairs, sets, "bits", np.uint16)
+    return _compared(pairs, sets, np.uint16)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose sets have the wanted similarity, by their whole token sets."""
-    return _compared(pairs, sets, "tokens", np.uint64)
+    return _compared(pairs, sets, np.uint64)
+
 
+def _compared(pairs: DataFrame, sets: DataFrame, kind: type) -> DataFrame:
+    bitmap = _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+
+    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _held(batches, bitmap):
+            tokens = batch.column("tokens")
+            if kind is not np.uint64:  # the upper bits, in the same order
+                tokens = pa.array([(np.frombuffer(t.as_buffer(), np.uint64) >> np.uint64(48)).astype(kind).tobytes() for t in tokens], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), tokens], ["id", "s"])
+            del batch, tokens
+            T.give_back()
 
-def _compared(pairs: DataFrame, sets: DataFrame, col: str, kind: type) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -362,8 +401,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, col: str, kind: type) -> DataFr
             del batch
             T.give_back()
 
-    a = sets.select(F.col("id").alias("a"), F.col(col).alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col(col).alias("sb"))
+    # only sets that take part in a pair are shuffled
+    mine = _marked(sets.select("id", "tokens"), bitmap).mapInArrow(upper, "id long, s binary")
+    a, b = (mine.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -380,16 +420,17 @@ def sketches(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _token_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The token sets of the documents that have candidates, and their bitmaps."""
-    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary()), ("bits", pa.binary()), *[(c, pa.int64()) for c in BITMAP]])
+    """The token sets of the documents that have candidates (and of few others, whose ids share a bit with theirs), and their bitmaps. Texts stay where they lie."""
+    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary()), *[(c, pa.int64()) for c in BITMAP]])
+    bitmap = _bitmap(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, buf, off in X.each_piece(batches):
+        for _, ids, buf, off in X.each_piece(_held(batches, bitmap)):
             h, offsets = token_sets(buf, off)
             seen = sketches(h, offsets).tolist()
-            yield from X.batches_of([(int(i), h[a:b].tobytes(), (h[a:b] >> np.uint64(48)).astype(np.uint16).tobytes(), *s) for i, a, b, s in zip(ids, offsets[:-1], offsets[1:], seen, strict=True)], schema)
+            yield from X.batches_of([(int(i), h[a:b].tobytes(), *s) for i, a, b, s in zip(ids, offsets[:-1], offsets[1:], seen, strict=True)], schema)
 
-    return docs.join(nodes.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, ", ".join(["id long, tokens binary, bits binary", *[f"{c} long" for c in BITMAP]]))
+    return _marked(docs.select("id", "text"), bitmap).mapInArrow(run, ", ".join(["id long, tokens binary", *[f"{c} long" for c in BITMAP]]))
 
 
 def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,6 +472,7 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     several = each_node.where("n > 0").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
     same_id = each_node.where("n > 0").join(several, "id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     likely = scratch.table(_may_link(pairs.select("a", "b"), sets), "likely")
+    X.release(likely)
     links = scratch.table(_verify(likely, sets).unionByName(same_id), "links")
     X.release(links)
     scratch.drop(pairs, likely)
