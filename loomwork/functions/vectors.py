@@ -10,6 +10,22 @@ def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
+def rounded(x: Column, n: int = 0) -> Column:
+    """x to n places as SQL's round of doubles does it: halves of x * 10^n away from zero, a zero keeps its sign.
+
+    Spark's own round takes halves of the shortest decimal number that spells x, and loses the sign of a zero.
+    """
+    x = x.cast("double")
+    y = F.round(x * float(10**n), 0) / float(10**n)
+    return F.when(y == 0, x * 0.0).when(F.abs(y) == float("inf"), x).otherwise(y)
+
+
+def quotient(x: Column, y: Column) -> Column:
+    """x / y of doubles where a zero in y gives an infinity or NaN, as in IEEE arithmetic."""
+    inf = F.when(y.cast("string") == "-0.0", F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(y != 0, x / y).when(y == 0, x * inf)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
