@@ -23,11 +23,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def runs(rows: DataFrame, array: Column, key: str, keep: list[str]) -> DataFrame:
+    """One row for each run of equal keys in a sorted array of structs: the columns to keep, the key, and the run's structs.
+
+    Nothing is shuffled. The array is made once a row, and the work is linear in its length.
+    """
+    once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))
+    made = rows.select(*keep, once(array, "all")).where(F.size("all") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: (i == 0) | (F.get("all", i)[key] != F.get("all", i - 1)[key]))
+    run = lambda i, k: F.struct(F.get("all", i)[key].alias(key), F.slice("all", i + 1, F.coalesce(F.get("starts", k + 1), F.size("all")) - i).alias("run"))
+    return made.select(*keep, "all", once(starts, "starts")).select(*keep, F.inline(F.transform("starts", run)))
+
+
+def words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, words in their order and doc_len of every document."""
+    return docs.select(F.col(id_col).alias("id"), F.inline(F.array(F.struct(tokens(F.col(text_col)).alias("w"))))).withColumn("doc_len", F.size("w"))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, id, tf, positions (from 0) and doc_len for every term of every document."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).withColumn("doc_len", F.size("w"))
-    each = words.select("id", "doc_len", F.posexplode("w").alias("pos", "term"))
-    return each.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """term, id, tf, positions (from 0) and doc_len for every term of every document. A document's words stay in its task."""
+    each = F.sort_array(F.transform("w", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    found = runs(words(docs, id_col, text_col), each, "term", ["id", "doc_len"])
+    return found.select("term", "id", "doc_len", F.size("run").cast("long").alias("tf"), F.col("run")["pos"].alias("positions"))
 
 
 def _phrase_count(words: Column, phrase: list[str]) -> Column:
